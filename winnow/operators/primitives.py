@@ -22,6 +22,8 @@ from winnow.functions.exprs import uniform
 
 #: Rows a single window task may hold.  Below it one bucket is enough.
 ROWS_PER_BUCKET = 200_000
+#: Inputs the optimizer estimates below this many bytes need no boundaries at all.
+SMALL_BYTES = 32 * 1024 * 1024
 #: Parts of one repeated value when rows must be numbered inside it.
 TIE_PARTS = 256
 
@@ -40,6 +42,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate, from file sizes; no job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 @dataclass(frozen=True)
 class RangeBuckets:
     """Literal boundaries of a value range; recomputation puts a row in the same bucket."""
@@ -58,8 +65,11 @@ class RangeBuckets:
 def range_buckets(df: DataFrame, value: str, rows_per_bucket: int | None = None) -> RangeBuckets:
     """Boundaries that cut the rows into similar parts, from one pass of approximate quantiles.
 
-    The driver receives at most 8,192 numbers.
+    The driver receives at most 8,192 numbers.  An input whose estimated size is small skips
+    the pass and stays in one bucket.
     """
+    if rows_per_bucket is None and estimated_bytes(df) <= SMALL_BYTES:
+        return RangeBuckets(())
     per_bucket = rows_per_bucket or ROWS_PER_BUCKET
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from winnow.plans import basics  # noqa: F401
+from winnow.plans import basics, measures  # noqa: F401
 from winnow.plans.registry import ORACLES, QUERIES  # noqa: F401
