@@ -240,28 +240,18 @@ def calibration_table(df: DataFrame, dims: Sequence[tuple[str, int]], error: str
     keys = ["_level", *[f"_{n}" for n in names]]
     stats = cells.groupBy(*keys).agg(F.count(error).alias("_n")).join(
         robust_spread(cells, keys, error), keys)
-    out = spark.range(1).select(*[
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))).alias(n)
-        if i == 0 else F.lit(None).cast("bigint").alias(n)
-        for i, (n, size) in enumerate(dims)])
-    for n, size in dims[1:]:
-        out = out.withColumn(n, F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                     F.lit(size - 1).cast("bigint"))))
-    bias, spread, n_cell = [], [], None
-    for k in range(len(names), -1, -1):
-        part = stats.filter(F.col("_level") == k)
-        if k > 0:
-            part = part.filter((F.col("_n") >= min_count) | F.lit(k == len(names)))
-        part = part.select(*[F.col(f"_{n}").alias(n) for n in names[:k]],
-                           F.col("_n").alias(f"_n{k}"), F.col("median").alias(f"_b{k}"),
-                           F.col("spread").alias(f"_s{k}"))
-        out = out.join(part, names[:k], "left") if k else rejoin(out, part, [])
-        enough = F.lit(True) if k == 0 else F.col(f"_n{k}") >= min_count
-        bias.append(F.when(enough, F.col(f"_b{k}")))
-        spread.append(F.when(enough, F.col(f"_s{k}")))
-        n_cell = F.coalesce(F.col(f"_n{k}"), F.lit(0).cast("bigint")) if n_cell is None else n_cell
-    return out.select(*names, n_cell.alias("n"), F.coalesce(*bias).alias("bias"),
-                      F.coalesce(*spread).alias("spread"))
+    grid = spark.range(1)
+    for n, size in dims:
+        grid = grid.withColumn(n, F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                       F.lit(size - 1).cast("bigint"))))
+    wanted = grid.select(*names, F.explode(F.array(*levels)).alias("_c")).select(*names, "_c.*")
+    full = F.col("_level") == len(names)
+    usable = (F.col("_level") == 0) | (F.col("_n") >= min_count)
+    best = F.max_by(F.struct("median", "spread"), F.when(usable, F.col("_level")))
+    return (F.broadcast(wanted).join(stats, keys, "left").groupBy(*names)
+            .agg(F.coalesce(F.max(F.when(full, F.col("_n"))), F.lit(0)).alias("n"),
+                 best.alias("_b"))
+            .select(*names, "n", F.col("_b.median").alias("bias"), "_b.spread"))
 
 
 def undecided_curve(df: DataFrame, features: Mapping[str, Column], label: Column,

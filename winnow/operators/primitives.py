@@ -43,8 +43,12 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate, from file sizes; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Size of the scans under a plan as the optimizer estimates it; no job runs.
+
+    The estimate of the whole plan multiplies the sides of every join, so the leaves are summed.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 @dataclass(frozen=True)
