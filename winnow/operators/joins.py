@@ -104,10 +104,11 @@ def weighted_nearest(queries: DataFrame, library: DataFrame, coords: Sequence[tu
         copies = (F.array(home) if last else F.array(home - 1, home, home + 1))
         near = small_side(lib.select("*", F.explode(copies).alias("_cell")))
         # primitive minima twice, not one minimum of a struct: that would sort every pair
-        pairs = todo.withColumn("_cell", cell).join(near, "_cell", "left")
-        cheap = settle(pairs.groupBy(*qcols).agg(F.min(cost).alias("_best")))
-        best = (pairs.join(cheap, qcols).filter(cost == F.col("_best"))
-                .groupBy(*qcols, "_best").agg(F.min("_id").alias("_id")))
+        cheap = settle(todo.withColumn("_cell", cell).join(near, "_cell", "left")
+                       .groupBy(*qcols).agg(F.min(cost).alias("_best")))
+        best = (cheap.withColumn("_cell", cell).join(near, "_cell")
+                .filter(cost == F.col("_best")).groupBy(*qcols, "_best")
+                .agg(F.min("_id").alias("_id")))
         if not last:
             best = cheap.join(best.drop("_best"), qcols, "left")
         best = settle(best)

@@ -181,14 +181,17 @@ def exact_quantiles(
     qs: Mapping[str, float],
     kind: str = "linear",
     rows_per_bucket: int | None = None,
+    count: Column | None = None,
 ) -> DataFrame:
     """Exact unweighted quantiles per group, one column per name in ``qs``.
 
+    ``count`` says how often a row occurs, for input that is already collapsed.
+
     ``linear`` interpolates between ranks (q * (n - 1)); ``nearest`` takes the element at
     zero-based rank min(n - 1, int(q * n)).  NULLs do not count.
     """
-    ranked = running_sums(df, by, value, {"n": F.lit(1).cast("bigint")},
-                          rows_per_bucket=rows_per_bucket)
+    one = F.lit(1).cast("bigint") if count is None else count.cast("bigint")
+    ranked = running_sums(df, by, value, {"n": one}, rows_per_bucket=rows_per_bucket)
     n = F.col("n_total").cast("double")
 
     def at(rank: Column) -> Column:

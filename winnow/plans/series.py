@@ -231,7 +231,7 @@ def _(spark, sf):
 
 
 _DOM = """CASE WHEN {m}<0.1e0 THEN 'guess' WHEN {m}<0.5e0 THEN 'approve' ELSE 'reject' END
- AS meaning|CASE WHEN {r}<0.1e0 THEN 'R9' WHEN {r}<0.6e0 THEN 'R1' ELSE 'R2' END AS reason"""
+ AS meaning;CASE WHEN {r}<0.1e0 THEN 'R9' WHEN {r}<0.6e0 THEN 'R1' ELSE 'R2' END AS reason"""
 
 
 @query("j11_domain_validation", f"""
@@ -239,11 +239,11 @@ SELECT coalesce(problem,'ok') AS problem, count(*) AS n FROM (
  SELECT CASE WHEN meaning NOT IN ('approve','reject') THEN 'unknown meaning '''||meaning||''''
   WHEN reason NOT IN ('R1','R2') THEN 'unknown reason code '''||reason||''''
   WHEN role NOT IN ('assistant') THEN 'unknown user' END AS problem
- FROM (SELECT role, {_DOM.format(m=u_duck('mean', 'log_id,seq'), r=u_duck('reas', 'log_id,seq')).replace('|', ',')}
+ FROM (SELECT role, {_DOM.format(m=u_duck('mean', 'log_id,seq'), r=u_duck('reas', 'log_id,seq')).replace(';', ',')}
   FROM logs)) GROUP BY 1""")
 def _(spark, sf):
     acts = X.log(spark, sf).selectExpr("role", *_DOM.format(
-        m=u_spark("mean", "log_id,seq"), r=u_spark("reas", "log_id,seq")).split("|"))
+        m=u_spark("mean", "log_id,seq"), r=u_spark("reas", "log_id,seq")).split(";"))
 
     def domain(values):
         return spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias("key"))
