@@ -13,7 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.functions.exprs import clamped_bin, normal_cdf, ratio, uniform
+from winnow.functions.exprs import clamped_bin, ratio, uniform
+from winnow.functions.mixture import smooth_cdf, smooth_root
 from winnow.operators.primitives import (
     exact_quantiles,
     running_sums,
@@ -23,8 +24,7 @@ from winnow.operators.primitives import (
 from winnow.settings import Settings
 
 EPS = 2.220446049250313e-16
-BISECTIONS = 45
-BLOCK = 64
+BLOCK = 16
 QS = {"d10": 0.1, "d50": 0.5, "d90": 0.9}
 STATS = ("mean", "d10", "d50", "d90", "cv")
 
@@ -188,13 +188,6 @@ def object_weight(n: Column, f_true: Column, prior: float) -> Column:
 # -- mixture ------------------------------------------------------------------------------------------
 
 
-def smooth_cdf(comps: Column, x: Column) -> Column:
-    """Weighted sum of the class normals at x."""
-    z = F.transform(comps, lambda c: F.struct(
-        ((x - c["mu"]) / F.greatest(c["sd"], F.lit(1e-12))).alias("z"), c["w"].alias("w")))
-    return F.aggregate(z, F.lit(0.0), lambda a, s: a + s["w"] * normal_cdf(s["z"]))
-
-
 def mixture_quantiles(points: DataFrame, smooth: DataFrame, by: Sequence[str],
                       qs: Mapping[str, float], rows_per_bucket: int | None = None) -> DataFrame:
     """Roots of "weights of readings up to x, plus class normals" = p, per window.
@@ -232,23 +225,18 @@ def mixture_quantiles(points: DataFrame, smooth: DataFrame, by: Sequence[str],
     low = F.array_min(F.transform("comps", lambda c: c["mu"] - 8.0 * c["sd"]))
     high = F.array_max(F.transform("comps", lambda c: c["mu"] + 8.0 * c["sd"]))
     v, base = F.col("hit.v"), F.coalesce("hit.w_before", "w_all", F.lit(0.0))
-    rows = probes.join(hit, [*by, "q"], "left").select(
+    rows = settle(probes.join(hit, [*by, "q"], "left").select(
         *by, "q", "p", "comps", base.alias("base"), v.alias("v"),
         (F.col("hit.w_before") + F.col("hit._s") < F.col("p")).alias("jump"),
         F.when(v.isNull(), F.coalesce("v_max", low))
         .otherwise(F.coalesce("below", "v_end", F.least(low, v))).alias("lo"),
-        F.when(v.isNull(), F.greatest(high, "v_max")).otherwise(v).alias("hi"))
-
-    def halve(s, _i):
-        mid = (s["lo"] + s["hi"]) / 2.0
-        above = F.col("base") + smooth_cdf(F.col("comps"), mid) >= F.col("p")
-        return F.struct(F.when(above, s["lo"]).otherwise(mid).alias("lo"),
-                        F.when(above, mid).otherwise(s["hi"]).alias("hi"))
-
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), F.struct("lo", "hi"), halve,
-                       lambda s: (s["lo"] + s["hi"]) / 2.0)
-    solved = rows.withColumn("x", F.when(F.coalesce("jump", F.lit(False)), F.col("v"))
-                             .otherwise(root))
+        F.when(v.isNull(), F.greatest(high, "v_max")).otherwise(v).alias("hi")))
+
+    # a jump is its own root, so only the rest is bisected
+    jump = F.coalesce("jump", F.lit(False))
+    flat = rows.filter(jump).select(*by, "q", F.col("v").alias("x"))
+    root = smooth_root(F.col("comps"), F.col("base"), F.col("p"), F.col("lo"), F.col("hi"))
+    solved = flat.unionByName(rows.filter(~jump).select(*by, "q", root.alias("x")))
     return solved.groupBy(*by).agg(*[
         F.max(F.when(F.col("q") == name, F.col("x"))).alias(name) for name in qs])
 
@@ -320,6 +308,7 @@ class WindowModel:
     def __init__(self, window: DataFrame, reference: DataFrame, by: Sequence[str],
                  s: Settings) -> None:
         self.by, self.s = list(by), s
+        window, reference = settle(window), settle(reference)
         rows, table = size_classes(window, reference, by, s.size_classes)
         self.table = settle(class_weights(table, by, s.trim_percentile))
         fit = fit_trend(class_arrays(self.table, by), s.sigma_um, s.size_noise_um)
@@ -431,6 +420,8 @@ def class_mean_d10(rows: DataFrame, table: DataFrame, by: Sequence[str], sigma:
         .selectExpr(*by, "alpha", "beta",
                     f"sqrt(greatest(0D, _res/_n-pow({float(sigma)!r}D/exp(alpha+beta*_mx), 2D)))"
                     " as _cv"))
+    # stored: a later null filter would otherwise be pushed down with every fold inlined
+    fit = settle(fit)
     mean = F.col("s1") / F.col("n")
     var = F.col("s2") / F.col("n") - mean * mean
     keep = F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(sigma * sigma)
@@ -448,7 +439,8 @@ def class_mean_d10(rows: DataFrame, table: DataFrame, by: Sequence[str], sigma:
         *by, (trend * (F.lit(1.0) + F.col("_cv") * F.col("_z"))).alias("v"),
         (F.col("f_true") / len(NINE_POINTS)).alias("w"))
     ranked = running_sums(items.unionByName(drawn), by, "v", {"w": F.col("w")})
-    reached = F.col("w_before") + F.col("w") >= p
+    # running weights are sums of shares: leave room for the order of their additions
+    reached = F.col("w_before") + F.col("w") >= p - 1e-12
     return ranked.groupBy(*by).agg(
         F.coalesce(F.min(F.when(reached, F.col("v"))), F.max("v")).alias("d10"))
 
@@ -507,7 +499,8 @@ def bootstrap_d10(model: WindowModel, keys: Sequence[str], reps: int,
     """
     by, s = model.by, model.s
     rep = [*by, "rep"]
-    drawn = settle(resampled_rows(model.rows.select(*by, *keys, "class", "h", "v"), reps, keys))
+    drawn = settle(resampled_rows(model.rows.select(*by, *keys, "class", "h", "v"), reps, keys)
+                   .drop(*keys))
     sums = drawn.groupBy(*rep, "class").agg(
         F.sum("c").alias("n"), F.sum(F.col("c") * F.col("h")).alias("s1"),
         F.sum(F.col("c") * F.col("h") * F.col("h")).alias("s2"))

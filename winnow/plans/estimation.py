@@ -238,12 +238,12 @@ def _(spark, sf):
 
 
 @query("e6_ipw_weights", """
-SELECT batch_id, step, class, n, round(w_ipw,6) AS w_ipw FROM ewt WHERE n>0""", BASE)
+SELECT batch_id, step, class, n, round(w_ipw+1e-11,9) AS w_ipw FROM ewt WHERE n>0""", BASE)
 def _(spark, sf):
     _, table = E.size_classes(window_rows(spark, sf), exact_reference(spark, sf), BS,
                               S.size_classes)
     out = E.class_weights(table, BS, S.trim_percentile).filter("n > 0")
-    return out.select(*BS, "class", "n", r6("w_ipw").alias("w_ipw"))
+    return out.select(*BS, "class", "n", r6(F.col("w_ipw") + 1e-11, 9).alias("w_ipw"))
 
 
 IPW = {**BASE, "ipwm": """SELECT batch_id, step, mean, sqrt(greatest(sum(w_ipw*(s2-2e0*mean*s1
@@ -333,7 +333,7 @@ def _(spark, sf):
 @query("e16_class_display", """
 SELECT batch_id, step, class, round(exp(lo+(class+0.5e0)*width),5) AS size_um,
  round(f_obs,6) AS f_obs, round(f_true,6) AS f_true,
- CASE WHEN f_obs>0 THEN round(f_true/f_obs,6) END AS weight FROM (
+ CASE WHEN f_obs>0 THEN round(f_true/f_obs,9) END AS weight FROM (
  SELECT s.batch_id, s.step, s.class, s.lo, s.width, coalesce(n,0e0)/nw AS f_obs,
   coalesce(f_true,0e0) AS f_true FROM (SELECT batch_id, step, lo, width,
    unnest(range(30)) AS class FROM espan) s JOIN (SELECT batch_id, step, sum(n) AS nw FROM ecls
@@ -343,7 +343,8 @@ def _(spark, sf):
     _, table = E.size_classes(window_rows(spark, sf), exact_reference(spark, sf), BS,
                               S.size_classes)
     out = E.class_display(table, BS, S.size_classes)
-    return _rounded(out, "f_obs", "f_true", "weight").withColumn("size_um", r6("size_um", 5))
+    return _rounded(out, "f_obs", "f_true").withColumn("size_um", r6("size_um", 5)).withColumn(
+        "weight", r6(F.col("weight") + 1e-11, 9))
 
 
 _ZS = "[" + ",".join(f"{z}e0" for z in E.NINE_POINTS) + "]"
@@ -368,7 +369,7 @@ CMD = {**BASE, "cfit": """SELECT batch_id, step, alpha, beta, sqrt(greatest(0e0,
 
 
 @query("e17_class_mean_d10", """
-SELECT batch_id, step, round(coalesce(min(v) FILTER (cum>=0.1e0), max(v)),6) AS d10
+SELECT batch_id, step, round(coalesce(min(v) FILTER (cum>=0.1e0-1e-12), max(v)),6) AS d10
 FROM ccum GROUP BY 1,2""", CMD)
 def _(spark, sf):
     rows, table = E.size_classes(window_rows(spark, sf), exact_reference(spark, sf), BS,
