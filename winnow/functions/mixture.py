@@ -7,65 +7,71 @@ rows at once here; nothing else of the estimation leaves the JVM.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from winnow.functions.exprs import _AS_B, _AS_P, _INV_SQRT_2PI
 
 HALVINGS = 45
 
 
-def _phi(z: np.ndarray) -> np.ndarray:
-    t = 1.0 / (1.0 + _AS_P * np.abs(z))
-    poly = np.full_like(t, _AS_B[4])
-    for b in reversed(_AS_B[:4]):
-        poly = poly * t + b
-    tail = _INV_SQRT_2PI * np.exp(-0.5 * z * z) * poly * t
-    return np.where(z >= 0, 1.0 - tail, tail)
-
-
-class _Batch:
-    """Ragged arrays of one batch laid end to end."""
-
-    def __init__(self, mu: pd.Series, sd: pd.Series, w: pd.Series) -> None:
-        self.sizes = np.fromiter((len(a) for a in mu), dtype=np.int64, count=len(mu))
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        flat = [np.concatenate(list(c)) if len(c) else np.zeros(0) for c in (mu, sd, w)]
-        self.mu, self.sd, self.w = flat[0], np.maximum(flat[1], 1e-12), flat[2]
-
-    def cdf(self, x: np.ndarray) -> np.ndarray:
-        if not len(self.sizes):
-            return np.zeros(0)
-        with np.errstate(over="ignore", under="ignore"):
-            terms = self.w * _phi((np.repeat(x, self.sizes) - self.mu) / self.sd)
-        return np.add.reduceat(terms, self.starts)
-
-
-@F.pandas_udf("double")
-def _smooth(x: pd.Series, mu: pd.Series, sd: pd.Series, w: pd.Series) -> pd.Series:
-    return pd.Series(_Batch(mu, sd, w).cdf(x.to_numpy(dtype=float)))
-
-
-@F.pandas_udf("double")
-def _root(lo: pd.Series, hi: pd.Series, base: pd.Series, p: pd.Series, mu: pd.Series,
-          sd: pd.Series, w: pd.Series) -> pd.Series:
-    batch = _Batch(mu, sd, w)
-    a, b = lo.to_numpy(dtype=float).copy(), hi.to_numpy(dtype=float).copy()
-    level, goal = base.to_numpy(dtype=float), p.to_numpy(dtype=float)
-    for _ in range(HALVINGS):
-        mid = (a + b) / 2.0
-        above = level + batch.cdf(mid) >= goal
-        a, b = np.where(above, a, mid), np.where(above, mid, b)
-    return pd.Series((a + b) / 2.0)
+@cache
+def _kernels():
+    """The two functions, built inside a function so that they travel to tasks by value."""
+    p, coefficients, scale, halvings = _AS_P, _AS_B, _INV_SQRT_2PI, HALVINGS
+
+    def phi(z):
+        t = 1.0 / (1.0 + p * np.abs(z))
+        poly = np.full_like(t, coefficients[4])
+        for b in reversed(coefficients[:4]):
+            poly = poly * t + b
+        tail = scale * np.exp(-0.5 * z * z) * poly * t
+        return np.where(z >= 0, 1.0 - tail, tail)
+
+    def mixture(mu, sd, w):
+        """CDF of every row of a batch; the rows' short arrays are laid end to end."""
+        sizes = np.fromiter((len(a) for a in mu), dtype=np.int64, count=len(mu))
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        m, s, v = (np.concatenate(list(c)) for c in (mu, sd, w))
+        s = np.maximum(s, 1e-12)
+
+        def cdf(x):
+            with np.errstate(over="ignore", under="ignore"):
+                return np.add.reduceat(v * phi((np.repeat(x, sizes) - m) / s), starts)
+
+        return cdf
+
+    def smooth(x: pd.Series, mu: pd.Series, sd: pd.Series, w: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=float)
+        return pd.Series(mixture(mu, sd, w)(x.to_numpy(dtype=float)))
+
+    def root(lo: pd.Series, hi: pd.Series, base: pd.Series, goal: pd.Series, mu: pd.Series,
+             sd: pd.Series, w: pd.Series) -> pd.Series:
+        if not len(lo):
+            return pd.Series([], dtype=float)
+        cdf = mixture(mu, sd, w)
+        a, b = lo.to_numpy(dtype=float), hi.to_numpy(dtype=float)
+        level, aim = base.to_numpy(dtype=float), goal.to_numpy(dtype=float)
+        for _ in range(halvings):
+            mid = (a + b) / 2.0
+            above = level + cdf(mid) >= aim
+            a, b = np.where(above, a, mid), np.where(above, mid, b)
+        return pd.Series((a + b) / 2.0)
+
+    return F.pandas_udf(smooth, DoubleType()), F.pandas_udf(root, DoubleType())
 
 
 def smooth_cdf(comps: Column, x: Column) -> Column:
     """Weighted sum of the class normals at x."""
-    return _smooth(x, comps["mu"], comps["sd"], comps["w"])
+    return _kernels()[0](x, comps["mu"], comps["sd"], comps["w"])
 
 
 def smooth_root(comps: Column, base: Column, p: Column, lo: Column, hi: Column) -> Column:
     """Where base plus the class normals reaches p between lo and hi."""
-    return _root(lo, hi, base, p, comps["mu"], comps["sd"], comps["w"])
+    return _kernels()[1](lo, hi, base, p, comps["mu"], comps["sd"], comps["w"])

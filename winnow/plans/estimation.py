@@ -333,7 +333,7 @@ def _(spark, sf):
 @query("e16_class_display", """
 SELECT batch_id, step, class, round(exp(lo+(class+0.5e0)*width),5) AS size_um,
  round(f_obs,6) AS f_obs, round(f_true,6) AS f_true,
- CASE WHEN f_obs>0 THEN round(f_true/f_obs,9) END AS weight FROM (
+ CASE WHEN f_obs>0 THEN round(f_true/f_obs+1e-11,9) END AS weight FROM (
  SELECT s.batch_id, s.step, s.class, s.lo, s.width, coalesce(n,0e0)/nw AS f_obs,
   coalesce(f_true,0e0) AS f_true FROM (SELECT batch_id, step, lo, width,
    unnest(range(30)) AS class FROM espan) s JOIN (SELECT batch_id, step, sum(n) AS nw FROM ecls
