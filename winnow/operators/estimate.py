@@ -60,7 +60,7 @@ def reference_from_sample(bed: DataFrame, by: Sequence[str], size: str, n: int,
     noise = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u1)) * F.cos(F.lit(6.283185307179586) * u2)
     drawn = (bed.join(total, list(by))
              .filter(uniform(*keys, F.lit("al")) < F.lit(float(n)) / F.col("_total"))
-             .select(*by, F.log(F.col(size) + F.lit(noise_um) * noise).alias("log_size")))
+             .select(*by, *keys, F.log(F.col(size) + F.lit(noise_um) * noise).alias("log_size")))
     kept = drawn.groupBy(*by).agg(F.count("*").alias("n_effective"))
     return drawn.join(kept, list(by)).withColumn("weight", F.lit(1.0) / F.col("n_effective"))
 

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -28,9 +29,8 @@ SMALL_BYTES = 32 * 1024 * 1024
 TIE_PARTS = 256
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder the session names."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the session names, which all executors can reach."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,7 +39,20 @@ def settle(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="winnow-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table written next to the session's checkpoints.
+
+    An eager checkpoint would compute the plan twice and keep the size estimates of the plan;
+    a written table is computed once, survives lost executors, and tells the optimizer its
+    real size, so that small ones are broadcast later.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:

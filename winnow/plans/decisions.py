@@ -82,18 +82,12 @@ def _(spark, sf):
 
 @query("e12_bootstrap_at_line")
 def _(spark, sf):
-    sample = Q.atline(spark, sf)
-    m = E.WindowModel(Q.window_rows(spark, sf).filter("step >= 60"), sample, BS, S)
-    keyed = X.bed(spark, sf).filter("true_class=0").select(*BS, "rid")
-    total = keyed.groupBy(*BS).agg(F.count("*").alias("_total"))
-    from winnow.functions.exprs import uniform
-
-    drawn = (X.bed(spark, sf).filter("true_class=0").join(total, BS)
-             .filter(uniform("rid", F.lit("al")) < F.lit(100.0) / F.col("_total"))
-             .select(*BS, "rid", F.log("size_um").alias("log_size")))
-    d10 = E.bootstrap_d10(m, ["rid"], 40, sample=(drawn, ["rid"]))
-    return _rounded(E.bootstrap_interval(d10, BS, S.interval, S.spec_d10_um),
-                    "d10_lo", "d10_hi", "p_spec")
+    sample = N.settle(Q.atline(spark, sf))
+    m = E.WindowModel(Q.window_rows(spark, sf), sample, BS, S)
+    d10 = E.mixture_quantiles(m.rows, m.hybrid, BS, {"d10": 0.1})
+    wanted = N.settle(d10.filter(F.col("d10") >= S.spec_d10_um).select(*BS))
+    out = Q.interval_of(m, wanted, sample=(sample, ["rid"]))
+    return _rounded(out, "d10_lo", "d10_hi", "p_spec")
 
 
 @query("e13_bootstrap_pruning", """

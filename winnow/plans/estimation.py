@@ -480,14 +480,16 @@ def estimate_timeline(spark, sf, s=S, bootstrap="none", models=TIMELINE_METHODS)
     return E.complete_schema(out, ["d10_lo", "d10_hi", "p_spec"])
 
 
-def interval_of(model, wanted, s=S):
+def interval_of(model, wanted, s=S, sample=None):
     """Bootstrap interval of the windows in ``wanted`` only: the filter precedes the explode."""
     sub = object.__new__(E.WindowModel)
     sub.by, sub.s = model.by, s
     sub.table = model.table.join(wanted, model.by, "left_semi")
     sub.fit = model.fit.join(wanted, model.by, "left_semi")
     sub.rows = model.rows.join(wanted, model.by, "left_semi")
-    d10 = E.bootstrap_d10(sub, ["rid"], s.bootstrap_reps)
+    if sample is not None:
+        sample = (sample[0].join(wanted, model.by, "left_semi"), sample[1])
+    d10 = E.bootstrap_d10(sub, ["rid"], s.bootstrap_reps, sample)
     return E.bootstrap_interval(d10, model.by, s.interval, s.spec_d10_um)
 
 

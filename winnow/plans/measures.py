@@ -127,10 +127,9 @@ SELECT batch_id, step, round(slope,6) AS slope, round(my-slope*mx,6) AS intercep
    sum(w*(x-mx)*(y-my))/sum(w*(x-mx)*(x-mx)) ELSE 0e0 END AS slope FROM (
   SELECT *, sum(w*x) OVER g/sum(w) OVER g AS mx, sum(w*y) OVER g/sum(w) OVER g AS my
   FROM (SELECT batch_id, step, w, ln(size_um) AS x, thickness_um AS y FROM wsample)
-  WINDOW g AS (PARTITION BY batch_id, step)) GROUP BY 1,2,3,4)
-WHERE step >= 20""", _WSQL)
+  WINDOW g AS (PARTITION BY batch_id, step)) GROUP BY 1,2,3,4)""", _WSQL)
 def _(spark, sf):
-    df = _weighted(spark, sf).filter("step >= 20").withColumn("x", F.log("size_um"))
+    df = _weighted(spark, sf).withColumn("x", F.log("size_um"))
     return _rounded(A.weighted_line(df, BS, "x", "thickness_um", "w"), "slope", "intercept")
 
 

@@ -89,15 +89,14 @@ SELECT batch_id, count(*) AS n, round(sum(lvl),4) AS total, round(min(lvl),6) AS
   WHEN b.t=a.t THEN b.v ELSE b.v+(a.v-b.v)*(r.t-b.t)/(a.t-b.t) END AS lvl
  FROM (SELECT batch_id, t_s-30e0+100e0*{u_duck('j')} AS t FROM win) r
  ASOF LEFT JOIN (SELECT batch_id, 60e0*(step+1) AS t, mean_um AS v FROM wstep
-   WHERE mean_um IS NOT NULL AND step%7=0) b ON r.batch_id=b.batch_id AND r.t>=b.t
+   WHERE mean_um IS NOT NULL) b ON r.batch_id=b.batch_id AND r.t>=b.t
  ASOF LEFT JOIN (SELECT batch_id, 60e0*(step+1) AS t, mean_um AS v FROM wstep
-   WHERE mean_um IS NOT NULL AND step%7=0) a ON r.batch_id=a.batch_id AND r.t<=a.t)
+   WHERE mean_um IS NOT NULL) a ON r.batch_id=a.batch_id AND r.t<=a.t)
 GROUP BY 1""")
 def _(spark, sf):
     records = X.win(spark, sf).selectExpr("batch_id", "rid",
                                           f"t_s-30e0+100e0*{u_spark('j')} as t")
-    # a coarse series, so that most records fall between two of its points
-    series = win_steps(spark, sf).filter("step % 7 = 0").selectExpr(
+    series = win_steps(spark, sf).selectExpr(
         "batch_id", "60e0*(step+1) as t", "mean_um")
     out = J.asof_interpolate(records, series, ["batch_id"], "t", "mean_um", "lvl",
                              rows_per_bucket=10_000)
@@ -428,14 +427,12 @@ def _(spark, sf):
 
 @query("w12_time_to_spec", f"""
 SELECT batch_id, step, CASE WHEN mean_um>=12e0 THEN 0e0 WHEN slope>0 THEN
- round((12e0-mean_um)/slope,4) END AS eta_s FROM (SELECT *, {_SLOPE} AS slope FROM wstep)
-WHERE step >= 20""")
+ round((12e0-mean_um)/slope,4) END AS eta_s FROM (SELECT *, {_SLOPE} AS slope FROM wstep)""")
 def _(spark, sf):
     t = (F.col("step") - 40) * 60.0
     df = win_steps(spark, sf).withColumn(
         "slope", V.trailing_slope("mean_um", t, ["batch_id"], S.eta_steps))
-    out = df.select(*BS, r6(V.eta(F.col("mean_um"), F.col("slope"), 12.0), 4).alias("eta_s"))
-    return out.filter("step >= 20")
+    return df.select(*BS, r6(V.eta(F.col("mean_um"), F.col("slope"), 12.0), 4).alias("eta_s"))
 
 
 @query("w13_tune_threshold", """
