@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.functions.exprs import clamped_bin, ratio, uniform
+from winnow.functions.exprs import clamped_bin, col, ratio, uniform
 from winnow.functions.mixture import smooth_cdf, smooth_root
 from winnow.operators.primitives import (
     exact_quantiles,
@@ -462,16 +462,24 @@ def poisson_count(u: Column, most: int = 8) -> Column:
 def resampled_rows(rows: DataFrame, reps: int, keys: Sequence[str | Column]) -> DataFrame:
     """Every row once per replicate in which it occurs, with its count ``c``.
 
-    One digest per row and four replicates; rows with count 0 vanish before any shuffle.
+    One digest per row and four replicates; lambda arguments are evaluated once, so neither the
+    digest nor a uniform is computed again for each comparison.  Rows are spread by their own
+    key first: adaptive execution sizes partitions by bytes before the explode, not after.
     """
-    four = F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // 4))).alias("_q")
-    quad = rows.select("*", four)
-    counts = F.array(*[F.struct((F.col("_q") * 4 + w).alias("rep"),
-                                poisson_count(uniform(*keys, "_q", word=w)).alias("c"))
-                       for w in range(4)])
-    return (quad.select("*", F.explode(counts).alias("_d")).select(*rows.columns, "_d.*")
-            .filter((F.col("c") > 0) & (F.col("rep") < reps))
-            .withColumn("rep", F.col("rep").cast("bigint")))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    quad = rows.repartition(parts, *keys).select("*", F.explode(F.sequence(
+        F.lit(0), F.lit((reps - 1) // 4))).alias("_q"))
+    digest = F.md5(F.concat_ws(":", *[col(k).cast("string") for k in [*keys, "_q"]]))
+
+    def words(d: Column) -> Column:
+        return F.array(*[F.conv(F.substring(d, 1 + 8 * w, 8), 16, 10).cast("bigint")
+                         / F.lit(4294967296.0) for w in range(4)])
+
+    uniforms = F.flatten(F.transform(F.array(digest), words))
+    counts = F.transform(uniforms, lambda u: poisson_count(u))
+    return (quad.select(*rows.columns, "_q", F.posexplode(counts).alias("_w", "c"))
+            .withColumn("rep", (F.col("_q") * 4 + F.col("_w")).cast("bigint"))
+            .filter((F.col("c") > 0) & (F.col("rep") < reps)).drop("_q", "_w"))
 
 
 def resampled_shares(model: WindowModel, sample: DataFrame, keys: Sequence[str],
