@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from winnow.operators.primitives import row_positions
 
@@ -27,9 +29,6 @@ def json_digest(cols: Sequence[str]) -> Column:
 def python_json_digest(cols: Sequence[str]) -> Column:
     """The same digest as Python's ``json.dumps(sort_keys, compact)`` writes, for logs that
     were written by Python: it escapes non-ASCII text and prints floats its own way."""
-    import pandas as pd
-    from pyspark.sql.types import StringType
-
     names = sorted(cols)
 
     def digest(rows: pd.DataFrame) -> pd.Series:
