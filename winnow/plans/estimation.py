@@ -20,7 +20,12 @@ from winnow.plans.series import WMEM_SQL, win_steps
 from winnow.plans.sqlparts import interp, phi, weighted_points
 from winnow.settings import DEFAULTS as S
 
-TIE = F.struct("rid", "h")
+
+
+def tie():
+    """Full order among equal readings."""
+    return F.struct("rid", "h")
+
 FIELDS = ("mean", "d10", "d50", "d90", "cv")
 
 # -- SQL twins of the estimation chain --------------------------------------------------------------
@@ -267,7 +272,7 @@ SELECT batch_id, step, round(mean,6) AS mean, CASE WHEN mean>0 THEN round(sd/mea
  round(ess,5) AS ess, round(uncovered,6) AS uncovered, round(d10,6) AS d10, round(d50,6) AS d50,
  round(d90,6) AS d90 FROM ipwm JOIN ipwq USING (batch_id, step)""", IPW)
 def _(spark, sf):
-    out = window_model(spark, sf).ipw(TIE)
+    out = window_model(spark, sf).ipw(tie())
     return _rounded(out, "mean", "cv", "uncovered", "d10", "d50", "d90").withColumn(
         "ess", r6("ess", 5))
 
@@ -277,7 +282,7 @@ SELECT batch_id, step, round(mean,6) AS mean, round(cv,6) AS cv, round(d10,6) AS
  round(d50,6) AS d50, round(d90,6) AS d90 FROM rawm JOIN rawq USING (batch_id, step)""", IPW)
 def _(spark, sf):
     rows = window_rows(spark, sf)
-    return _rounded(E.raw_estimate(rows, BS, TIE), "mean", "cv", "d10", "d50", "d90")
+    return _rounded(E.raw_estimate(rows, BS, tie()), "mean", "cv", "d10", "d50", "d90")
 
 
 @query("e9_shrink_to_trend", """
@@ -434,9 +439,9 @@ def _(spark, sf):
     rows = X.win(spark, sf).filter("accepted").select(
         *by, "rid", F.log("size_um").alias("x"), F.col("thickness_um").alias("h"))
     m = E.WindowModel(rows, E.reference_from_population(bed, by, "size_um", S.size_edges), by, S)
-    ipw = m.ipw(TIE).select(*by, r6("d10").alias("corrected_d10"), r6("ess", 4).alias("ess"),
+    ipw = m.ipw(tie()).select(*by, r6("d10").alias("corrected_d10"), r6("ess", 4).alias("ess"),
                             r6("uncovered").alias("uncovered"))
-    raw = m.raw(TIE).select(*by, r6("d10").alias("raw_d10"))
+    raw = m.raw(tie()).select(*by, r6("d10").alias("raw_d10"))
     true = N.exact_quantiles(bed, by, "h_um", {"true_d10": 0.1}, kind="nearest")
     return true.withColumn("true_d10", r6("true_d10")).join(raw, by).join(ipw, by)
 
@@ -464,7 +469,7 @@ def estimate_timeline(spark, sf, s=S, bootstrap="none", models=TIMELINE_METHODS)
     """Every estimator at every step; NULL where the window holds too few objects."""
     m = window_model(spark, sf, s)
     out = base_columns(spark, sf, s).join(m.summary().drop("n"), BS, "left")
-    parts = {"raw": lambda: m.raw(TIE), "ipw": lambda: m.ipw(TIE), "model": m.model_estimate,
+    parts = {"raw": lambda: m.raw(tie()), "ipw": lambda: m.ipw(tie()), "model": m.model_estimate,
              "hybrid": m.hybrid_estimate}
     for name in models:
         est = parts[name]()
