@@ -1,4 +1,4 @@
 """Importing this module registers every query of the package."""
 
-from winnow.llm import exact_dedup, license_scan, neighbours, quality, sentencepiece_bpe, simhash  # noqa: F401
+from winnow.llm import exact_dedup, html_extract, license_scan, neighbours, quality, sentencepiece_bpe, simhash  # noqa: F401
 from winnow.llm.registry import ORACLES, QUERIES  # noqa: F401
