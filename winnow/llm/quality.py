@@ -177,9 +177,10 @@ def score(docs: DataFrame, model: AttentionModel, text: str = "text",
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bags = [passages(t) for t in batch.column(where).to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(model.scores(bags))], names=names)
+        # one bag at a time: a score never depends on the rows it travels with
+        scores = [float(model.scores([passages(t)])[0]) for t in batch.column(where).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())],
+                                          names=names)
 
     return map_slices(docs, work, schema)
 
