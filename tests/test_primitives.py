@@ -120,3 +120,19 @@ def test_scalar_helpers(spark):
     assert row.low == pytest.approx(0.5 * (1 + math.erf(-1.96 / math.sqrt(2))), abs=1e-7)
     assert row["nan"] is None and (row.top, row.bottom) == (2, 0)
     assert 0 <= row.u < 1
+
+
+def test_buckets_of_buckets(spark, monkeypatch):
+    # more parts than literal boundaries: every coarse bucket is cut again
+    monkeypatch.setattr(N, "COARSE_BUCKETS", 4)
+    rows = [(i % 3, float((i * 37) % 500)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g long, v double").repartition(5)
+    buckets = N.range_buckets(df, "v", 100)
+    assert buckets.inner is not None and buckets.rows == 2000
+    sizes = [r["count"] for r in buckets.assign(df, "v").groupBy("_bucket").count().collect()]
+    assert len(sizes) > 12 and max(sizes) <= 300 and sum(sizes) == 2000
+    got = N.exact_quantiles(df, ["g"], "v", {"m": 0.5}, rows_per_bucket=100).collect()
+    import statistics
+
+    for r in got:
+        assert r.m == statistics.median(v for g, v in rows if g == r.g)

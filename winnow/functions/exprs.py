@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,3 +94,18 @@ def level(value: Column, warn: float, alarm: float) -> Column:
 def state_name(rank: Column) -> Column:
     return F.element_at(F.array(F.lit("OK"), F.lit("Warning"), F.lit("Alarm")),
                         (rank + 1).cast("int"))
+
+
+def canonical(named: Mapping[str, Column]) -> Column:
+    """Text of named values that no other names and values share.
+
+    Every value is written behind its name and its length; a missing one is a dash.  So text
+    cannot move over a border, and a missing value is not any text.
+    """
+    parts = []
+    for name in sorted(named):
+        v = named[name].cast("string")
+        parts += [F.lit(f"{name}:"),
+                  F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")),
+                  F.lit(";")]
+    return F.concat(*parts)

@@ -448,12 +448,23 @@ def class_mean_d10(rows: DataFrame, table: DataFrame, by: Sequence[str], sigma:
 # -- bootstrap ----------------------------------------------------------------------------------------
 
 
-def poisson_count(u: Column, most: int = 8) -> Column:
-    """Poisson(1) count by its inverse distribution function."""
+def poisson_terms(bits: int = 32) -> int:
+    """Steps of the Poisson(1) distribution function that a uniform of so many bits can reach."""
+    import math
+
+    cum, k = 0.0, 0
+    while cum <= 1.0 - 0.5 ** bits:
+        cum += math.exp(-1.0) / math.factorial(k)
+        k += 1
+    return k
+
+
+def poisson_count(u: Column) -> Column:
+    """Poisson(1) count by its inverse distribution function, to the last bit of a uniform."""
     import math
 
     out, cum = F.lit(0.0), 0.0
-    for k in range(most):
+    for k in range(poisson_terms()):
         cum += math.exp(-1.0) / math.factorial(k)
         out = out + (u >= cum).cast("double")
     return out

@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from winnow.operators.primitives import estimated_bytes, range_buckets, settle
+from winnow.operators.primitives import range_buckets, rows_up_to, settle
 
-#: A side of a join is broadcast only below this estimated size.
-BROADCAST_BYTES = 16 * 1024 * 1024
+#: A side of a join is broadcast only up to this many rows, as counted.
+BROADCAST_ROWS = 100_000
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """Broadcast hint behind a size check; beyond it Spark joins by shuffle."""
-    return F.broadcast(df) if estimated_bytes(df) <= BROADCAST_BYTES else df
+    """Broadcast hint behind a count of the rows; beyond it Spark joins by shuffle."""
+    return F.broadcast(df) if rows_up_to(df, BROADCAST_ROWS) <= BROADCAST_ROWS else df
 
 
 def window_members(df: DataFrame, by: Sequence[str], steps: int,

@@ -9,15 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from winnow.operators.primitives import row_positions
+from winnow.functions.exprs import canonical
+from winnow.operators.primitives import row_positions, settle
 
 GENESIS = "0" * 64
 
 
 def row_digest(cols: Sequence[str]) -> Column:
-    """SHA-256 of a row in the order of its column names, with a token for missing values."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(cols)]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    """SHA-256 of a row's columns in their canonical text."""
+    return F.sha2(canonical({c: F.col(c) for c in cols}), 256)
 
 
 def json_digest(cols: Sequence[str]) -> Column:
@@ -45,35 +45,39 @@ def python_json_digest(cols: Sequence[str]) -> Column:
     return F.pandas_udf(digest, StringType())(F.struct(*names))
 
 
-def link(body: Column, prev: Column) -> Column:
-    """Hash of an entry: its content digest bound to the hash before it."""
-    return F.sha2(F.concat_ws("|", body, prev), 256)
+def link(log: Column, seq: Column, prev: Column, body: Column) -> Column:
+    """Hash of an entry: its log, number and content digest bound to the hash before it."""
+    return F.sha2(canonical({"log": log, "seq": seq, "prev": prev, "body": body}), 256)
+
+
+def link_text(log, seq: int, prev: str, body: str) -> bytes:
+    """What `link` hashes, for the one place where links must be walked in order."""
+    named = {"log": log, "seq": seq, "prev": prev, "body": body}
+    return "".join(f"{n}:-;" if v is None else f"{n}:{len(str(v))}:{v};"
+                   for n, v in sorted(named.items())).encode()
 
 
 def append_chain(entries: DataFrame, log: str, order: str, body: Column,
                  heads: DataFrame | None = None) -> DataFrame:
     """Number and link new entries behind each log's present head.
 
-    A hash chain is sequential within a log and parallel across logs.  Content digests are
-    computed in parallel first; only the short links are walked in order, in batches, so even
-    a very long log needs little memory.  Adds seq, prev_hash and hash.
+    A hash chain is sequential within a log and parallel across logs.  Content digests and
+    positions are computed in parallel first; only (log, position, digest) are walked in order,
+    in batches, and the hashes are joined back.  Adds seq, prev_hash and hash.
     """
-    rows = entries.withColumn("_body", body)
+    rows = settle(row_positions(entries.withColumn("_body", body), [log], order, ["_body"],
+                                "_pos").drop("_pos_n"))
+    slim = rows.select(log, "_pos", "_body")
     if heads is None:
-        rows = rows.withColumn("_seq0", F.lit(0).cast("bigint")).withColumn(
+        slim = slim.withColumn("_seq0", F.lit(0).cast("bigint")).withColumn(
             "_head", F.lit(GENESIS))
     else:
-        rows = (rows.join(heads.select(log, F.col("seq").cast("bigint").alias("_seq0"),
+        slim = (slim.join(heads.select(log, F.col("seq").cast("bigint").alias("_seq0"),
                                        F.col("hash").alias("_head")), log, "left")
                 .withColumn("_seq0", F.coalesce("_seq0", F.lit(0).cast("bigint")))
                 .withColumn("_head", F.coalesce("_head", F.lit(GENESIS))))
-    rows = rows.drop("seq", "prev_hash", "hash") if order != "seq" else (
-        rows.drop("prev_hash", "hash").withColumnRenamed("seq", "_order"))
-    order = "_order" if order == "seq" else order
-    rows = rows.repartition(log).sortWithinPartitions(log, order)
-    keep = [f for f in rows.schema.fields if f.name not in ("_body", "_seq0", "_head", "_order")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    names = [f.name for f in keep]
+    slim = slim.repartition(log).sortWithinPartitions(log, "_pos")
+    kind = slim.schema[log].dataType.simpleString()
 
     def walk(batches):
         import hashlib
@@ -85,20 +89,23 @@ def append_chain(entries: DataFrame, log: str, order: str, body: Column,
                 if current is None or key != current:
                     current, seq, prev = key, int(s0), head
                 seq += 1
-                digest = hashlib.sha256(f"{b}|{prev}".encode()).hexdigest()
+                digest = hashlib.sha256(link_text(key, seq, prev, b)).hexdigest()
                 seqs.append(seq)
                 prevs.append(prev)
                 hashes.append(digest)
                 prev = digest
-            yield pdf[names].assign(seq=seqs, prev_hash=prevs, hash=hashes)
+            yield pdf[[log, "_pos"]].assign(seq=seqs, prev_hash=prevs, hash=hashes)
 
-    return rows.mapInPandas(walk, f"{schema}, seq bigint, prev_hash string, hash string")
+    linked = slim.mapInPandas(
+        walk, f"`{log}` {kind}, _pos bigint, seq bigint, prev_hash string, hash string")
+    return rows.drop("seq", "prev_hash", "hash").join(linked, [log, "_pos"]).drop("_pos", "_body")
 
 
 def verify_chain(entries: DataFrame, log: str, line: str, body: Column,
                  expected: DataFrame | None = None,
                  rows_per_bucket: int | None = None) -> DataFrame:
-    """First bad entry of every log and what is wrong with it.
+    """First bad entry of every log and what is wrong with it: its number, link or content,
+    or the head of the log.
 
     An entry needs only the stored hash of the line before it, so the check is a join on
     position - 1 and does not walk the log.  ``expected`` (log, latest) holds hashes noted
@@ -110,11 +117,10 @@ def verify_chain(entries: DataFrame, log: str, line: str, body: Column,
     before = at.select(log, (F.col("_pos") + 1).alias("_pos"), F.col("hash").alias("_before"))
     rows = at.join(before, [log, "_pos"], "left").withColumn(
         "_before", F.coalesce("_before", F.lit(GENESIS)))
-    problem = (F.when(~F.col("seq").eqNullSafe(F.col("_pos") + 1), "sequence number out of order")
-               .when(~F.col("prev_hash").eqNullSafe(F.col("_before")),
-                     "link to the previous entry is broken")
-               .when(~F.col("hash").eqNullSafe(link(F.col("_body"), F.col("prev_hash"))),
-                     "entry content does not match its hash"))
+    own = link(F.col(log), F.col("seq"), F.col("prev_hash"), F.col("_body"))
+    problem = (F.when(~F.col("seq").eqNullSafe(F.col("_pos") + 1), "number")
+               .when(~F.col("prev_hash").eqNullSafe(F.col("_before")), "link")
+               .when(~F.col("hash").eqNullSafe(own), "content"))
     rows = rows.withColumn("_problem", problem)
     bad = F.when(F.col("_problem").isNotNull(), F.col("_pos"))
     out = rows.groupBy(log).agg(
@@ -126,7 +132,7 @@ def verify_chain(entries: DataFrame, log: str, line: str, body: Column,
             "latest").eqNullSafe(F.col("_want"))
         out = out.withColumn("entries", F.coalesce("entries", F.lit(0))).withColumn(
             "first_bad_seq", F.when(gone, F.col("entries")).otherwise(F.col("first_bad_seq"))
-        ).withColumn("problem", F.when(gone, F.lit("latest hash differs from the one on record"))
+        ).withColumn("problem", F.when(gone, F.lit("head"))
                      .otherwise(F.col("problem"))).drop("_want")
     return out.withColumn("ok", F.col("problem").isNull())
 
@@ -153,8 +159,8 @@ FINGERPRINT_PRIME = 1_000_000_007
 
 def fingerprint(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Order-insensitive fingerprint of a table: rows, sum of hashes modulo a prime, xor."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols]
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("bigint")
+    text = canonical({c: F.col(c) for c in cols})
+    h = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
     return df.select(h.alias("h")).agg(
         F.count("*").alias("n"),
         (F.sum(F.col("h") % FINGERPRINT_PRIME) % FINGERPRINT_PRIME).alias("sum_mod"),
@@ -175,8 +181,8 @@ def batch_record(stops: DataFrame, est: DataFrame, faults: DataFrame, checks: Da
         F.sort_array(F.collect_list("fault")).alias("faults"))
     return (at.join(rule_list, by).join(seen, by, "left").join(checks, by, "left")
             .join(signed, by, "left").select(
-        by, "stops", F.when(F.col("stop").isNotNull(), "stop recommended")
-        .otherwise("no stop recommended").alias("status"), F.col("step").alias("at_step"),
+        by, "stops", F.when(F.col("stop").isNotNull(), "stop").otherwise("go on")
+        .alias("status"), F.col("step").alias("at_step"),
         F.col("hybrid_d10").alias("d10_um"), "d10_lo", "d10_hi", "p_spec", "undecided_rate",
         F.coalesce("faults", F.array().cast("array<string>")).alias("faults"),
         F.coalesce("entries", F.lit(0)).alias("entries"), "ok",

@@ -10,10 +10,7 @@ from pyspark.sql import Window as W
 
 from winnow.functions.exprs import clamped_bin
 from winnow.operators.aggregates import rejoin
-from winnow.operators.primitives import running_sums
-
-#: Parts of a group in the first round of a top-k.
-TOP_PARTS = 64
+from winnow.operators.primitives import ROWS_PER_BUCKET, running_sums
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
@@ -24,7 +21,8 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
     group; the second round sees at most k rows per part.
     """
     by = list(by)
-    part = F.pmod(F.xxhash64(*keys), F.lit(TOP_PARTS))
+    # as if one group held all rows
+    part = F.pmod(F.xxhash64(*keys), F.lit(max(1, -(-df.count() // ROWS_PER_BUCKET))))
     first = W.partitionBy(*by, "_part").orderBy(*order)
     final = W.partitionBy(*by).orderBy(*order) if by else W.orderBy(*order)
     return (df.withColumn("_part", part).withColumn("_r", F.row_number().over(first))

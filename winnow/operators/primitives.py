@@ -21,12 +21,10 @@ from pyspark.sql import Window as W
 
 from winnow.functions.exprs import uniform
 
-#: Rows a single window task may hold.  Below it one bucket is enough.
+#: Rows a single window task may hold.  Input of fewer rows, as counted, is one bucket.
 ROWS_PER_BUCKET = 200_000
-#: Inputs the optimizer estimates below this many bytes need no boundaries at all.
-SMALL_BYTES = 32 * 1024 * 1024
-#: Parts of one repeated value when rows must be numbered inside it.
-TIE_PARTS = 256
+#: Literal boundaries the driver makes at most; beyond them every bucket is cut again.
+COARSE_BUCKETS = 4096
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,52 +53,65 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of the scans under a plan as the optimizer estimates it; no job runs.
-
-    The estimate of the whole plan multiplies the sides of every join, so the leaves are summed.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+def rows_up_to(df: DataFrame, most: int) -> int:
+    """Number of rows, counted no further than one above ``most``."""
+    return df.limit(most + 1).count()
 
 
 @dataclass(frozen=True)
 class RangeBuckets:
-    """Literal boundaries of a value range; recomputation puts a row in the same bucket."""
+    """Boundaries of a value range; recomputation puts a row in the same bucket.
+
+    ``splits`` are literal; ``inner`` holds the finer boundaries of each coarse bucket as a
+    written table, where one level is not enough.  ``rows`` is the measured number of rows.
+    """
 
     splits: tuple[float, ...]
+    rows: int = 0
+    inner: DataFrame | None = None
 
     def assign(self, df: DataFrame, value: str, out: str = "_bucket") -> DataFrame:
         if not self.splits:
             return df.withColumn(out, F.lit(0))
         cut = Bucketizer(splits=[float("-inf"), *self.splits, float("inf")],
                          inputCol="_cut", outputCol=out, handleInvalid="keep")
-        return (cut.transform(df.withColumn("_cut", F.col(value).cast("double")))
-                .withColumn(out, F.col(out).cast("int")).drop("_cut"))
+        df = cut.transform(df.withColumn("_cut", F.col(value).cast("double"))).withColumn(
+            out, F.col(out).cast("bigint"))
+        if self.inner is not None:
+            cuts = self.inner.withColumnRenamed("_coarse", out)
+            finer = F.size(F.filter("_cuts", lambda c: c <= F.col("_cut")))
+            df = df.join(cuts, out, "left").withColumn(
+                out, F.col(out) * F.lit(1 << 20) + F.coalesce(finer, F.lit(0))).drop("_cuts")
+        return df.drop("_cut")
+
+
+def _cut_points(df: DataFrame, value: Column, parts: int):
+    """Approximate quantiles that cut rows into ``parts``; an aggregate."""
+    shares = ",".join(f"{i / parts!r}D" for i in range(1, parts))
+    return df.select(value.cast("double").alias("_v"), "*"), F.expr(
+        f"percentile_approx(_v, array({shares}), {10 * parts})")
 
 
 def range_buckets(df: DataFrame, value: str, rows_per_bucket: int | None = None) -> RangeBuckets:
-    """Boundaries that cut the rows into similar parts, from one pass of approximate quantiles.
+    """Boundaries that cut the rows, as counted, into parts of about ``ROWS_PER_BUCKET``.
 
-    The driver receives at most 8,192 numbers.  An input whose estimated size is small skips
-    the pass and stays in one bucket.
+    The driver receives at most ``COARSE_BUCKETS`` numbers.  Where more parts are wanted, each
+    coarse bucket gets boundaries of its own in a second pass, and they stay a table.
     """
-    if rows_per_bucket is None and estimated_bytes(df) <= SMALL_BYTES:
-        return RangeBuckets(())
     per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_max = max(64, min(8192, 16 * parts))
-    shares = ",".join(f"{i / n_max!r}D" for i in range(1, n_max))
-    row = (df.select(F.col(value).cast("double").alias("_v"))
-           .agg(F.count("_v").alias("n"),
-                F.expr(f"percentile_approx(_v, array({shares}), {10 * n_max})").alias("q"))
-           .first())
-    wanted = min(n_max, -(-row["n"] // per_bucket))
+    n = df.select(F.count(value)).first()[0]
+    wanted = -(-n // per_bucket)
     if wanted <= 1:
-        return RangeBuckets(())
-    pick = sorted({row["q"][round(i * n_max / wanted) - 1] for i in range(1, wanted)})
-    return RangeBuckets(tuple(pick))
+        return RangeBuckets((), n)
+    coarse = min(wanted, COARSE_BUCKETS)
+    rows, cuts = _cut_points(df, F.col(value), coarse)
+    found = RangeBuckets(tuple(sorted(set(rows.agg(cuts.alias("q")).first()["q"]))), n)
+    if wanted <= coarse:
+        return found
+    finer = min(-(-wanted // coarse), COARSE_BUCKETS)
+    rows, cuts = _cut_points(found.assign(df, value, "_coarse"), F.col(value), finer)
+    inner = settle(rows.groupBy("_coarse").agg(F.array_distinct(cuts).alias("_cuts")))
+    return RangeBuckets(found.splits, n, inner)
 
 
 def _group_cols(df: DataFrame, by: Sequence[str], name: str = "_all"
@@ -168,8 +179,10 @@ def row_positions(
     ``out_n`` (rows of the group).
     """
     df, keys = _group_cols(df, by, "_whole")
+    # parts of a repeated value, as if one value held all rows
+    tie_parts = max(1, -(-df.count() // (rows_per_bucket or ROWS_PER_BUCKET)))
     df = (df.withColumn("_u", uniform(*ties))
-          .withColumn("_part", F.floor(F.col("_u") * TIE_PARTS).cast("int")))
+          .withColumn("_part", F.floor(F.col("_u") * tie_parts).cast("bigint")))
     parts = df.groupBy(*keys, value, "_part").agg(F.count("*").alias("_n"))
     below = running_sums(parts, keys, value, {"_rows": F.col("_n")},
                          rows_per_bucket=rows_per_bucket)

@@ -85,7 +85,7 @@ def range_violations(df: DataFrame, keys: Sequence[str],
     return (df.select(*keys, F.explode(limits).alias("r"))
             .select(*keys, "r.*").filter(~F.col("value").between(F.col("lo"), F.col("hi")))
             .withColumn("message", F.format_string(
-                "%s = %.4f is outside the range %.1f to %.1f",
+                "%s: %.4f not in [%.1f, %.1f]",
                 "parameter", "value", "lo", "hi")))
 
 

@@ -113,8 +113,8 @@ def _(spark, sf):
 
 @query("prj10_range_violations", """
 SELECT rid, parameter, round(value,6) AS value, lo, hi,
-  parameter||' = '||printf('%.4f', value)||' is outside the range '||printf('%.1f', lo)||' to '
-  ||printf('%.1f', hi) AS message
+  parameter||': '||printf('%.4f', value)||' not in ['||printf('%.1f', lo)||', '
+  ||printf('%.1f', hi)||']' AS message
 FROM (SELECT rid, 'thickness_um' AS parameter, thickness_um AS value, 2e0 AS lo, 22e0 AS hi
       FROM win
       UNION ALL SELECT rid, 'size_um', size_um, 520e0, 980e0 FROM win)

@@ -24,7 +24,7 @@ from winnow.settings import DEFAULTS as S
 
 def _poisson_sql(u: str) -> str:
     cum, arms = 0.0, []
-    for k in range(8):
+    for k in range(E.poisson_terms()):
         cum += math.exp(-1.0) / math.factorial(k)
         arms.append(f"({u}>={cum!r}e0)::INT")
     return "(" + "+".join(arms) + ")::DOUBLE"
@@ -230,7 +230,7 @@ def _(spark, sf):
     return signals(spark, sf).select(*BS, "ready", *[r6(c, 5).alias(c) for c in _SIG])
 
 
-_FAULTS = [f for f, _, _ in D.FAULTS]
+_FAULTS = list(D.FAULTS)
 
 
 @query("d5_fault_rules", f"SELECT batch_id, step, {', '.join(_FAULTS)} FROM dflag", DIAG,
@@ -247,11 +247,11 @@ def _(spark, sf):
     return sig.select(*BS, r6("growth_ratio", 5).alias("growth_ratio")).join(verdict, BS)
 
 
-@query("d6_fault_history", "SELECT batch_id, fault, label, action, first_step, at_end FROM ("
+@query("d6_fault_history", "SELECT batch_id, fault, first_step, at_end FROM ("
        + " UNION ALL ".join(
-           f"SELECT batch_id, '{f}' AS fault, '{lb}' AS label, '{a}' AS action, min(step) FILTER "
+           f"SELECT batch_id, '{f}' AS fault, min(step) FILTER "
            f"({f}) AS first_step, arg_max({f}, step) AS at_end FROM dflag GROUP BY 1"
-           for f, lb, a in D.FAULTS) + ")", DIAG, recursive=True)
+           for f in D.FAULTS) + ")", DIAG, recursive=True)
 def _(spark, sf):
     return D.fault_history(D.fault_flags(signals(spark, sf), LIMITS))
 
@@ -262,13 +262,13 @@ SELECT batch_id, spec, smooth, stop, ideal, round(coalesce(t1.d10_um, t2.d10_um)
 FROM (SELECT c.batch_id, spec, smooth, min(c.step) FILTER (lvl>=spec) AS stop,
   min(c.step) FILTER (d10_um>=spec) AS ideal, max(c.step) AS last FROM (
   SELECT r.batch_id, r.step, g.spec, g.smooth, CASE g.smooth WHEN 1 THEN raw_d10
-   WHEN 3 THEN m3 ELSE m5 END AS lvl FROM (SELECT batch_id, step, raw_d10,
-    CASE WHEN count(raw_d10) OVER a=3 THEN avg(raw_d10) OVER a END AS m3,
-    CASE WHEN count(raw_d10) OVER b=5 THEN avg(raw_d10) OVER b END AS m5 FROM tl
-    WINDOW a AS (PARTITION BY batch_id ORDER BY step ROWS 2 PRECEDING),
-     b AS (PARTITION BY batch_id ORDER BY step ROWS 4 PRECEDING)) r,
+   WHEN 2 THEN m2 ELSE m4 END AS lvl FROM (SELECT batch_id, step, raw_d10,
+    CASE WHEN count(raw_d10) OVER a=2 THEN avg(raw_d10) OVER a END AS m2,
+    CASE WHEN count(raw_d10) OVER b=4 THEN avg(raw_d10) OVER b END AS m4 FROM tl
+    WINDOW a AS (PARTITION BY batch_id ORDER BY step ROWS 1 PRECEDING),
+     b AS (PARTITION BY batch_id ORDER BY step ROWS 3 PRECEDING)) r,
    (SELECT spec, smooth FROM (SELECT unnest([8e0,10e0,12e0,14e0]) AS spec),
-    (SELECT unnest([1,3,5]) AS smooth)) g) c
+    (SELECT unnest([1,2,4]) AS smooth)) g) c
   JOIN truthline t ON t.batch_id=c.batch_id AND t.step=c.step GROUP BY 1,2,3)
  LEFT JOIN (SELECT batch_id, step AS stop, d10_um, frac_below_spec FROM truthline) t1
   USING (batch_id, stop)
@@ -276,7 +276,7 @@ FROM (SELECT c.batch_id, spec, smooth, min(c.step) FILTER (lvl>=spec) AS stop,
   USING (batch_id, last)""", {**Q.TL, **TRUTH_SQL}, recursive=True)
 def _(spark, sf):
     est = N.settle(Q.estimate_timeline(spark, sf, models=("raw",)).select(*BS, "raw_d10"))
-    cases = J.case_grid(spark, {"spec": (8.0, 10.0, 12.0, 14.0), "smooth": (1, 3, 5)})
+    cases = J.case_grid(spark, {"spec": (8.0, 10.0, 12.0, 14.0), "smooth": (1, 2, 4)})
     return _rounded(D.sweep_rules(est, truth_timeline(spark, sf), cases, "raw_d10"),
                     "true_d10_um", "below")
 

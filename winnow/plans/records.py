@@ -17,6 +17,7 @@ from winnow.plans.fixtures import u_duck, u_spark
 from winnow.plans.measures import BS, _F7, _PAIRS, _rounded
 from winnow.plans.registry import query
 from winnow.plans.series import ev_steps
+from winnow.plans.sqlparts import canonical_sql
 from winnow.settings import DEFAULTS as S
 from winnow.sources import files as R
 from winnow.streaming import operators as T
@@ -137,19 +138,25 @@ def _(spark, sf):
 
 # -- logs -----------------------------------------------------------------------------------------------
 _BODY = ("role", "text")
-_SHA = "sha256(coalesce(role,'\\N')||'|'||coalesce(text,'\\N'))"
+_SHA = f"sha256({canonical_sql({'role': 'role', 'text': 'text'})})"
+
+
+def _link(seq: str, prev: str, body: str, log: str = "log_id") -> str:
+    return "sha256(" + canonical_sql({"log": log, "seq": seq, "prev": prev, "body": body}) + ")"
+
+
 LOGS = {"lbody": f"SELECT log_id, seq, role, text, {_SHA} AS body FROM logs",
         "lchain": f"""SELECT log_id, seq, repeat('0',64) AS prev_hash,
-  sha256(body||'|'||repeat('0',64)) AS hash FROM lbody WHERE seq=1
-  UNION ALL SELECT b.log_id, b.seq, c.hash, sha256(b.body||'|'||c.hash)
+  {_link('seq', "repeat('0',64)", 'body')} AS hash FROM lbody WHERE seq=1
+  UNION ALL SELECT b.log_id, b.seq, c.hash, {_link('b.seq', 'c.hash', 'b.body', 'b.log_id')}
   FROM lchain c JOIN lbody b ON b.log_id=c.log_id AND b.seq=c.seq+1""",
-        "ltamper": f"""SELECT l.log_id, l.seq, l.role, CASE WHEN l.log_id%7=0 AND l.seq=2 THEN
+        "ltamper": """SELECT l.log_id, l.seq, l.role, CASE WHEN l.log_id%7=0 AND l.seq=2 THEN
   l.text||'x' ELSE l.text END AS text, CASE WHEN l.log_id%5=0 AND l.seq=3 THEN repeat('1',64)
   ELSE prev_hash END AS prev_hash, hash FROM logs l JOIN lchain USING (log_id, seq)
   WHERE NOT (l.log_id%11=3 AND l.seq=2)""",
-        "lcheck": f"""SELECT log_id, pos, hash, CASE WHEN seq<>pos THEN
-  'sequence number out of order' WHEN prev_hash<>before THEN 'link to the previous entry is broken'
-  WHEN hash<>sha256({_SHA}||'|'||prev_hash) THEN 'entry content does not match its hash' END AS bad
+        "lcheck": f"""SELECT log_id, pos, hash, CASE WHEN seq<>pos THEN 'number'
+  WHEN prev_hash<>before THEN 'link' WHEN hash<>{_link('seq', 'prev_hash', _SHA)} THEN 'content'
+  END AS bad
   FROM (SELECT *, row_number() OVER w AS pos, coalesce(lag(hash) OVER w,repeat('0',64)) AS before
    FROM ltamper WINDOW w AS (PARTITION BY log_id ORDER BY seq))"""}
 
@@ -177,25 +184,25 @@ def _(spark, sf):
     return chained(spark, sf).select("log_id", "seq", "prev_hash", "hash")
 
 
-@query("l3_row_digest", """
-SELECT rid, sha256(predicted::VARCHAR||'|'||rid||'|'||coalesce(status,'\\N')||'|'||truth::VARCHAR)
- AS digest FROM pred""")
+_PRED_ROW = {c: c for c in ("rid", "truth", "predicted", "status")}
+
+
+@query("l3_row_digest",
+       f"SELECT rid, sha256({canonical_sql(_PRED_ROW)}) AS digest FROM pred")
 def _(spark, sf):
-    return X.pred(spark, sf).select(
-        "rid", L.row_digest(["rid", "truth", "predicted", "status"]).alias("digest"))
+    return X.pred(spark, sf).select("rid", L.row_digest(list(_PRED_ROW)).alias("digest"))
 
 
-@query("l4_record_id", """
-SELECT rid, substr(sha256(sha256(predicted::VARCHAR||'|'||rid||'|'||status)||'|model-1'),1,16)
+@query("l4_record_id", f"""
+SELECT rid, substr(sha256({canonical_sql({**_PRED_ROW, 'model': "'model-1'"})}),1,16)
  AS record_id FROM pred""")
 def _(spark, sf):
-    own = L.row_digest(["rid", "predicted", "status"])
-    return X.pred(spark, sf).select("rid", F.substring(
-        L.link(own, F.lit("model-1")), 1, 16).alias("record_id"))
+    return X.pred(spark, sf).withColumn("model", F.lit("model-1")).select(
+        "rid", F.substring(L.row_digest([*_PRED_ROW, "model"]), 1, 16).alias("record_id"))
 
 
 @query("l5_batch_record", """
-SELECT a.batch_id, CASE WHEN c3 IS NOT NULL THEN 'stop recommended' ELSE 'no stop recommended' END
+SELECT a.batch_id, CASE WHEN c3 IS NOT NULL THEN 'stop' ELSE 'go on' END
  AS status, t.step AS at_step, round(hybrid_d10,5) AS d10_um, round(d10_lo,5) AS d10_lo,
  round(p_spec,6) AS p_spec, round(undecided_rate,6) AS undecided_rate,
  coalesce(array_to_string(faults,','),'') AS faults, coalesce(entries,0) AS entries,
@@ -242,29 +249,47 @@ def _(spark, sf):
         "doc_id", "source", L.hash_split(F.col("source"), 42, 0.15, 0.15).alias("split"))
 
 
-@query("s3_split_disjointness", """
-SELECT 0::BIGINT AS straddling, count(*) FILTER (source IS NULL) AS missing FROM documents""")
+@query("s3_split_disjointness", f"""
+SELECT count(*) FILTER (n>1) AS straddling, (SELECT count(*) FROM (SELECT source FROM documents
+ EXCEPT SELECT source FROM documents WHERE source IS NOT NULL)) AS missing
+FROM (SELECT source, count(DISTINCT CASE WHEN {_U52}<0.15e0 THEN 'test' WHEN {_U52}<0.3e0
+ THEN 'val' ELSE 'train' END) AS n FROM documents GROUP BY 1)""")
 def _(spark, sf):
     docs = X.table(spark, sf, "documents").select("source")
     split = docs.withColumn("split", L.hash_split(F.col("source"), 42, 0.15, 0.15))
     return L.split_problems(split, "source", "split", docs)
 
 
-@query("l8_table_fingerprint", """
+_ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+           "o_orderpriority")
+
+
+@query("l8_table_fingerprint", f"""
 SELECT count(*) AS n, (sum(h%1000000007)%1000000007)::BIGINT AS sum_mod, bit_xor(h) AS xor FROM (
- SELECT ('0x'||substr(md5(concat_ws('|',o_orderkey::VARCHAR,o_custkey::VARCHAR,o_orderstatus,
-  o_orderpriority)),1,13))::BIGINT AS h FROM orders)""")
+ SELECT ('0x'||substr(md5({canonical_sql({**{c: c for c in _ORDERS},
+        'o_totalprice': 'round(o_totalprice*100)::BIGINT',
+        'o_orderdate': 'epoch_us(o_orderdate)'})}),1,13))::BIGINT AS h FROM orders)""")
 def _(spark, sf):
-    return L.fingerprint(X.table(spark, sf, "orders"),
-                         ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    # numbers and times as whole numbers: their text is then the same everywhere
+    orders = X.table(spark, sf, "orders").withColumns({
+        "o_totalprice": F.round(F.col("o_totalprice") * 100).cast("bigint"),
+        "o_orderdate": F.unix_micros(F.col("o_orderdate").cast("timestamp"))})
+    return L.fingerprint(orders, _ORDERS)
+
+
+_KEY9 = canonical_sql({"scenario": "scenario", "seed": "seed", "~version": "3"})
 
 
-@query("l9_missing_results", """
-SELECT gamma, count(*) AS n FROM grid WHERE sha256(concat_ws('|',scenario,seed::VARCHAR,'3')) NOT IN
- (SELECT sha256(concat_ws('|',scenario,seed::VARCHAR,'3')) FROM grid WHERE stopped) GROUP BY 1""")
+@query("l9_missing_results", f"""
+SELECT gamma, count(*) AS n FROM grid WHERE sha256({_KEY9}) NOT IN
+ (SELECT sha256({_KEY9}) FROM grid WHERE stopped) GROUP BY 1""")
 def _(spark, sf):
-    cases = X.grid(spark, sf).withColumn("config_hash", R.content_key(["scenario", "seed"], 3))
-    return R.missing_keys(cases, cases.filter("stopped"), "config_hash").groupBy("gamma").agg(
+    cases = X.grid(spark, sf).withColumn("case_key", R.content_key(["scenario", "seed"], 3))
+    folder = R.scratch(spark, "stored")
+    done = cases.filter("stopped").select("case_key", "bias")
+    R.save_result_set({"cells": done}, folder, "all", 3)
+    stored = R.load_result_set(spark, folder, done.schema, "cells", "all", 3)
+    return R.missing_keys(cases, stored, "case_key").groupBy("gamma").agg(
         F.count("*").alias("n"))
 
 

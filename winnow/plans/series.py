@@ -235,9 +235,9 @@ _DOM = """CASE WHEN {m}<0.1e0 THEN 'guess' WHEN {m}<0.5e0 THEN 'approve' ELSE 'r
 
 @query("j11_domain_validation", f"""
 SELECT coalesce(problem,'ok') AS problem, count(*) AS n FROM (
- SELECT CASE WHEN meaning NOT IN ('approve','reject') THEN 'unknown meaning '''||meaning||''''
-  WHEN reason NOT IN ('R1','R2') THEN 'unknown reason code '''||reason||''''
-  WHEN role NOT IN ('assistant') THEN 'unknown user' END AS problem
+ SELECT CASE WHEN meaning NOT IN ('approve','reject') THEN 'meaning: '||meaning
+  WHEN reason NOT IN ('R1','R2') THEN 'reason: '||reason
+  WHEN role NOT IN ('assistant') THEN 'role: '||role END AS problem
  FROM (SELECT role, {_DOM.format(m=u_duck('mean', 'log_id,seq'), r=u_duck('reas', 'log_id,seq')).replace(';', ',')}
   FROM logs)) GROUP BY 1""")
 def _(spark, sf):
@@ -249,10 +249,10 @@ def _(spark, sf):
 
     out = J.domain_check(acts, [
         ("meaning", domain(["approve", "reject"]), "key",
-         F.concat(F.lit("unknown meaning '"), F.col("meaning"), F.lit("'"))),
+         F.concat(F.lit("meaning: "), F.col("meaning"))),
         ("reason", domain(["R1", "R2"]), "key",
-         F.concat(F.lit("unknown reason code '"), F.col("reason"), F.lit("'"))),
-        ("role", domain(["assistant"]), "key", F.lit("unknown user"))])
+         F.concat(F.lit("reason: "), F.col("reason"))),
+        ("role", domain(["assistant"]), "key", F.concat(F.lit("role: "), F.col("role")))])
     return out.groupBy(F.coalesce("problem", F.lit("ok")).alias("problem")).agg(
         F.count("*").alias("n"))
 

@@ -25,3 +25,10 @@ def phi(z: str) -> str:
             "+0.319381530e0)")
     tail = f"(0.3989422804014327e0*exp(-0.5e0*{z}*{z})*{poly}*{t})"
     return f"(CASE WHEN {z}>=0 THEN 1e0-{tail} ELSE {tail} END)"
+
+
+def canonical_sql(named: dict[str, str]) -> str:
+    """`functions.exprs.canonical` of named SQL expressions."""
+    return "||".join(
+        f"'{n}:'||coalesce(length(({e})::VARCHAR)||':'||({e})::VARCHAR,'-')||';'"
+        for n, e in sorted(named.items()))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winnow.functions.exprs import no_nan
+from winnow.functions.exprs import canonical, no_nan
 from winnow.operators.primitives import shared_folder
 
 
@@ -52,8 +52,9 @@ def missing_keys(cases: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 
 
 def content_key(cols: Sequence[str], version: int):
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(cols)]
-    return F.sha2(F.concat_ws("|", *parts, F.lit(str(version))), 256)
+    """SHA-256 of what a case depends on, and of the version of the code that computes it."""
+    named = {c: F.col(c) for c in cols}
+    return F.sha2(canonical({**named, "~version": F.lit(version)}), 256)
 
 
 def write_log(df: DataFrame, path: str) -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from winnow.functions.exprs import level, state_name
+from winnow.operators.logs import link_text
 from winnow.operators.primitives import running_sums
 from winnow.sources.files import scratch
 
@@ -129,8 +130,8 @@ def chain_stream(entries: DataFrame, body: str) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values("seq")
         out = []
         for b in rows[body]:
-            digest = hashlib.sha256(f"{b}|{prev}".encode()).hexdigest()
             seq += 1
+            digest = hashlib.sha256(link_text(key[0], seq, prev, b)).hexdigest()
             out.append((key[0], seq, prev, digest))
             prev = digest
         state.update((int(seq), prev))
