@@ -189,10 +189,14 @@ def duplicate_classes(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
     return settle(both.unionByName(fresh))
 
 
-def _byte_check(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Digests under which different texts met; smallest and largest text differ there."""
-    many = classes.filter("n > 1").select("digest")
-    return (texts.join(many, "digest", "left_semi").groupBy("digest")
+def _byte_check(texts: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Digests under which different texts met; smallest and largest text differ there.
+
+    Rows of larger classes are picked without their texts, which then join by row number: a
+    class of any size is spread evenly and combined before it is shuffled by its digest.
+    """
+    many = rows.join(classes.filter("n > 1").select("digest"), "digest").select("_row", "digest")
+    return (texts.join(many, "_row").groupBy("digest")
             .agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
             .filter("lo <> hi").select("digest"))
 
@@ -215,8 +219,7 @@ def dedup(docs: DataFrame, incoming: Column | None = None,
     if digest is sha256:
         rows = rows.withColumn("text_sha256", F.col("digest"))
     classes = duplicate_classes(rows.filter(~F.col("incoming")), rows.filter("incoming"))
-    split = settle(_byte_check(texts.select(digest(F.col("norm")).alias("digest"), "norm"),
-                               classes))
+    split = settle(_byte_check(texts.select("_row", "norm"), rows, classes))
     out = rows
     if not split.isEmpty():  # different texts under one digest: their text is their class
         mixed = (texts.select("_row", "norm", digest(F.col("norm")).alias("digest"))
@@ -258,4 +261,4 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # ids are unique in this table, so the id itself can stand for the row
     return dedup(docs.withColumn("_row", F.col("doc_id"))).select(
         "doc_id", "keep_id", "group_size",
-        (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
