@@ -11,6 +11,7 @@ from winnow.session import local_session
 
 HEADLINE = (
     "slice_corrected_d10", "prj7_stride_thin", "bin2_joint_range_classes", "j1_window_members",
+    "j3_nearest_scan",
     "a2_weighted_quantile", "a4_nearest_rank_quantile",
     "a11_population_summary", "a29_ks_distance", "a31_calibration_table", "w1_rolling_counts",
     "w8_ewma", "w13_tune_threshold", "e5_trend_fit", "e7_ipw_estimate", "e11_mixture_hybrid",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from winnow.operators.primitives import range_buckets, rows_up_to, settle
+from winnow.operators.primitives import exact_quantiles, range_buckets, rows_up_to, settle
 
 #: A side of a join is broadcast only up to this many rows, as counted.
 BROADCAST_ROWS = 100_000
@@ -72,58 +73,116 @@ def asof_interpolate(records: DataFrame, series: DataFrame, by: Sequence[str], t
 
 
 def weighted_nearest(queries: DataFrame, library: DataFrame, coords: Sequence[tuple[str, str]],
-                     weights: Sequence[float], lib_id: str, band: int = 0,
-                     out: str = "nearest") -> DataFrame:
+                     weights: Sequence[float], lib_id: str, out: str = "nearest") -> DataFrame:
     """Exact nearest library entry under a weighted sum of absolute differences.
 
-    ``coords`` pairs (query column, library column); ``band`` is the coordinate used for
-    searching; the lowest id wins ties.  Query points and library points are collapsed to
-    distinct coordinates, then compared only inside bands of the search coordinate.  A band of
-    half-width r proves the answer when the best cost is at most r times the weight; the rest
-    goes on with four times the width until one band holds the whole range.
+    ``coords`` pairs (query column, library column); the lowest id wins ties.  A missing query
+    coordinate takes the library's median; library entries with a missing one take no part.
+
+    Points on both sides are collapsed to distinct coordinates and put into a grid over all
+    weighted coordinates.  A point outside the library's box is moved to its edge, which lowers
+    every cost by the same amount; on a coordinate with few library values a point looks around
+    the closest of them.  A first look into the neighbouring cells gives an upper bound of the
+    cost, a second one visits just the cells that can still hold something as cheap.  Points
+    without any neighbour go on with three times the edge.
     """
     qcols, lcols = [q for q, _ in coords], [c for _, c in coords]
-    lib = library.groupBy(*lcols).agg(F.min(lib_id).alias("_id"))
-    span = lib.agg(F.count("*").alias("n"), F.min(lcols[band]).alias("lo"),
-                   F.max(lcols[band]).alias("hi")).first()
-    todo = settle(queries.select(*qcols).distinct())
-    reach = todo.agg(F.min(qcols[band]).alias("lo"), F.max(qcols[band]).alias("hi")).first()
-    if span["n"] == 0 or reach["lo"] is None:
+    known = library.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in lcols))
+    lib = settle(known.groupBy(*lcols).agg(F.min(lib_id).alias("_id")))
+    box = lib.agg(F.count("*").alias("n"), *[f(c).alias(f"{name}_{c}") for c in lcols
+                                             for name, f in (("lo", F.min), ("hi", F.max))]).first()
+    if box["n"] == 0:
         return queries.withColumn(out, F.lit(None).cast(library.schema[lib_id].dataType))
-    lo = min(span["lo"], reach["lo"])
-    whole = max(span["hi"], reach["hi"]) - lo
-    # about 64 distinct library points per band to begin with
-    width = max(whole * min(1.0, 64.0 / span["n"]), 1e-9)
+    gaps = queries.agg(*[F.count_if(F.col(q).isNull()).alias(q) for q in qcols]).first()
+    filled = {}
+    for q, c in coords:
+        if gaps[q]:
+            middle = exact_quantiles(known, [], c, {"m": 0.5}).first()["m"]
+            filled[q] = F.coalesce(F.col(q), F.lit(middle))
+    spans = [float(w) * (box[f"hi_{c}"] - box[f"lo_{c}"]) for w, c in zip(weights, lcols)]
+
+    def scaled(x: str, c: str, w: float) -> Column:
+        inside = F.least(F.greatest(F.col(x), F.lit(box[f"lo_{c}"])), F.lit(box[f"hi_{c}"]))
+        return (inside - F.lit(box[f"lo_{c}"])).cast("double") * F.lit(float(w))
+
+    moved = sum((F.lit(float(w)) * F.abs(F.col(q) - F.least(F.greatest(
+        F.col(q), F.lit(box[f"lo_{c}"])), F.lit(box[f"hi_{c}"])))
+        for w, (q, c) in zip(weights, coords)), F.lit(0.0))
+    points = queries.select(*[filled.get(q, F.col(q)).alias(q) for q in qcols]).distinct()
+    todo = settle(points.select("*", moved.alias("_moved"), *[
+        scaled(q, c, w).alias(f"_p{i}") for i, (w, (q, c)) in enumerate(zip(weights, coords))]))
+    grid = lib.select("*", *[scaled(c, c, w).alias(f"_z{i}")
+                             for i, (w, c) in enumerate(zip(weights, lcols))])
+    wide = [x for x in spans if x > 0]
+    edge = 0.5 * math.prod(x / box["n"] ** (1 / len(wide)) for x in wide) ** (
+        1 / len(wide)) if wide else 1.0
+    cells = [f"_c{i}" for i in range(len(coords))]
     cost = sum((F.lit(float(w)) * F.abs(F.col(q) - F.col(c))
                 for w, (q, c) in zip(weights, coords)), F.lit(0.0))
+    few = [_few_values(grid, f"_z{i}") for i in range(len(coords))]
+    keys = todo.columns
     done = None
     while True:
-        last = width >= whole
-        cell = F.lit(0).cast("bigint") if last else F.floor((F.col(qcols[band]) - lo) / width)
-        home = F.lit(0).cast("bigint") if last else F.floor((F.col(lcols[band]) - lo) / width)
-        copies = (F.array(home) if last else F.array(home - 1, home, home + 1))
-        near = small_side(lib.select("*", F.explode(copies).alias("_cell")))
-        # primitive minima twice, not one minimum of a struct: that would sort every pair
-        cheap = settle(todo.withColumn("_cell", cell).join(near, "_cell", "left")
-                       .groupBy(*qcols).agg(F.min(cost).alias("_best")))
-        best = (cheap.withColumn("_cell", cell).join(near, "_cell")
-                .filter(cost == F.col("_best")).groupBy(*qcols, "_best")
-                .agg(F.min("_id").alias("_id")))
-        if not last:
-            best = cheap.join(best.drop("_best"), qcols, "left")
-        best = settle(best)
-        proven = F.col("_best") < F.lit(float(weights[band]) * width)
-        if last:
-            proven = F.lit(True)
-        found = best.filter(proven).select(*qcols, F.col("_id").alias(out))
+        near = grid.withColumns({name: F.floor(F.col(f"_z{i}") / F.lit(edge))
+                                 for i, name in enumerate(cells)})
+        around = todo
+        for i, name in enumerate(cells):
+            p = F.col(f"_p{i}")
+            if few[i]:
+                values = F.array(*[F.lit(v) for v in few[i]])
+                p = F.array_min(F.transform(values, _gap_to(p)))["v"]
+            at = F.floor(p / F.lit(edge))
+            around = around.withColumn(name, F.explode(F.array(at - 1, at, at + 1))
+                                       if spans[i] > 0 else at)
+        # a bound of the cost; primitive minima, as one of a struct would sort every pair
+        bound = settle(around.join(near, cells, "left").groupBy(*keys).agg(
+            F.min(cost).alias("_most")))
+        ball = bound.filter("_most IS NOT NULL").withColumn(
+            "_room", (F.col("_most") - F.col("_moved")) * (1 + 1e-9) + 1e-9)
+        for i, name in enumerate(cells):
+            p, room = F.col(f"_p{i}"), F.col("_room")
+            first, final = F.floor((p - room) / F.lit(edge)), F.floor((p + room) / F.lit(edge))
+            if few[i]:
+                taken = sorted({math.floor(v / edge) for v in few[i]})
+                reach = F.filter(F.array(*[F.lit(c).cast("bigint") for c in taken]),
+                                 _between(first, final))
+            else:
+                reach = F.sequence(first, final)
+            ball = ball.withColumn(name, F.explode(reach))
+            low = F.col(name) * F.lit(edge)
+            away = F.greatest(F.lit(0.0), low - F.col(f"_p{i}"),
+                              F.col(f"_p{i}") - low - F.lit(edge))
+            ball = ball.withColumn("_room", F.col("_room") - away).filter("_room >= 0")
+        pairs = ball.drop("_room").join(near, cells)
+        cheap = settle(pairs.groupBy(*keys).agg(F.min(cost).alias("_best")))
+        found = settle(pairs.filter(cost <= F.col("_most")).join(
+            cheap.select(*qcols, "_best"), qcols).filter(cost == F.col("_best"))
+            .groupBy(*qcols).agg(F.min("_id").alias(out)))
         done = found if done is None else done.unionByName(found)
-        if last:
-            break
-        todo = best.filter(~F.coalesce(proven, F.lit(False))).select(*qcols)
+        todo = settle(bound.filter("_most IS NULL").drop("_most"))
         if todo.isEmpty():
             break
-        width *= 4.0
-    return queries.join(done, qcols, "left")
+        edge *= 3.0
+    if not filled:
+        return queries.join(done, qcols, "left")
+    named = [f"_q{i}" for i in range(len(qcols))]
+    done = done.withColumnsRenamed(dict(zip(qcols, named)))
+    same = [filled.get(q, F.col(q)) == F.col(n) for q, n in zip(qcols, named)]
+    return queries.join(done, same, "left").drop(*named)
+
+
+def _few_values(grid: DataFrame, column: str, most: int = 64) -> list[float]:
+    """The distinct values of a coordinate when they are at most ``most``, else none."""
+    values = [r[0] for r in grid.select(column).distinct().limit(most + 1).collect()]
+    return sorted(values) if len(values) <= most else []
+
+
+def _gap_to(p: Column):
+    return lambda v: F.struct(F.abs(v - p).alias("gap"), v.alias("v"))
+
+
+def _between(first: Column, final: Column):
+    return lambda c: (c >= first) & (c <= final)
 
 
 def unfinished(cases: DataFrame, finished: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -145,8 +204,6 @@ def case_grid(spark, axes: Mapping[str, Sequence[float] | tuple]) -> DataFrame:
 
 
 def log_axis(lo: float, hi: float, n: int) -> list[float]:
-    import math
-
     a, b = math.log(lo), math.log(hi)
     return [math.exp(a + (b - a) * i / (n - 1)) for i in range(n)]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from winnow.functions.exprs import edge_bin, r6
@@ -307,20 +308,23 @@ def _(spark, sf):
 
 @query("a22_label_boundaries", """
 SELECT scan_id, k, round(avg(abs(found-want)),6) AS mean_gap FROM (
- SELECT scan_id, rid, k, count(*) FILTER ((d>=found_outer/10e0)::INT+(d>=found_inner/10e0)::INT<k)
+ SELECT scan_id, k, count(*) FILTER ((d>=found_outer/10e0)::INT+(d>=found_inner/10e0)::INT<k)
    AS found, count(*) FILTER ((d>=outer_um/10e0)::INT+(d>=inner_um/10e0)::INT<k) AS want
- FROM (SELECT DISTINCT ON (rid) * FROM asc2), (SELECT unnest(range(40)) AS d),
+ FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY x_um, outer_um, found_outer,
+   found_inner) AS n FROM asc2), (SELECT unnest(range(40)) AS d),
    (SELECT unnest([1,2])::BIGINT AS k)
- GROUP BY 1,2,3) GROUP BY 1,2""")
+ GROUP BY scan_id, rid, n, k) GROUP BY 1,2""")
 def _(spark, sf):
     from winnow.operators.geometry import boundary_positions, masks
 
-    df = X.asc(spark, sf).dropDuplicates(["rid"])
+    # a key may repeat: its few rows are told apart by their number
+    order = W.partitionBy("rid").orderBy("x_um", "outer_um", "found_outer", "found_inner")
+    df = X.asc(spark, sf).withColumn("n", F.row_number().over(order))
     found = boundary_positions(masks(df, F.col("found_outer") / 10.0, F.col("found_inner") / 10.0,
-                                     40), ["scan_id", "rid"], 2)
+                                     40), ["scan_id", "rid", "n"], 2)
     true = boundary_positions(masks(df, F.col("outer_um") / 10.0, F.col("inner_um") / 10.0, 40),
-                              ["scan_id", "rid"], 2)
-    both = found.join(true.withColumnRenamed("position", "truth"), ["scan_id", "rid", "k"])
+                              ["scan_id", "rid", "n"], 2)
+    both = found.join(true.withColumnRenamed("position", "truth"), ["scan_id", "rid", "n", "k"])
     return both.groupBy("scan_id", "k").agg(
         r6(F.avg(F.abs(F.col("position") - F.col("truth")))).alias("mean_gap"))
 

@@ -107,14 +107,14 @@ def _(spark, sf):
 
 @query("j3_nearest_scan", f"""
 SELECT batch_id, step, rid, arg_min(scan_id, (cost, scan_id)) AS scan_id FROM (
- SELECT w.batch_id, w.step, w.rid, l.scan_id,
+ SELECT w.k, w.batch_id, w.step, w.rid, l.scan_id,
   3e0*abs(lh-ln(l.lib_thickness_um))+0.0025e0*abs(w.size_um-l.lib_size_um)
   +4e0*abs(w.fouling-l.lib_fouling) AS cost
- FROM (SELECT DISTINCT ON (rid) batch_id, step, rid, size_um,
+ FROM (SELECT row_number() OVER () AS k, batch_id, step, rid, size_um,
    ln(greatest(coalesce(thickness_um,h_um),0.5e0)) AS lh, round({u_duck('fo')},2) AS fouling
-   FROM win) w, library l) GROUP BY 1,2,3""")
+   FROM win) w, library l) GROUP BY k,1,2,3""")
 def _(spark, sf):
-    records = X.win(spark, sf).dropDuplicates(["rid"]).selectExpr(
+    records = X.win(spark, sf).selectExpr(
         "batch_id", "step", "rid", "size_um",
         "ln(greatest(coalesce(thickness_um,h_um),0.5e0)) as lh",
         f"round({u_spark('fo')},2) as fouling")
