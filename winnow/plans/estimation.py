@@ -456,11 +456,14 @@ def base_columns(spark, sf, s=S):
     n = V.rolling_sum("n_acc", by, s.window_steps)
     single = V.rolling_sum("n_single", by, s.window_steps)
     twin = V.rolling_sum("n_twin", by, s.window_steps)
+    fines = V.rolling_sum("n_fines", by, s.window_steps)
+    steps = F.count("*").over(V.trailing(by, s.window_steps))
     t = (F.col("step") - 40) * s.step_s
     return win_steps(spark, sf).select(
         *BS, (F.lit(s.step_s) * (F.col("step") + 1)).alias("t_s"), n.alias("n_window"),
         F.when(single > 0, F.lit(1.0) - n / single).alias("undecided_rate"),
         ratio(F.lit(100.0) * twin, single + twin).alias("gate_twin_pct"),
+        (fines / (steps * (s.step_s / 60.0))).alias("fines_per_min"),
         (F.lit(3600.0) * V.relative_growth("mean_um", t, by, s.growth_steps))
         .alias("growth_rel_per_h"))
 
@@ -482,6 +485,11 @@ def estimate_timeline(spark, sf, s=S, bootstrap="none", models=TIMELINE_METHODS)
                                F.lit(0), {"_m": 0.5})
     out = out.join(ref.join(m.fit.select(*BS), BS).select(
         *BS, F.exp("_m").alias("ref_median_um")), BS, "left")
+    members = J.window_members(X.win(spark, sf).filter("accepted").select(*BS, "size_um"),
+                               ["batch_id"], s.window_steps)
+    sizes = N.exact_quantiles(members.select("batch_id", F.col("window_step").alias("step"),
+                                             "size_um"), BS, "size_um", {"size_median_um": 0.5})
+    out = out.join(sizes, BS, "left")
     return E.complete_schema(out, ["d10_lo", "d10_hi", "p_spec"])
 
 
@@ -502,9 +510,10 @@ TL = {**IPW, **mixture("h", "erows", "ecomps"),
       **mixture("o", "(SELECT * FROM erows WHERE false)", "emodel")}
 TL["tlbase"] = """SELECT batch_id, step, 60e0*(step+1) AS t_s, n::BIGINT AS n_window,
  CASE WHEN s>0 THEN 1e0-n/s END AS undecided_rate,
- CASE WHEN s+t>0 THEN 100e0*t/(s+t) END AS gate_twin_pct, 3600e0*growth AS growth_rel_per_h
+ CASE WHEN s+t>0 THEN 100e0*t/(s+t) END AS gate_twin_pct, f/(c*1e0) AS fines_per_min,
+ 3600e0*growth AS growth_rel_per_h
  FROM (SELECT batch_id, step, sum(n_acc) OVER w AS n, sum(n_single) OVER w AS s,
-  sum(n_twin) OVER w AS t FROM wstep WINDOW w AS (PARTITION BY batch_id ORDER BY step
+  sum(n_twin) OVER w AS t, sum(n_fines) OVER w AS f, count(*) OVER w AS c FROM wstep WINDOW w AS (PARTITION BY batch_id ORDER BY step
   ROWS 4 PRECEDING)) JOIN wgrowth USING (batch_id, step)"""
 for _p in ("h", "o"):
     TL[f"{_p}piv"] = (f"SELECT batch_id, step, max(root) FILTER (p=0.1e0) AS d10, max(root) FILTER "
@@ -526,14 +535,18 @@ TL["tl"] = """SELECT b.*, r.mean AS raw_mean, q.d10 AS raw_d10, q.d50 AS raw_d50
  o.d10 AS model_d10, o.d50 AS model_d50, o.d90 AS model_d90, om.cv AS model_cv,
  hm.mean AS hybrid_mean, h.d10 AS hybrid_d10, h.d50 AS hybrid_d50, h.d90 AS hybrid_d90,
  hm.cv AS hybrid_cv, f.beta AS fit_beta, sqrt(f.cv2) AS cv_within,
- f.cv2u AS cv2_within_unclipped, rm.ref_median_um FROM tlbase b
+ f.cv2u AS cv2_within_unclipped, rm.ref_median_um, sm.size_median_um FROM tlbase b
+ LEFT JOIN (SELECT g.batch_id, g.step, quantile_cont(size_um, 0.5) AS size_median_um FROM wgrid g
+  JOIN win w ON w.batch_id=g.batch_id AND w.accepted AND w.step>g.step-5 AND w.step<=g.step
+  GROUP BY 1,2) sm USING (batch_id, step)
  LEFT JOIN rawm r USING (batch_id, step) LEFT JOIN rawq q USING (batch_id, step)
  LEFT JOIN ipwm i USING (batch_id, step) LEFT JOIN ipwq iq USING (batch_id, step)
  LEFT JOIN omom om USING (batch_id, step) LEFT JOIN opiv o USING (batch_id, step)
  LEFT JOIN hmom hm USING (batch_id, step) LEFT JOIN hpiv h USING (batch_id, step)
  LEFT JOIN efit f USING (batch_id, step) LEFT JOIN refmed rm ON f.batch_id=rm.batch_id
  AND f.step=rm.step"""
-TL_COLS = ["t_s", "undecided_rate", "gate_twin_pct", "growth_rel_per_h", *[
+TL_COLS = ["t_s", "undecided_rate", "gate_twin_pct", "fines_per_min", "size_median_um",
+           "growth_rel_per_h", *[
     f"{m}_{k}" for m in TIMELINE_METHODS for k in FIELDS], "ipw_uncovered", "fit_beta",
     "cv_within", "cv2_within_unclipped", "ref_median_um"]
 

@@ -20,12 +20,13 @@ from winnow.settings import DEFAULTS as S
 # -- per-step aggregates on the full grid ----------------------------------------------------
 cte("wstep0", """SELECT batch_id, step, count(*) FILTER (accepted) AS n_acc,
  count(*) FILTER (gate_class=0) AS n_single, count(*) FILTER (gate_class=1) AS n_twin,
- sum(thickness_um) AS s1, sum(thickness_um*thickness_um) AS s2, avg(thickness_um) AS mean_um
+ count(*) FILTER (gate_class=2) AS n_fines, sum(thickness_um) AS s1, sum(thickness_um*thickness_um) AS s2, avg(thickness_um) AS mean_um
  FROM win GROUP BY 1,2""")
 cte("wgrid", """SELECT batch_id, unnest(range(min(step), max(step)+1)) AS step FROM win
  GROUP BY 1""")
 cte("wstep", """SELECT g.batch_id, g.step, coalesce(n_acc,0) AS n_acc,
- coalesce(n_single,0) AS n_single, coalesce(n_twin,0) AS n_twin, coalesce(s1,0e0) AS s1,
+ coalesce(n_single,0) AS n_single, coalesce(n_twin,0) AS n_twin,
+ coalesce(n_fines,0) AS n_fines, coalesce(s1,0e0) AS s1,
  coalesce(s2,0e0) AS s2, mean_um FROM wgrid g LEFT JOIN wstep0 USING (batch_id, step)""")
 cte("estep0", """SELECT instrument, step, count(*) AS n, count(*) FILTER (accepted) AS n_acc,
  count(*) FILTER (gate_class=0) AS n_single, count(*) FILTER (gate_class=1) AS n_twin,
@@ -46,10 +47,12 @@ def win_steps(spark, sf):
         F.count_if("accepted").alias("n_acc"),
         F.count_if(F.col("gate_class") == 0).alias("n_single"),
         F.count_if(F.col("gate_class") == 1).alias("n_twin"),
+        F.count_if(F.col("gate_class") == 2).alias("n_fines"),
         F.sum("thickness_um").alias("s1"),
         F.sum(F.col("thickness_um") * F.col("thickness_um")).alias("s2"),
         F.avg("thickness_um").alias("mean_um"))
-    return N.on_step_grid(per, ["batch_id"], ["n_acc", "n_single", "n_twin", "s1", "s2"])
+    return N.on_step_grid(per, ["batch_id"], ["n_acc", "n_single", "n_twin", "n_fines", "s1",
+                                                "s2"])
 
 
 def ev_steps(spark, sf):
