@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +50,15 @@ def bounded_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:
     return df.filter(u < F.lit(share)).limit(bound)
 
 
-def tagged_rows(df: DataFrame, **columns: Column) -> DataFrame:
-    """The rows written once with a row number of their own and further columns.
+def tagged_rows(df: DataFrame) -> DataFrame:
+    """The rows with a name ``_row`` of their own, which keeps repeated rows and null ids apart.
 
-    The number is made while writing and only read afterwards, so a lost executor cannot
-    change it.  Repeated rows and null ids stay apart by it.
+    Rows of files are named by file and position, which no lost executor changes.  Other rows
+    are written once with a number; it is made while writing and only read afterwards.
     """
-    return settle(df.select("*", *[c.alias(n) for n, c in columns.items()],
-                            F.monotonically_increasing_id().alias("_row")))
+    try:
+        return df.select("*", F.concat_ws("#", "_metadata.file_path",
+                                          F.lpad(F.col("_metadata.row_index").cast("string"),
+                                                 12, "0")).alias("_row"))
+    except AnalysisException:  # not a plain scan of files
+        return settle(df.select("*", F.monotonically_increasing_id().alias("_row")))

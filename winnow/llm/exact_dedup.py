@@ -161,13 +161,9 @@ def screen(digests: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 
 def _classes(rows: DataFrame) -> DataFrame:
     """Rows of a class, and the order of the row that stays; combined before the shuffle."""
-    order = F.struct("n_cp", F.coalesce(-F.col("doc_id"), F.lit(-(1 << 63))).alias("low"),
-                     (-F.col("_row")).alias("row"), "doc_id")
-    return rows.groupBy("digest").agg(F.count("*").alias("n"), F.max(order).alias("best"))
-
-
-def _better(a: Column, b: Column) -> Column:
-    return F.greatest(a, b)
+    order = F.struct((-F.col("n_cp")).alias("size"), F.col("doc_id").isNull().alias("none"),
+                     "doc_id", "_row")
+    return rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(order).alias("best"))
 
 
 def duplicate_classes(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -185,7 +181,7 @@ def duplicate_classes(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
     # a positive finds its exact bucket, or was a false alarm and stays a class of its own
     both = old.join(maybe, "digest", "full_outer").select(
         "digest", (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"),
-        _better(F.col("best"), F.col("best2")).alias("best"))
+        F.least("best", "best2").alias("best"))
     return settle(both.unionByName(fresh))
 
 
@@ -231,7 +227,7 @@ def dedup(docs: DataFrame, incoming: Column | None = None,
         classes = classes.join(split, "digest", "left_anti").unionByName(again)
     kept = classes.select("digest", F.col("n").alias("group_size"),
                           F.col("best.doc_id").alias("keep_id"),
-                          (-F.col("best.row")).alias("keep_row"))
+                          F.col("best._row").alias("keep_row"))
     return out.join(kept, "digest").select("doc_id", "_row", "text_sha256", "keep_id",
                                            "keep_row", "group_size")
 
@@ -258,7 +254,6 @@ FROM t JOIN k ON t.h = k.h
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three quarters of the documents are the snapshot, one quarter the incoming batch."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # ids are unique in this table, so the id itself can stand for the row
-    return dedup(docs.withColumn("_row", F.col("doc_id"))).select(
-        "doc_id", "keep_id", "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return dedup(tagged_rows(docs)).select(
+        "doc_id", "keep_id", "group_size", (F.col("_row") == F.col("keep_row")).alias("kept"),
+        "text_sha256")
