@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions.exprs import ratio
-from winnow.operators.primitives import exact_quantiles, running_sums
+from winnow.operators.primitives import exact_quantiles, running_sums, with_group_values
 
 
 def rejoin(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per-group values back onto the rows; without keys ``small`` is a single row."""
     if by:
-        return df.join(small, list(by))
+        return with_group_values(df, small, by)
     return df.withColumn("_one", F.lit(1)).join(
         F.broadcast(small.withColumn("_one", F.lit(1))), "_one").drop("_one")
 

@@ -9,16 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from winnow.operators.primitives import exact_quantiles, range_buckets, rows_up_to, settle
-
-#: A side of a join is broadcast only up to this many rows, as counted.
-BROADCAST_ROWS = 100_000
-
-
-def small_side(df: DataFrame) -> DataFrame:
-    """Broadcast hint behind a count of the rows; beyond it Spark joins by shuffle."""
-    return F.broadcast(df) if rows_up_to(df, BROADCAST_ROWS) <= BROADCAST_ROWS else df
-
+from winnow.operators.primitives import (
+    exact_quantiles, range_buckets, settle, small_side, with_group_values)
 
 def window_members(df: DataFrame, by: Sequence[str], steps: int,
                    step: str = "step") -> DataFrame:
@@ -28,8 +20,8 @@ def window_members(df: DataFrame, by: Sequence[str], steps: int,
     """
     last = df.groupBy(*by).agg(F.max(step).alias("_last"))
     reach = F.sequence(F.col(step), F.least(F.col(step) + (steps - 1), F.col("_last")))
-    return (df.join(last, list(by)).select("*", F.explode(reach).alias("window_step"))
-            .drop("_last"))
+    return (with_group_values(df, last, by)
+            .select("*", F.explode(reach).alias("window_step")).drop("_last"))
 
 
 def asof_interpolate(records: DataFrame, series: DataFrame, by: Sequence[str], t: str,

@@ -58,6 +58,23 @@ def rows_up_to(df: DataFrame, most: int) -> int:
     return df.limit(most + 1).count()
 
 
+#: A side of a join is broadcast only up to this many rows, as counted.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """Broadcast hint behind a count of the rows; beyond it Spark joins by shuffle."""
+    return F.broadcast(df) if rows_up_to(df, BROADCAST_ROWS) <= BROADCAST_ROWS else df
+
+
+def with_group_values(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Values of each group onto its rows, which are not shuffled by a possibly hot group key.
+
+    The values are written first, so their count is real and they are computed once.
+    """
+    return df.join(small_side(settle(per_group)), list(by))
+
+
 @dataclass(frozen=True)
 class RangeBuckets:
     """Boundaries of a value range; recomputation puts a row in the same bucket.

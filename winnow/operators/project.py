@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from winnow.functions.exprs import clamped_bin, closed_bin, equal_width_bin, uniform
-from winnow.operators.primitives import exact_quantiles, row_positions
+from winnow.operators.primitives import exact_quantiles, row_positions, with_group_values
 
 
 def event_label(gate: Column, true_single: Column) -> Column:
@@ -51,7 +51,7 @@ def size_biased_thin(df: DataFrame, by: Sequence[str], size: str, m: float,
                      keys: Sequence[str], tag: str) -> DataFrame:
     """Keep an object with probability (size / largest size of its group) ** m."""
     top = df.groupBy(*by).agg(F.max(size).alias("_top"))
-    return (df.join(top, list(by))
+    return (with_group_values(df, top, by)
             .filter(uniform(*keys, F.lit(tag)) < F.pow(F.col(size) / F.col("_top"), F.lit(m)))
             .drop("_top"))
 
@@ -68,9 +68,9 @@ def hidden_thin(df: DataFrame, by: Sequence[str], size: str, hidden: str, m: flo
              .join(exact_quantiles(df, by, size, {"_med": 0.5}), by))
     z = F.when(F.col("_sd") > 0, (F.col(hidden) - F.col("_mu")) / F.col("_sd")).otherwise(0.0)
     logw = F.lit(m) * F.log(F.col(size) / F.col("_med")) + F.lit(gamma) * z
-    weighed = df.join(stats, by).withColumn("_logw", logw)
+    weighed = with_group_values(df, stats, by).withColumn("_logw", logw)
     top = weighed.groupBy(*by).agg(F.max("_logw").alias("_maxw"))
-    return (weighed.join(top, by)
+    return (with_group_values(weighed, top, by)
             .withColumn("p_keep", F.exp(F.col("_logw") - F.col("_maxw")))
             .filter(uniform(*keys, F.lit(tag)) < F.col("p_keep"))
             .drop("_mu", "_sd", "_med", "_logw", "_maxw"))
