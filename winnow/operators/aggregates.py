@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions.exprs import ratio
-from winnow.operators.primitives import exact_quantiles, running_sums, with_group_values
+from winnow.operators.primitives import (
+    exact_quantiles, running_sums, settle, with_group_values)
 
 
 def rejoin(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -235,6 +236,8 @@ def calibration_table(df: DataFrame, dims: Sequence[tuple[str, int]], error: str
         keyed = [F.col(n) if i < k else F.lit(-1).cast("bigint") for i, n in enumerate(names)]
         levels.append(F.struct(F.lit(k).alias("_level"),
                                *[c.alias(f"_{n}") for c, n in zip(keyed, names)]))
+    # written once and narrow: every quantile pass below reads the cells again
+    df = settle(df.select(*names, error))
     cells = (df.select(error, F.explode(F.array(*levels)).alias("_c"))
              .select(error, "_c.*"))
     keys = ["_level", *[f"_{n}" for n in names]]
