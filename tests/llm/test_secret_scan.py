@@ -29,6 +29,12 @@ def test_base_spans_against_brute_force():
         assert X.base_spans(t, X.candidate_tokens(t)) == brute(t)
 
 
+def test_a_long_run_is_read_once():
+    run = "token " + "ab" * 100_000
+    assert X.candidate_tokens(run) == [(0, 5), (6, len(run))]
+    assert X.candidate_tokens("xtoken_apikey-y z") == [(0, 15)]
+
+
 def field_of(texts):
     return X.fit_field(Counter(c for t in texts for c in X.marked_chains(t)))
 

@@ -44,7 +44,8 @@ _SIGNS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _MORE = ("bearer", "authorization", "credential", "private_key", "passphrase")
 _WORD = "[A-Za-z0-9+/_.-]"
 _CANDIDATE = re.compile(rf"(?<!{_WORD})(?:{_WORD}*?[0-9]{_WORD}*|{_WORD}{{20,}})", re.A)
-_NAMED = re.compile(rf"{_WORD}*(?:{'|'.join((*_SIGNS, *_MORE))}){_WORD}*", re.A | re.I)
+# from the start of a run only: a long run without a sign is then read once, not once a position
+_NAMED = re.compile(rf"(?<!{_WORD}){_WORD}*?(?:{'|'.join((*_SIGNS, *_MORE))}){_WORD}*", re.A | re.I)
 _SET_BY = re.compile(r"""["']?\s*[:=]\s*["']?\s*\Z""")
 _SHAPES = (
     ("number", re.compile(r"[0-9.+/-]+\Z", re.A)), ("hex", re.compile(r"[0-9a-f]{12,}\Z", re.A)),
