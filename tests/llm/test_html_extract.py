@@ -16,6 +16,7 @@ CASES = {
     "<article><p>unclosed <i>it": "unclosed it",
     "<div hidden>q</div><p>r</p><!-- c --> s": "r s",
     "<a title='a>b' href=x>link</a> text": "link text",
+    "<p>a</p>b <!-- c": "a b", "<p>a</p><i b": "a <i b", "<p>a <!-- b > c": "a",
 }
 
 
@@ -25,6 +26,11 @@ def test_one_page(page):
     assert X.text_of(nodes, pieces, None) == CASES[page]
 
 
+def test_tags_that_never_end_are_read_once():
+    nodes, pieces = X.parse("<p>x</p>" + "<a " * 50_000)
+    assert X.text_of(nodes, pieces, None) == "x " + "<a " * 49_999 + "<a"
+
+
 def test_host_consensus_beats_a_page_of_its_own(spark):
     # most pages of the host keep their text in .body; one has a longer box elsewhere
     page = "<div class='body{i}'><p>{text}</p></div><div class='bio'><p>{bio}</p></div>"

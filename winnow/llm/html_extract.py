@@ -58,6 +58,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)/?>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+_OPEN_COMMENT = re.compile(r"<!--.*\Z", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?",
                    re.I)
 _DIGITS = re.compile(r"\d+")
@@ -130,15 +131,17 @@ def parse(page: str) -> tuple[list[_Node], list[str]]:
     def close(node: _Node) -> None:
         node.end = len(pieces)
 
+    last = page.rfind(">")
     while at < end:
-        hit = _TOKEN.search(page, at)
+        # no tag ends behind the last sign; only a comment can still begin there
+        hit = _TOKEN.search(page, at) if at <= last else _OPEN_COMMENT.search(page, at)
         if hit is None:
             text(page[at:])
             break
         text(page[at:hit.start()])
         at = hit.end()
-        tag = hit[2] or hit[5]
-        if tag is None:
+        tag = hit.re is _TOKEN and (hit[2] or hit[5])
+        if not tag:
             continue
         tag = tag.lower()
         if hit[1] or hit[4]:
