@@ -53,6 +53,15 @@ def test_field_finds_more_than_the_patterns_and_keeps_them():
     assert X.spans_of("pages 10 to 2500", field) == []
 
 
+def test_pieces_for_fitting_join_to_the_chain():
+    feats = tuple((str(i),) for i in range(200))
+    states = (0, 1, 2) * 20 + (1,) + (2,) * 90 + (0,) * 49
+    pieces = X.fit_pieces(feats, states)
+    assert sum((f for f, _ in pieces), ()) == feats and sum((s for _, s in pieces), ()) == states
+    assert len(pieces) > 1 and all(s[0] != 2 for _, s in pieces)
+    assert X.fit_pieces((), ()) == [((), ())] and len(X.fit_pieces(feats[:9], states[:9])) == 1
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
     field = X.ChainField({"a": 0, "b": 1, "c": 2}, rng.normal(size=(3, 3)),

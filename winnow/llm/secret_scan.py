@@ -30,6 +30,8 @@ from winnow.llm.registry import query
 
 #: Most documents the field is fitted on.
 FIT_ROWS = 4000
+#: Tokens after which a chain is cut for fitting; decoding always takes whole chains.
+FIT_TOKENS = 64
 #: Characters between two candidates of one chain at most.
 CHAIN_GAP = 40
 
@@ -223,11 +225,24 @@ def marked_chains(text: str) -> list[tuple[tuple, tuple[int, ...]]]:
     return out
 
 
+def fit_pieces(feats: tuple, states: tuple[int, ...], most: int = FIT_TOKENS
+               ) -> list[tuple[tuple, tuple[int, ...]]]:
+    """A marked chain cut after ``most`` tokens, never inside a secret."""
+    out, at = [], 0
+    for i in range(len(states)):
+        if i - at >= most and states[i] != 2:
+            out.append((feats[at:i], states[at:i]))
+            at = i
+    return [*out, (feats[at:], states[at:])]
+
+
 def fit_on(docs: DataFrame, rows: int = FIT_ROWS) -> ChainField:
-    """Field from at most ``rows`` documents; equal chains are counted before they travel."""
+    """Field from at most ``rows`` documents; equal pieces of chains are counted before they
+    travel, and a piece has a bounded length, so the fit does not grow with a long text."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen = Counter(c for t in batch.column(0).to_pylist() for c in marked_chains(t or ""))
+        seen = Counter(p for t in batch.column(0).to_pylist() for c in marked_chains(t or "")
+                       for p in fit_pieces(*c))
         keys = list(seen)
         return pa.RecordBatch.from_arrays(
             [pa.array(["\n".join(" ".join(x) for x in f) for f, _ in keys], pa.string()),
