@@ -540,6 +540,39 @@ def bootstrap_d10(model: WindowModel, keys: Sequence[str], reps: int,
                              rows_per_bucket)
 
 
+def bootstrap_raw_d10(rows: DataFrame, by: Sequence[str], keys: Sequence[str], reps: int,
+                      p: float = 0.1, rows_per_bucket: int | None = None) -> DataFrame:
+    """Plain quantile of the readings of every replicate; a drawn reading stays one row with
+    its count."""
+    drawn = resampled_rows(rows.select(*by, *keys, "h"), reps, keys)
+    return exact_quantiles(drawn, [*by, "rep"], "h", {"d10": p}, count=F.col("c"),
+                           rows_per_bucket=rows_per_bucket)
+
+
+def bootstrap_ipw_d10(rows: DataFrame, table: DataFrame, by: Sequence[str], keys: Sequence[str],
+                      reps: int, p: float = 0.1, shares: DataFrame | None = None,
+                      rows_per_bucket: int | None = None) -> DataFrame:
+    """First reading at which the untrimmed weights of a replicate reach ``p`` of their sum.
+
+    ``table`` has the true share of each class; ``shares`` (by, rep, class, _f) replaces it where
+    the reference is a finite sample and is resampled too.
+    """
+    rep = [*by, "rep"]
+    drawn = resampled_rows(rows.select(*by, *keys, "class", "h"), reps, keys)
+    drawn = settle(drawn.groupBy(*rep, "class", "h").agg(F.sum("c").alias("c")))
+    per = drawn.groupBy(*rep, "class").agg(F.sum("c").alias("_n"))
+    if shares is None:
+        per = per.join(table.select(*by, "class", F.col("f_true").alias("_f")), [*by, "class"])
+    else:
+        per = per.join(shares, [*rep, "class"], "left").fillna(0.0, subset=["_f"])
+    weight = per.select(*rep, "class", (F.col("_f") / F.col("_n")).alias("_w"))
+    ranked = running_sums(drawn.join(weight, [*rep, "class"]), rep, "h",
+                          {"w": F.col("c") * F.col("_w")}, rows_per_bucket=rows_per_bucket)
+    # running weights are sums of shares: leave room for the order of their additions
+    reached = F.col("w_before") + F.col("w") >= p * F.col("w_total") - 1e-12
+    return ranked.groupBy(*rep).agg(F.min(F.when(reached, F.col("h"))).alias("d10"))
+
+
 def bootstrap_interval(d10: DataFrame, by: Sequence[str], interval: float,
                        spec: float) -> DataFrame:
     """Interval of the replicates and the share of them that meets the specification."""

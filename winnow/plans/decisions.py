@@ -90,6 +90,45 @@ def _(spark, sf):
     return _rounded(out, "d10_lo", "d10_hi", "p_spec")
 
 
+# every window, and fewer replicates than the pruned interval of the corrected estimate
+PLAIN_REPS = 40
+PLAIN = {
+    **Q.IPW,
+    "pdraw": f"""SELECT * FROM (SELECT batch_id, step, class, h, q*4+w AS rep,
+  {_poisson_sql(_word('w'))} AS c FROM (SELECT *, md5(concat_ws(':',rid,q)) AS d FROM (
+   SELECT batch_id, step, rid, class, h, unnest(range({PLAIN_REPS // 4})) AS q FROM erow)),
+  (SELECT unnest(range(4)) AS w)) WHERE c>0""",
+    "praw": """SELECT batch_id, step, rep, quantile_cont(h,0.1) AS d10 FROM (
+ SELECT batch_id, step, rep, h, unnest(range(c::BIGINT)) AS i FROM pdraw) GROUP BY 1,2,3""",
+    "pipw": """SELECT batch_id, step, rep, min(h) FILTER (cum>=0.1e0*tot-1e-12) AS d10 FROM (
+ SELECT *, sum(w) OVER (PARTITION BY batch_id, step, rep ORDER BY h) AS cum,
+  sum(w) OVER (PARTITION BY batch_id, step, rep) AS tot FROM (SELECT d.*,
+  c*(f_true/sum(c) OVER (PARTITION BY batch_id, step, rep, class)) AS w FROM pdraw d
+  JOIN ecls USING (batch_id, step, class))) GROUP BY 1,2,3"""}
+_PLAIN_SQL = """SELECT batch_id, step, round(quantile_cont(d10,0.05)+1e-9,6) AS d10_lo,
+ round(quantile_cont(d10,0.95)+1e-9,6) AS d10_hi, round(avg((d10>=12e0)::INT),6) AS p_spec FROM {}
+GROUP BY 1,2"""
+
+
+def _plain_interval(d10):
+    out = E.bootstrap_interval(d10, BS, S.interval, S.spec_d10_um)
+    return out.select(*BS, r6(F.col("d10_lo") + 1e-9).alias("d10_lo"),
+                      r6(F.col("d10_hi") + 1e-9).alias("d10_hi"), r6("p_spec").alias("p_spec"))
+
+
+@query("e12_bootstrap_raw", _PLAIN_SQL.format("praw"), PLAIN)
+def _(spark, sf):
+    return _plain_interval(E.bootstrap_raw_d10(N.settle(Q.window_rows(spark, sf)), BS, ["rid"],
+                                               PLAIN_REPS))
+
+
+@query("e12_bootstrap_ipw", _PLAIN_SQL.format("pipw"), PLAIN)
+def _(spark, sf):
+    rows, table = E.size_classes(N.settle(Q.window_rows(spark, sf)),
+                                 N.settle(Q.exact_reference(spark, sf)), BS, S.size_classes)
+    return _plain_interval(E.bootstrap_ipw_d10(rows, table, BS, ["rid"], PLAIN_REPS))
+
+
 @query("e13_bootstrap_pruning", """
 SELECT batch_id, count(*) AS windows, count(*) FILTER (d10>=12e0) AS needed,
  min(step) FILTER (d10>=12e0) AS first_needed FROM hpiv GROUP BY 1""", Q.TL, recursive=True)
@@ -281,6 +320,42 @@ def _(spark, sf):
                     "true_d10_um", "below")
 
 
+SWEEP = {"min_objects": (100.0, 200.0), "target_mean_um": (14.0, 16.0, 18.0),
+         "spec_d10_um": (10.0, 12.0), "p_spec_min": (0.5, 0.95)}
+_CASES = ", ".join(SWEEP)
+SWP = {
+    **DEC,
+    "swgrid": "SELECT * FROM " + ", ".join(
+        f"(SELECT unnest({[float(v) for v in vs]}::DOUBLE[]) AS {c})" for c, vs in SWEEP.items()),
+    "swstop": f"""SELECT s.batch_id, {_CASES}, min(s.step) FILTER (sprayed_g>=target_g) AS c0,
+ min(s.step) FILTER (n_window>=min_objects AND raw_mean>=target_mean_um) AS c1,
+ min(s.step) FILTER (n_window>=min_objects AND raw_d10>=spec_d10_um) AS c2,
+ min(s.step) FILTER (n_window>=min_objects AND p_spec>p_spec_min AND hybrid_cv<0.3e0
+  AND undecided_rate<0.2e0) AS c3 FROM sprayed s
+ LEFT JOIN tlp t ON t.batch_id=s.batch_id AND t.step=s.step, swgrid GROUP BY ALL""",
+    "swlong": " UNION ALL ".join(
+        f"SELECT batch_id, {_CASES}, '{r}' AS rule, {r.lower()} AS stop FROM swstop"
+        for r in D.RULES)}
+
+
+@query("d7_rule_sweep", f"""
+SELECT {_CASES}, rule, count(*) AS batches, count(stop) AS stops,
+ round(avg(100e0*t.frac_below_spec),6) AS true_below_spec_pct,
+ round(avg(t.d10_um),6) AS true_d10_um,
+ round(avg(100e0*(t.sprayed_g/i.sprayed_g-1e0)),6) AS excess_coating_pct
+FROM swlong s JOIN tends e USING (batch_id) JOIN tstate t ON t.batch_id=s.batch_id
+ AND t.step=coalesce(stop,last) LEFT JOIN tstate i ON i.batch_id=s.batch_id AND i.step=ideal
+GROUP BY ALL""", SWP, recursive=True)
+def _(spark, sf):
+    est = N.settle(Q.estimate_timeline(spark, sf, bootstrap="needed", models=("raw", "hybrid")))
+    spray = sprayed(spark, sf)
+    stops = D.sweep_stops(est, spray, J.case_grid(spark, SWEEP), S)
+    out = D.outcomes(stops, est, truth_timeline(spark, sf), spray, S.spec_d10_um,
+                     keep=list(SWEEP))
+    return _rounded(D.scorecard(out, list(SWEEP)), "true_below_spec_pct", "true_d10_um",
+                    "excess_coating_pct")
+
+
 _SG, _DG = (0.88, 0.9, 0.92, 0.94, 0.96), (0.08, 0.12, 0.16, 0.19)
 
 
