@@ -95,3 +95,20 @@ def test_poisson_counts_have_mean_and_variance_one(spark):
     n = 400 * 50
     assert got.s / n == pytest.approx(1.0, abs=0.03)
     assert got.q / n - (got.s / n) ** 2 == pytest.approx(1.0, abs=0.05)
+
+
+def test_plain_bootstraps_against_brute_force(spark):
+    _, _, m = model(spark, 1.0)
+    counts = (E.resampled_rows(m.rows.select("batch_id", "rid", "class", "h"), 6, ["rid"])
+              .join(m.table.select("class", "f_true"), "class").toPandas())
+    raw = {r.rep: r.d10 for r in E.bootstrap_raw_d10(m.rows, BY, ["rid"], 6).collect()}
+    ipw = {r.rep: r.d10 for r in E.bootstrap_ipw_d10(
+        m.rows, m.table, BY, ["rid"], 6, rows_per_bucket=500).collect()}
+    assert sorted(raw) == sorted(ipw) == list(range(6))
+    for rep, part in counts.groupby("rep"):
+        part = part.sort_values("h")
+        drawn = np.repeat(part.h.to_numpy(), part.c.to_numpy().astype(int))
+        assert raw[rep] == pytest.approx(np.quantile(drawn, 0.1), abs=1e-9)
+        w = part.c * part.f_true / part.groupby("class").c.transform("sum")
+        cum = w.cumsum().to_numpy()
+        assert ipw[rep] == part.h.to_numpy()[np.argmax(cum >= 0.1 * cum[-1] - 1e-12)]

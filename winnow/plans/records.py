@@ -25,10 +25,25 @@ from winnow.streaming import operators as T
 # -- monitoring -------------------------------------------------------------------------------------
 
 
+def _limit_sql(p: int) -> dict[str, str]:
+    """Control limit from the beta quantile: Simpson's rule in u = sqrt(z), then bisection."""
+    a, b = f"{p / 2!r}e0", f"((nb-{p})/2e0)"
+    u = "(k*sqrt((lo+hi)/2e0)/2000e0)"
+    area = (f"list_sum(list_transform(range(0,2001), lambda k: CASE WHEN k IN (0,2000) THEN 1e0"
+            f" WHEN k%2=1 THEN 4e0 ELSE 2e0 END*2e0*pow({u},{p - 1})*pow(1e0-{u}*{u},{b}-1e0)))"
+            f"*sqrt((lo+hi)/2e0)/6000e0*exp(lgamma({a}+{b})-lgamma({a})-lgamma({b}))")
+    return {
+        "fbis": f"""SELECT 0 AS i, 0e0 AS lo, 1e0 AS hi, nb FROM fcov UNION ALL
+ SELECT i+1, CASE WHEN cdf<{S.t2_confidence} THEN (lo+hi)/2e0 ELSE lo END,
+ CASE WHEN cdf<{S.t2_confidence} THEN hi ELSE (lo+hi)/2e0 END, nb
+ FROM (SELECT *, {area} AS cdf FROM fbis WHERE i<60)""",
+        "flim": "SELECT (nb+1e0)*(nb-1e0)/nb*hi/(1e0-hi) AS lim FROM fbis WHERE i=60"}
+
+
 def _t2_sql() -> dict[str, str]:
     """T-squared by forward substitution on a Cholesky factor written out column by column."""
     p = len(_F7)
-    cov = "SELECT " + ", ".join(f"avg({c}) AS m{i}" for i, c in enumerate(_F7)) + ", " + ", ".join(
+    cov = "SELECT count(*) AS nb, " + ", ".join(f"avg({c}) AS m{i}" for i, c in enumerate(_F7)) + ", " + ", ".join(
         f"covar_samp({a},{b}) AS c{_F7.index(b)}{_F7.index(a)}" for a, b in _PAIRS
     ) + " FROM feat WHERE baseline"
     tr = "+".join(f"c{i}{i}" for i in range(p))
@@ -43,14 +58,16 @@ def _t2_sql() -> dict[str, str]:
         s = "".join(f"-l{i}{k}*y{k}" for k in range(i))
         y.append(f"({c}-m{i}{s})/l{i}{i} AS y{i}")
     t2 = "+".join(f"y{i}*y{i}" for i in range(p)) + " AS t2"
-    return {"fcov": cov, "fchol": f"SELECT *, {', '.join(cols)} FROM fcov",
+    return {**_limit_sql(p), "fcov": cov, "fchol": f"SELECT *, {', '.join(cols)} FROM fcov",
             "ft2": f"SELECT vec_id, label, baseline, f4, m3, {', '.join(y)}, {t2} FROM feat, fchol"}
 
 
 T2 = _t2_sql()
 
 
-@query("m1_hotelling_baseline")
+@query("m1_hotelling_baseline", "SELECT nb AS n, round(lim,4) AS t2_limit, "
+       + ", ".join(f"round(m{i},6) AS mean_{c}" for i, c in enumerate(_F7))
+       + " FROM fcov, flim", T2, recursive=True)
 def _(spark, sf):
     b = M.fit_baseline(X.feat(spark, sf).filter("baseline"), _F7, S)
     return spark.range(1).select(
@@ -65,9 +82,8 @@ def _(spark, sf):
     return df.select("vec_id", r6(M.hotelling_t2(b), 5).alias("t2"))
 
 
-_LIMIT = 12.0
 M3 = {**T2,
-      "mseq": f"""SELECT label, vec_id, f4, (t2>{_LIMIT}e0)::INT AS x,
+      "mseq": f"""SELECT label, vec_id, f4, (t2>(SELECT lim FROM flim))::INT AS x,
  ({u_duck('und', 'vec_id')}<0.08e0)::INT AS u, m3 AS base,
  row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM ft2""",
       "mew": """SELECT label, vec_id, r, base, 0.02e0*x+0.98e0*0.01e0 AS e, 0.02e0*u AS n,
@@ -87,7 +103,7 @@ def _(spark, sf):
     df = X.feat(spark, sf)
     b = M.fit_baseline(df.filter("baseline"), _F7, S)
     seq = df.select("label", "vec_id", "f4",
-                    (M.hotelling_t2(b) > _LIMIT).cast("double").alias("x"),
+                    (M.hotelling_t2(b) > b.t2_limit).cast("double").alias("x"),
                     F.expr(f"cast({u_spark('und', 'vec_id')}<0.08e0 as double)").alias("u"))
     out = M.drift_state(seq, ["label"], "vec_id", ["vec_id"], "x", "u", "f4", b.mean[3], S)
     return _rounded(out.select("vec_id", "exceed_rate", "undecided_rate", "reflector_drop",
