@@ -51,3 +51,28 @@ def test_few_rows_and_empty_table(spark):
     got = N.nearest(frame(spark, rows), F.col("vec_id") == 0).collect()
     assert [tuple(r) for r in got] == [(0, 1, 1, 0.0)]
     assert N.nearest(frame(spark, rows).limit(0), F.col("vec_id") == 0).count() == 0
+
+
+@pytest.mark.parametrize("times", [2, 5, 7])
+def test_repeated_rows_lose_no_neighbour(spark, times):
+    import random
+
+    rnd = random.Random(9)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(60)]
+    rows = [(i, [float(x) for x in F_(v)]) for i, v in rows]
+    nearest = {i for _, n, i, _ in brute(rows, 5, 10) if n == 1}
+    rows += [r for r in rows if r[0] in nearest for _ in range(times - 1)]
+    rows += [(i, [2 * x for x in v]) for i, v in rows[:60] if i in nearest]  # equal cosine
+    rows += [(100, rows[10][1])] * times + [(101 + i, rows[10][1]) for i in range(4)]
+    got = sorted(tuple(r) for r in N.nearest(
+        frame(spark, rows).coalesce(1), F.col("vec_id") % 10 == 0, 5).collect())
+    want = brute(rows, 5, 10)
+    assert {q for q, *_ in got} == {q for q, *_ in want}
+    for q in {q for q, *_ in want if q not in nearest and q != 100}:
+        assert ([(n, i) for a, n, i, _ in got if a == q] == [(n, i) for a, n, i, _ in want if a == q])
+
+
+def F_(v):
+    import numpy as np
+
+    return np.array(v, np.float32)

@@ -7,13 +7,13 @@ on the rounded parts), a pair survives when its upper bound reaches the fifth lo
 and only survivors are computed in double precision from the original vectors.  Each task keeps
 a heap per query over its tiles; the heaps of all tasks are merged per query.
 
-Of equal vectors in one block only the k + 1 smallest ids can ever be in an answer, so a hot
+Of equal vectors in one block only the k + 1 smallest distinct ids can ever be in an answer, so a hot
 vector does not multiply the survivors.  Work is queries times rows, which the stated query set
 implies; a task holds one tile.
 
 Defined results: vectors that are null, zero, or hold null or non-finite values, and rows without
 id, take no part; vectors meet only those of their own length; a repeated id with an equal vector
-counts once; fewer candidates than k give all of them; other columns are ignored.
+counts once, where the SQL twin counts every row; fewer candidates than k give all of them; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,11 +45,11 @@ def _blocks(df: DataFrame, rows: int, twins: int | None = None) -> DataFrame:
 
     def pack(dim: int, ids: list[int], vectors: list[np.ndarray]) -> pa.RecordBatch:
         if twins is not None:  # of equal vectors only the smallest ids
-            same: dict[bytes, list[int]] = {}
-            for i, v in enumerate(vectors):
-                same.setdefault(v.tobytes(), []).append(i)
-            keep = sorted(j for group in same.values()
-                          for j in heapq.nsmallest(twins, group, key=lambda i: ids[i]))
+            same: dict[bytes, dict[int, int]] = {}
+            for i, v in enumerate(vectors):  # a repeated row is held once
+                same.setdefault(v.tobytes(), {}).setdefault(ids[i], i)
+            keep = sorted(group[j] for group in same.values()
+                          for j in heapq.nsmallest(twins, group))
             ids, vectors = [ids[i] for i in keep], [vectors[i] for i in keep]
         raw = np.array(ids, np.int64).tobytes()
         uid = int.from_bytes(hashlib.sha1(raw).digest()[:7], "big")
@@ -113,8 +113,13 @@ def _tile(q: _Rounded, c: _Rounded, k: int, floor: np.ndarray) -> Iterator[tuple
              + SLACK)
     own = q.ids[:, None] == c.ids[None, :]
     about[own] = -np.inf
-    if about.shape[1] >= k:
-        low = np.partition(about - error, about.shape[1] - k, axis=1)[:, about.shape[1] - k]
+    low = about - error
+    order = np.argsort(c.ids, kind="stable")
+    first = np.flatnonzero(np.diff(c.ids[order], prepend=c.ids[order[:1]] - 1))
+    if len(first) < len(order):  # an id of several vectors counts once
+        low = np.maximum.reduceat(low[:, order], first, axis=1)
+    if low.shape[1] >= k:
+        low = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
         floor = np.maximum(floor, low)
     rows, cols = np.nonzero((about + error >= floor[:, None]) & ~own)
     for at in range(0, len(rows), 65536):
