@@ -59,3 +59,20 @@ def test_shuffled_hosts_give_the_same(spark, sf, monkeypatch):
     want = sorted(map(tuple, X.extract(pages).collect()))
     monkeypatch.setattr(X, "HOSTS_BROADCAST", 0)
     assert sorted(map(tuple, X.extract(pages).collect())) == want
+
+
+NOISE_WORDS = {
+    "<main class='overflow-hidden'><p>a b</p></main>": "a b",
+    "<div class='content no-sidebar'><p>a b</p></div>": "a b",
+    "<body><div id='page' class='has-header'><p>a</p><div class='sidebar-left'>s</div></div>": "a",
+    "<article class='post with-comments'><p>a b</p><div class=comments>c</div></article>": "a b",
+    "<article class='comments-open'><p>a b</p></article>": "a b",
+    "<div class='sidebar-right'><h1>T</h1><p>long text</p><div class=sidebar>s</div></div>"
+    "<p>x</p>": "T long text x",
+    "<div class=site-footer>f</div><p>long text</p>": "long text",
+}
+
+
+@pytest.mark.parametrize("page", NOISE_WORDS)
+def test_words_inside_other_classes_drop_nothing(page):
+    assert X.text_of(*X.parse(page), None) == NOISE_WORDS[page]

@@ -48,12 +48,17 @@ _CLOSES = {"p": frozenset("p".split()), "li": frozenset(["li"]), "dt": frozenset
            "option": frozenset(["option"])}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 "
                     "h5 h6 header hr main nav ol p pre section table ul".split())
+#: A class, id or role that is one of these words, or begins with one; behind a hyphen a word says
+#: nothing (no-sidebar, overflow-hidden) unless the part before it is only a place.
 _NOISE = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert(?:s|isements?|ising)?|banner|breadcrumbs?|comments?|"
+    r"(?:^|\s)(?:(?:site|page|global|main|top|bottom|left|right|primary|secondary)[-_])?"
+    r"(?:ads?|advert(?:s|isements?|ising)?|banner|breadcrumbs?|comments?|"
     r"comment-?list|cookies?|consent|disqus|footer|header|hidden|masthead|menu|modal|nav|"
     r"navbar|navigation|newsletter|notices?|popup|promo(?:tion)?|related|recommend(?:ed|ations)?|"
     r"replies|responses|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|toolbar|widget)"
     r"(?:$|[^a-z])")
+#: Elements no class word can drop.
+_CONTENT = frozenset("article main".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)/?>"
@@ -67,11 +72,13 @@ _DIGITS = re.compile(r"\d+")
 class _Node:
     """An open element; ``box`` is the container around its text, ``home`` the article."""
 
-    __slots__ = ("tag", "path", "skip", "score", "start", "end", "link", "box", "up", "home")
+    __slots__ = ("tag", "path", "skip", "score", "start", "end", "link", "box", "up", "home",
+                 "hard")
 
     def __init__(self, tag, path, skip, start, link, above=None):
         self.tag, self.path, self.skip, self.start, self.link = tag, path, skip, start, link
         self.score, self.end = 0.0, None
+        self.hard = skip  # skipped by its element, not by its class
         inner = above is None or tag in _CONTAINER
         self.box = self if inner else above.box
         self.up = above.box if inner and above is not None else None
@@ -96,16 +103,29 @@ def _attributes(text: str) -> tuple[str, str, bool]:
 def parse(page: str) -> tuple[list[_Node], list[str]]:
     """Containers with scores, and the kept pieces of text their ranges point into.
 
-    Pieces are runs of text; a block boundary is a piece of one space.
+    Pieces are runs of text; a block boundary is a piece of one space.  An element with a class
+    word of noise that holds the page itself is read in a second run.
     """
+    nodes, pieces, wrong = _parsed(page, frozenset())
+    return _parsed(page, wrong)[:2] if wrong else (nodes, pieces)
+
+
+def _parsed(page: str, cleared: frozenset) -> tuple[list[_Node], list[str], frozenset]:
+    """``cleared``: numbers of elements whose class words are ignored; returned are those that
+    should be, as they hold most of the text with its heading or article, or nearly all text."""
     root = _Node("html", "html", False, 0, False)
     stack, nodes, pieces = [root], [], []
     at, end = 0, len(page)
     run = 0  # weighed characters of the block being read
+    mass = heads = number = 0  # characters class words aside, main headings, elements
+    noisy: dict[_Node, tuple] = {}  # open elements with a word of noise
+    held: list[tuple] = []
 
     def text(raw: str) -> None:
-        nonlocal run
+        nonlocal run, mass
         top = stack[-1]
+        if not top.hard and not top.link:
+            mass += len(raw.strip())
         if top.skip or not raw:
             return
         raw = html.unescape(raw) if "&" in raw else raw
@@ -130,6 +150,9 @@ def parse(page: str) -> tuple[list[_Node], list[str]]:
 
     def close(node: _Node) -> None:
         node.end = len(pieces)
+        if node in noisy:
+            n, m, h = noisy.pop(node)
+            held.append((n, mass - m, heads > h))
 
     last = page.rfind(">")
     while at < end:
@@ -177,14 +200,21 @@ def parse(page: str) -> tuple[list[_Node], list[str]]:
             continue
         top = stack[-1]
         classes, words, hidden = _attributes(given) if given.strip() else ("", "", False)
-        skip = (top.skip or hidden or tag in _SKIP or tag == "header" and top.home is None
-                or bool(words) and tag not in ("html", "body") and bool(_NOISE.search(words)))
+        number += 1
+        hard = top.hard or hidden or tag in _SKIP or tag == "header" and top.home is None
+        noise = (bool(words) and tag not in ("html", "body") and tag not in _CONTENT
+                 and bool(_NOISE.search(words)))
+        skip = top.skip or hard or noise and number not in cleared
         if tag in ("html", "body"):
             path = tag
         else:
             kinds = sorted(set(_DIGITS.sub("#", classes).split()))
             path = f"{top.path}>{'.'.join([tag, *kinds])}"
         node = _Node(tag, path, skip, len(pieces), top.link or tag == "a", top)
+        node.hard = hard
+        if noise and not hard:
+            noisy[node] = number, mass, heads
+        heads += not hard and (tag == "h1" or tag in _CONTENT)
         stack.append(node)
         if tag in _CONTAINER and not skip:
             nodes.append(node)
@@ -193,7 +223,8 @@ def parse(page: str) -> tuple[list[_Node], list[str]]:
         close(node)
     if root.score or not nodes:
         nodes.append(root)
-    return nodes, pieces
+    return nodes, pieces, frozenset(
+        n for n, m, h in held if n not in cleared and (2 * m > mass and h or 10 * m > 9 * mass))
 
 
 def best_container(nodes: list[_Node]) -> _Node:
