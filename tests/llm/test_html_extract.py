@@ -71,8 +71,23 @@ NOISE_WORDS = {
     "<p>x</p>": "T long text x",
     "<div class=site-footer>f</div><p>long text</p>": "long text",
 }
+NO_ARTICLE = {
+    "<main><section><h2>A</h2><div><p>aaaaaaaa</p></div></section><section class=x><h2>B</h2>"
+    "<div><p>bb</p></div></section></main>": "A aaaaaaaa B bb",
+    "<main><section><p>" + "a" * 90 + "</p></section><section><p>b</p></section></main>":
+        "a" * 90 + " b",
+    "<div><div class=a><div><p>aaaa</p></div></div><div class=b><div><p>bbb</p></div></div></div>":
+        "aaaa bbb",
+    "<div><section><p>" + "a" * 90 + "</p></section><section><p>b</p></section></div>":
+        "a" * 90 + " b",
+}
 
 
 @pytest.mark.parametrize("page", NOISE_WORDS)
 def test_words_inside_other_classes_drop_nothing(page):
     assert X.text_of(*X.parse(page), None) == NOISE_WORDS[page]
+
+
+@pytest.mark.parametrize("page", NO_ARTICLE)
+def test_sections_without_article_are_whole(page):
+    assert X.text_of(*X.parse(page), None) == NO_ARTICLE[page]

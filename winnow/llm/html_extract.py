@@ -32,6 +32,9 @@ from winnow.llm.registry import query
 #: Hosts up to this many are broadcast with their paths; more are joined by shuffle.
 HOSTS_BROADCAST = 20_000
 
+#: Share of the text outside links that the chosen container holds where a page has no article.
+NEARLY_ALL = 0.95
+
 # fixed values: HTML element names
 _RAW = frozenset("script style title textarea iframe noscript template svg math".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -73,11 +76,11 @@ class _Node:
     """An open element; ``box`` is the container around its text, ``home`` the article."""
 
     __slots__ = ("tag", "path", "skip", "score", "start", "end", "link", "box", "up", "home",
-                 "hard")
+                 "hard", "total")
 
     def __init__(self, tag, path, skip, start, link, above=None):
         self.tag, self.path, self.skip, self.start, self.link = tag, path, skip, start, link
-        self.score, self.end = 0.0, None
+        self.score, self.end, self.total = 0.0, None, 0
         self.hard = skip  # skipped by its element, not by its class
         inner = above is None or tag in _CONTAINER
         self.box = self if inner else above.box
@@ -141,6 +144,7 @@ def _parsed(page: str, cleared: frozenset) -> tuple[list[_Node], list[str], froz
             top = stack[-1]
             box, up, home = top.box, top.box.up, top.home
             box.score += run
+            box.total += run
             if home is not None and home is not box:
                 home.score += run
             if up is not None and up is not home:
@@ -221,22 +225,37 @@ def _parsed(page: str, cleared: frozenset) -> tuple[list[_Node], list[str], froz
     block()
     for node in stack:
         close(node)
-    if root.score or not nodes:
+    for node in reversed(nodes):
+        node.up.total += node.total
+    if root.total or not nodes:
         nodes.append(root)
     return nodes, pieces, frozenset(
         n for n, m, h in held if n not in cleared and (2 * m > mass and h or 10 * m > 9 * mass))
 
 
 def best_container(nodes: list[_Node]) -> _Node:
-    """Highest score; the earlier of equal ones."""
-    return max(nodes, key=lambda n: (n.score, -n.start, len(n.path)))
+    """Highest score, the earlier of equal ones; outside an article widened to <main>, beyond
+    sections, and to the smallest container that holds nearly all kept text outside links."""
+    best = max(nodes, key=lambda n: (n.score, -n.start, len(n.path)))
+    if best.home is not None or not best.score:
+        return best
+    top = best
+    while top.up is not None and top.tag != "main":
+        top = top.up
+    if top.tag == "main":
+        best = top
+    while best.up is not None and (best.tag == "section" or best.total < NEARLY_ALL * top.total):
+        best = best.up
+        if best.tag == "main":
+            break
+    return best
 
 
 def text_of(nodes: list[_Node], pieces: list[str], paths: list[str] | None) -> str:
     """Text of the containers at the first of ``paths`` the page has, or of its best one."""
     chosen: list[_Node] = []
     for path in paths or ():
-        chosen = [n for n in nodes if n.path == path and n.score > 0]
+        chosen = [n for n in nodes if n.path == path and n.total > 0]
         if chosen:
             break
     if not chosen:
@@ -274,7 +293,7 @@ def host_paths(pages: DataFrame, share: float = 0.1) -> DataFrame:
                 for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     nodes, _ = parse(page or "")
                     best = best_container(nodes)
-                    if best.score > 0:
+                    if best.total > 0:
                         votes[host, best.path] += 1
                 if len(votes) > 10_000:  # pre-aggregated, not dropped
                     yield out()
