@@ -92,3 +92,14 @@ def test_kept_rows_hold_one_row_of_each_component(messy, empty):
     want = brute_components(sorted({brute_fingerprint(r.text) for r in messy.collect()}))
     assert len(fps) == len(set(want.values()))
     assert S.kept_rows(empty).count() == 0
+
+
+def test_kept_rows_go_by_component_and_not_by_id(spark, monkeypatch):
+    from winnow.llm import simhash
+
+    # one id in two components; a component whose ids are all null
+    docs = spark.createDataFrame([(1, 0), (5, 1), (1, 0xFFFF), (None, 0xFF0000), (None, 0xFF0001)],
+                                 "doc_id bigint, n bigint")
+    monkeypatch.setattr(simhash, "fingerprints", lambda df, keep: df.select(*keep, "n").withColumnRenamed("n", "fp"))
+    got = sorted((r.doc_id or 0, r.n) for r in simhash.kept_rows(docs).collect())
+    assert len(got) == 3 and got[0][1] in (0xFF0000, 0xFF0001) and got[1:] == [(1, 0), (1, 0xFFFF)]

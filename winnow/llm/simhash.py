@@ -229,13 +229,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_dedup(rows: DataFrame, radius: int = 2) -> DataFrame:
-    """(fp, component_id) of every fingerprint in ``rows`` (doc_id, fp)."""
+    """(fp, root, component_id) of every fingerprint in ``rows`` (doc_id, fp); ids may repeat, so
+    only ``root``, the smallest fingerprint, tells components apart."""
     classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(linked_stars(classes.select("fp"), radius))
     placed = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(smallest, "root").select("fp", "component_id")
+    return placed.join(smallest, "root").select("fp", "root", "component_id")
 
 
 def kept_rows(docs: DataFrame, radius: int = 2) -> DataFrame:
@@ -244,8 +245,7 @@ def kept_rows(docs: DataFrame, radius: int = 2) -> DataFrame:
     rows = settle(fingerprints(tagged, ("doc_id", "_row")))
     placed = rows.join(near_dedup(rows, radius), "fp")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    keep = placed.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))
-                          .alias("own")).agg(F.min(order).getField("_row").alias("_row"))
+    keep = placed.groupBy("root").agg(F.min(order).getField("_row").alias("_row"))
     return tagged.join(keep.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
