@@ -14,7 +14,12 @@ from winnow.operators.primitives import settle
 #: Rows an Arrow batch is cut into before Python objects are made of it.
 SLICE_ROWS = 256
 
-__all__ = ["SLICE_ROWS", "bounded_sample", "map_slices", "settle", "table", "tagged_rows"]
+#: Rows of a group from which it may count as hot, and hot groups at most.
+HOT_ROWS = 500
+HOT_GROUPS = 20_000
+
+__all__ = ["SLICE_ROWS", "bounded_sample", "join_by_group", "map_slices", "settle", "table",
+           "tagged_rows"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,3 +67,18 @@ def tagged_rows(df: DataFrame) -> DataFrame:
                                                  12, "0")).alias("_row"))
     except AnalysisException:  # not a plain scan of files
         return settle(df.select("*", F.monotonically_increasing_id().alias("_row")))
+
+
+def join_by_group(rows: DataFrame, groups: DataFrame, key: str, members: str) -> DataFrame:
+    """``rows`` with the columns of their group, whose ``members`` are its rows in ``rows``.
+
+    A group of more than 1/``HOT_GROUPS`` of all rows is hot; there are fewer than ``HOT_GROUPS``
+    of these, so they reach their rows by broadcast and no task gets all rows of one of them.
+    Both sides are read twice, so they should be written tables.
+    """
+    total = groups.agg(F.coalesce(F.sum(members), F.lit(0)).alias("n")).first()["n"]
+    is_hot = F.col(members) > max(HOT_ROWS, total // HOT_GROUPS)
+    hot = F.broadcast(groups.filter(is_hot).drop(members))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(
+        rest.join(groups.filter(~is_hot).drop(members), key))

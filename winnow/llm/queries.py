@@ -2,5 +2,5 @@
 
 from winnow.llm import (  # noqa: F401
     exact_dedup, html_extract, license_scan, mixing, neighbours, quality, secret_scan,
-    sentencepiece_bpe, simhash, warc)
+    sentencepiece_bpe, sharding, simhash, warc)
 from winnow.llm.registry import ORACLES, QUERIES  # noqa: F401
