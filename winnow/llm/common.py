@@ -69,7 +69,8 @@ def tagged_rows(df: DataFrame) -> DataFrame:
         return settle(df.select("*", F.monotonically_increasing_id().alias("_row")))
 
 
-def join_by_group(rows: DataFrame, groups: DataFrame, key: str, members: str) -> DataFrame:
+def join_by_group(rows: DataFrame, groups: DataFrame, key: str | list[str], members: str
+                  ) -> DataFrame:
     """``rows`` with the columns of their group, whose ``members`` are its rows in ``rows``.
 
     A group of more than 1/``HOT_GROUPS`` of all rows is hot; there are fewer than ``HOT_GROUPS``
@@ -79,6 +80,7 @@ def join_by_group(rows: DataFrame, groups: DataFrame, key: str, members: str) ->
     total = groups.agg(F.coalesce(F.sum(members), F.lit(0)).alias("n")).first()["n"]
     is_hot = F.col(members) > max(HOT_ROWS, total // HOT_GROUPS)
     hot = F.broadcast(groups.filter(is_hot).drop(members))
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    keys = [key] if isinstance(key, str) else key
+    rest = rows.join(F.broadcast(hot.select(*keys)), key, "left_anti")
     return rows.join(hot, key).unionByName(
         rest.join(groups.filter(~is_hot).drop(members), key))
