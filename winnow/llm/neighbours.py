@@ -7,13 +7,16 @@ on the rounded parts), a pair survives when its upper bound reaches the fifth lo
 and only survivors are computed in double precision from the original vectors.  Each task keeps
 a heap per query over its tiles; the heaps of all tasks are merged per query.
 
-Of equal vectors in one block only the k + 1 smallest distinct ids can ever be in an answer, so a hot
-vector does not multiply the survivors.  Work is queries times rows, which the stated query set
-implies; a task holds one tile.
+Every row is a candidate of its own, and a query's own rows are those of its id.  Of equal vectors in
+one block only the first rows by id can ever be in an answer (k of an id, and ids until k rows are
+left without any one of them), so a hot vector does not multiply the survivors.  Work is queries
+times rows, which the stated query set implies; a task holds one tile.
 
 Defined results: vectors that are null, zero, or hold null or non-finite values, and rows without
-id, take no part; vectors meet only those of their own length; a repeated id with an equal vector
-counts once, where the SQL twin counts every row; fewer candidates than k give all of them; other columns are ignored.
+id, take no part; vectors meet only those of their own length; repeated rows count each, on both
+sides, as in the SQL twin: a candidate that stands twice is two neighbours, and the rows of a repeated
+query id share one list in which each has its candidates; fewer candidates than k give all of
+them; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,12 +47,8 @@ def _blocks(df: DataFrame, rows: int, twins: int | None = None) -> DataFrame:
     """Rows (vec_id, embedding) packed into blocks of one vector length."""
 
     def pack(dim: int, ids: list[int], vectors: list[np.ndarray]) -> pa.RecordBatch:
-        if twins is not None:  # of equal vectors only the smallest ids
-            same: dict[bytes, dict[int, int]] = {}
-            for i, v in enumerate(vectors):  # a repeated row is held once
-                same.setdefault(v.tobytes(), {}).setdefault(ids[i], i)
-            keep = sorted(group[j] for group in same.values()
-                          for j in heapq.nsmallest(twins, group))
+        if twins is not None:
+            keep = _first_twins(ids, vectors, twins)
             ids, vectors = [ids[i] for i in keep], [vectors[i] for i in keep]
         raw = np.array(ids, np.int64).tobytes()
         uid = int.from_bytes(hashlib.sha1(raw).digest()[:7], "big")
@@ -81,6 +80,24 @@ def _blocks(df: DataFrame, rows: int, twins: int | None = None) -> DataFrame:
     return df.select("vec_id", "embedding").mapInArrow(run, _BLOCK)
 
 
+def _first_twins(ids: list[int], vectors: list[np.ndarray], k: int) -> list[int]:
+    """Rows that can be among the k best of any query: by equal vector, in the order of ids, at
+    most k rows of an id, until k rows remain whichever id is the query's own."""
+    same: dict[bytes, dict[int, list[int]]] = {}
+    for i, v in enumerate(vectors):
+        same.setdefault(v.tobytes(), {}).setdefault(ids[i], []).append(i)
+    keep = []
+    for group in same.values():
+        total = most = 0
+        for i in sorted(group):
+            rows = group[i][:k]
+            keep += rows
+            total, most = total + len(rows), max(most, len(rows))
+            if total - most >= k:
+                break
+    return sorted(keep)
+
+
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise inner products summed in order, so equal rows give equal sums anywhere."""
     out = np.zeros(len(a))
@@ -114,10 +131,6 @@ def _tile(q: _Rounded, c: _Rounded, k: int, floor: np.ndarray) -> Iterator[tuple
     own = q.ids[:, None] == c.ids[None, :]
     about[own] = -np.inf
     low = about - error
-    order = np.argsort(c.ids, kind="stable")
-    first = np.flatnonzero(np.diff(c.ids[order], prepend=c.ids[order[:1]] - 1))
-    if len(first) < len(order):  # an id of several vectors counts once
-        low = np.maximum.reduceat(low[:, order], first, axis=1)
     if low.shape[1] >= k:
         low = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
         floor = np.maximum(floor, low)
@@ -133,7 +146,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     asked = vectors.filter(F.coalesce(is_query, F.lit(False)))
     n_query = max(1, -(-asked.count() // QUERY_ROWS))
     q = settle(_blocks(asked.select("vec_id", "embedding").repartition(n_query), QUERY_ROWS))
-    c = settle(_blocks(vectors, BLOCK_ROWS, twins=k + 1))
+    c = settle(_blocks(vectors, BLOCK_ROWS, twins=k))
     groups = max(1, -(-c.count() // BLOCKS_PER_TASK))
     left = q.select(F.col("dim").alias("qd"), F.col("uid").alias("qb"),
                     F.col("ids").alias("qi"), F.col("vectors").alias("qv"),
@@ -150,7 +163,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         at, block, heaps = None, None, []
 
         def out() -> pa.RecordBatch:
-            rows = [(int(i), -n, s) for i, h in zip(block.ids, heaps) for s, n in h]
+            of_id: dict[int, list] = {}
+            for i, h in zip(block.ids.tolist(), heaps):
+                of_id.setdefault(i, []).extend(h)
+            rows = [(i, -n, s) for i, h in of_id.items() for s, n in heapq.nlargest(k, h)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[j] for r in rows], t) for j, t in
                  enumerate((pa.int64(), pa.int64(), pa.float64()))],
@@ -169,8 +185,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 for r, s, x in _tile(block, cand, k, floor):
                     entry = (x, -int(cand.ids[s]))
                     h = heaps[r]
-                    if entry in h:
-                        continue
                     if len(h) < k:
                         heapq.heappush(h, entry)
                     elif entry > h[0]:
@@ -181,18 +195,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     partial = tiles.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def best(i: int, found: set) -> list:
+        def best(i: int, found: list) -> list:
             top = heapq.nsmallest(k, found)
             return [(i, n, v, -s) for n, (s, v) in enumerate(top, 1)]
 
-        at, found, rows = None, set(), []
+        at, found, rows = None, [], []
         for batch in batches:
             for i, v, s in zip(*(col.to_pylist() for col in batch.columns)):
                 if i != at:
                     if found:
                         rows += best(at, found)
-                    at, found = i, set()
-                found.add((-s, v))
+                    at, found = i, []
+                found.append((-s, v))
+                if len(found) > 4096:  # an id that stands very often
+                    found = heapq.nsmallest(k, found)
             if len(rows) > 4096:
                 yield _ranked(rows)
                 rows = []
