@@ -7,20 +7,26 @@ from winnow.llm import near_copies as C
 from winnow.llm import simhash
 
 
-def jaccard(a, b):
-    def cut(t):
-        w = (t or "").lower().split()
-        return {" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    a, b = cut(a), cut(b)
+def cut(t):
+    w = (t or "").lower().split()
+    return {" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def overlap(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def jaccard(a, b):
+    return overlap(cut(a), cut(b))
+
+
 def brute(rows):
     """Smallest id of every component of pairs at 0.8 or more."""
     part = list(range(len(rows)))
+    sets = [cut(t) for _, t in rows]
     for i in range(len(rows)):
         for j in range(i):
-            if part[i] != part[j] and jaccard(rows[i][1], rows[j][1]) >= 0.8:
+            if part[i] != part[j] and overlap(sets[i], sets[j]) >= 0.8:
                 part = [part[j] if p == part[i] else p for p in part]
     least = {}
     for n, (i, _) in enumerate(rows):

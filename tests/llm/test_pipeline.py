@@ -25,8 +25,8 @@ def test_query_equals_its_sql_twin(spark, sf, name):
 
 
 def test_stages_against_plain_versions(spark, sf):
+    from tests.llm import test_near_copies
     from tests.llm.test_exact_dedup import brute
-    from tests.llm.test_simhash import brute_components, brute_fingerprint
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     steps = {}
@@ -44,12 +44,8 @@ def test_stages_against_plain_versions(spark, sf):
     before, after = steps["exact_dedup"]
     assert sorted(r.doc_id for r in after) == sorted({k for _, k, _ in brute(before)})
     before, after = steps["near_dedup"]
-    fps = {r.doc_id: brute_fingerprint(r.text) for r in before}
-    part = brute_components(sorted(set(fps.values())))
-    least = {}
-    for i in sorted(fps):
-        least.setdefault(part[fps[i]], i)
-    assert sorted(r.doc_id for r in after) == sorted(least.values())
+    assert sorted(r.doc_id for r in after) == test_near_copies.brute(
+        [(r.doc_id, r.text) for r in before])
     before, after = steps["mix_sources"]
     kept = {r.doc_id for r in after}
     assert kept < {r.doc_id for r in before} and len(kept) == len(after)
