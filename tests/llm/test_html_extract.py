@@ -33,7 +33,7 @@ def test_tags_that_never_end_are_read_once():
 
 def test_host_consensus_beats_a_page_of_its_own(spark):
     # most pages of the host keep their text in .body; one has a longer box elsewhere
-    page = "<div class='body{i}'><p>{text}</p></div><div class='bio'><p>{bio}</p></div>"
+    page = "<article class='body{i}'><p>{text}</p></article><div class='bio'><p>{bio}</p></div>"
     rows = [(i, f"https://h.example/{i}", page.format(i=i, text="good text " * 9, bio="me"))
             for i in range(8)]
     rows.append((8, "https://u@H.example:80/8", page.format(i=3, text="short", bio="me " * 60)))
@@ -91,3 +91,145 @@ def test_words_inside_other_classes_drop_nothing(page):
 @pytest.mark.parametrize("page", NO_ARTICLE)
 def test_sections_without_article_are_whole(page):
     assert X.text_of(*X.parse(page), None) == NO_ARTICLE[page]
+
+
+WHOLE = {
+    # a server-side form around the page, and forms that are never closed
+    "<form action=x><div class=nav>m</div><div><h1>T</h1><p>long text here</p></div></form>":
+        "T long text here",
+    "<div><p>first part of the text</p></div><form><input><p>second part</p>":
+        "first part of the text second part",
+    "<p>long enough text</p><form>Name <input></form>": "long enough text",
+    # a menu that is never closed ends at the next part of the text
+    "<nav><ul><li><a>m</a></ul><main><p>a b</p></main>": "a b",
+    "<nav><ul><li><a>m</a></ul><h1>T</h1><div>x y</div>": "T x y",
+    "<div><aside>note <p>a</p></div><p>b c d e</p>": "a b c d e",
+    # articles beside each other, whatever their classes; one inside another counts once
+    "<article class='post first'><p>aaaaaa</p></article><article class=post><p>b</p></article>":
+        "aaaaaa b",
+    "<article class=a><p>xx</p><article class=b><p>yyyy</p></article></article><p>z</p>": "xx yyyy",
+    # headlines in the header of a part
+    "<header>site</header><main><header><h1>T</h1></header><p>x y</p></main>": "T x y",
+    "<section><header><h2>T</h2></header><p>x y</p></section>": "T x y",
+    # nothing is left out for being small
+    "<div class=a><p>" + "a " * 200 + "</p></div><div class=b><p>b</p></div>": "a " * 200 + "b",
+    "<div><div>" + "w " * 500 + "</div></div><span>x</span>": "w " * 500 + "x",
+}
+
+
+@pytest.mark.parametrize("page", WHOLE)
+def test_nothing_else_is_dropped(page):
+    assert X.text_of(*X.parse(page), None) == WHOLE[page]
+
+
+def test_deep_nesting_takes_memory_in_proportion():
+    import tracemalloc
+
+    peaks = []
+    for depth in (5_000, 10_000):
+        page = "<div class=a>" * depth + "text" + "</div>" * depth
+        tracemalloc.start()
+        nodes, pieces = X.parse(page)
+        assert X.text_of(nodes, pieces, None) == "text"
+        best = X.best_container(nodes)
+        assert X.text_of(nodes, pieces, [best.path]) == "text"
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 3 * peaks[0] < 60_000_000
+
+
+class Plain:
+    """A plain extractor for well-formed pages, over a tree: what is skipped goes, then the text of
+    the outermost articles beside the largest one, of main, or of all that is left."""
+
+    SKIP = set("nav footer aside form button select menu script style".split())
+
+    def __init__(self, page):
+        from html.parser import HTMLParser
+
+        root = self.root = ["root", "", []]
+        stack = [root]
+
+        class P(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                node = [tag, dict(attrs).get("class") or "", []]
+                stack[-1][2].append(node)
+                stack.append(node)
+
+            def handle_endtag(self, tag):
+                assert stack.pop()[0] == tag
+
+            def handle_data(self, data):
+                stack[-1][2].append(data)
+
+        P(convert_charrefs=True).feed(page)
+
+    def kept(self, node, part=False):
+        out = []
+        part = part or node[0] in ("article", "main", "section")
+        for c in node[2]:
+            if isinstance(c, str):
+                out.append(c)
+            elif not (c[0] in self.SKIP or c[0] == "header" and not part
+                      or set(c[1].split()) & {"sidebar", "comments", "ad", "cookie"}):
+                out.append([c[0], c[1], self.kept(c, part)])
+        return out
+
+    def words(self, kids):
+        return " ".join(" ".join(c if isinstance(c, str) else f" {self.words(c[2])} "
+                                 for c in kids).split())
+
+    def found(self, kids, tag):
+        out = []
+        for c in kids:
+            if not isinstance(c, str):
+                out += [c] if c[0] == tag else self.found(c[2], tag)
+        return out
+
+    def text(self):
+        kids = self.kept(self.root)
+        for tag in ("article", "main"):
+            hits = self.found(kids, tag)
+            if hits:
+                return " ".join(self.words(h[2]) for h in hits if self.words(h[2]))
+        return self.words(kids)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_random_pages_against_a_plain_extractor(seed):
+    import random
+
+    r = random.Random(seed)
+
+    def words(n):
+        return " ".join(f"w{r.randrange(99)}" for _ in range(n))
+
+    def body(depth=0):
+        kinds = ["<p>%s</p>", "<h2>%s</h2>", "<ul><li>%s</li></ul>", "<blockquote>%s</blockquote>"]
+        out = []
+        for _ in range(r.randint(1, 4)):
+            if depth < 3 and r.random() < 0.35:
+                tag = r.choice(["div", "div class='c%d'" % r.randrange(4), "section"])
+                out.append(f"<{tag}>{body(depth + 1)}</{tag.split()[0]}>")
+            else:
+                out.append(r.choice(kinds) % words(r.randint(1, 12)))
+            if r.random() < 0.3:
+                out.append(r.choice([
+                    "<nav>m n</nav>", "<aside><p>side</p></aside>", "<script>s()</script>",
+                    "<div class='ad'>buy</div>", "<div class='sidebar'>side</div>",
+                    "<form>Name</form>", "<section class='comments'><p>hi</p></section>"]))
+        return "".join(out)
+
+    kind = r.choice(["article", "articles", "main", "none"])
+    if kind == "article":
+        core = f"<article class='x{r.randrange(3)}'><p>{words(40)}</p>{body()}</article>"
+    elif kind == "articles":
+        core = "".join(f"<article class='k{i}'><p>{words(30)}</p>{body()}</article>"
+                       for i in range(r.randint(2, 3)))
+    elif kind == "main":
+        core = f"<main><header><h1>{words(3)}</h1></header><p>{words(30)}</p>{body()}</main>"
+    else:
+        core = f"<div><p>{words(30)}</p>{body()}</div>{body()}"
+    page = (f"<body><header><div>{words(2)}</div></header><nav><ul><li>m</li></ul></nav>{core}"
+            f"<footer>{words(4)}</footer></body>")
+    assert X.text_of(*X.parse(page), None) == Plain(page).text()

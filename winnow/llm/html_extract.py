@@ -7,11 +7,17 @@ carry a tenth of the votes or more, so ten at most.  Second pass: the page is pa
 the container at the host's winning path gives the text; a page without it uses its own best.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles
-are skipped in both passes, by element or by class and id words.
+are skipped in both passes, by element or by class and id words.  A form, or an element with such a
+word, that holds the page itself is kept; an element that is never closed does not swallow what
+follows: an open form is kept, another one ends before the next heading, paragraph or section.
+
+Where the text lies in an article, that article and its neighbours are taken; otherwise <main>,
+or the smallest container that holds all kept text outside links.  Nothing is left out by its size.
 
 Defined results: null and empty pages give an empty text; a page without container text gives an
 empty text; pages without host share the host ''; unclosed elements end with the page; texts of
-any length are taken whole; repeated rows give repeated results; other columns are ignored.
+any length and nesting of any depth are taken whole; repeated rows give repeated results; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +38,6 @@ from winnow.llm.registry import query
 #: Hosts up to this many are broadcast with their paths; more are joined by shuffle.
 HOSTS_BROADCAST = 20_000
 
-#: Share of the text outside links that the chosen container holds where a page has no article.
-NEARLY_ALL = 0.95
-
 # fixed values: HTML element names
 _RAW = frozenset("script style title textarea iframe noscript template svg math".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -62,6 +65,10 @@ _NOISE = re.compile(
     r"(?:$|[^a-z])")
 #: Elements no class word can drop.
 _CONTENT = frozenset("article main".split())
+#: Inside these a header belongs to the text.
+_PARTS = frozenset("article main section".split())
+#: A skipped element that is never closed ends where one of these begins.
+_RESUMES = frozenset("article main section h1 h2 h3 p blockquote pre table".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)/?>"
@@ -73,19 +80,43 @@ _DIGITS = re.compile(r"\d+")
 
 
 class _Node:
-    """An open element; ``box`` is the container around its text, ``home`` the article."""
+    """An open element; ``box`` is the container around its text, ``home`` the outermost article.
 
-    __slots__ = ("tag", "path", "skip", "score", "start", "end", "link", "box", "up", "home",
-                 "hard", "total")
+    An element knows its own step and the one above; ``key`` stands for the steps from the root, so
+    that paths are compared without being written out.
+    """
 
-    def __init__(self, tag, path, skip, start, link, above=None):
-        self.tag, self.path, self.skip, self.start, self.link = tag, path, skip, start, link
-        self.score, self.end, self.total = 0.0, None, 0
+    __slots__ = ("tag", "step", "key", "above", "skip", "score", "start", "end", "link", "box",
+                 "up", "home", "hard", "total", "part", "number")
+
+    def __init__(self, tag, step, skip, start, link, above=None):
+        self.tag, self.step, self.skip, self.start, self.link = tag, step, skip, start, link
+        # html and body begin a path anew
+        self.above = None if tag in ("html", "body") else above
+        self.key = hash((self.above.key if self.above else 0, step))
+        self.score, self.end, self.total, self.number = 0.0, None, 0, 0
         self.hard = skip  # skipped by its element, not by its class
         inner = above is None or tag in _CONTAINER
         self.box = self if inner else above.box
         self.up = above.box if inner and above is not None else None
-        self.home = self if tag == "article" else above.home if above is not None else None
+        self.home = above.home if above is not None and above.home is not None else (
+            self if tag == "article" else None)
+        self.part = tag in _PARTS or above is not None and above.part
+
+    @property
+    def path(self) -> str:
+        steps, node = [], self
+        while node is not None:
+            steps.append(node.step)
+            node = node.above
+        return ">".join(reversed(steps))
+
+
+def _key_of(path: str) -> int:
+    key = 0
+    for step in path.split(">"):
+        key = hash((key, step))
+    return key
 
 
 def _attributes(text: str) -> tuple[str, str, bool]:
@@ -106,16 +137,21 @@ def _attributes(text: str) -> tuple[str, str, bool]:
 def parse(page: str) -> tuple[list[_Node], list[str]]:
     """Containers with scores, and the kept pieces of text their ranges point into.
 
-    Pieces are runs of text; a block boundary is a piece of one space.  An element with a class
-    word of noise that holds the page itself is read in a second run.
+    Pieces are runs of text; a block boundary is a piece of one space.  Where a skipped element
+    holds the page itself or is never closed, the page is read a second time.
     """
-    nodes, pieces, wrong = _parsed(page, frozenset())
-    return _parsed(page, wrong)[:2] if wrong else (nodes, pieces)
-
-
-def _parsed(page: str, cleared: frozenset) -> tuple[list[_Node], list[str], frozenset]:
-    """``cleared``: numbers of elements whose class words are ignored; returned are those that
-    should be, as they hold most of the text with its heading or article, or nearly all text."""
+    nodes, pieces, cleared, open_ = _parsed(page, frozenset(), frozenset())
+    if cleared or open_:
+        nodes, pieces, *_ = _parsed(page, cleared, open_)
+    return nodes, pieces
+
+
+def _parsed(page: str, cleared: frozenset, ended: frozenset
+            ) -> tuple[list[_Node], list[str], frozenset, frozenset]:
+    """``cleared``: numbers of elements that are not skipped; ``ended``: of those that end at the
+    next part of a text.  Returned are also the numbers that should be in either: elements that
+    hold most of the text with its heading or article, or nearly all text, and forms without an
+    end; other skipped elements without an end."""
     root = _Node("html", "html", False, 0, False)
     stack, nodes, pieces = [root], [], []
     at, end = 0, len(page)
@@ -123,6 +159,7 @@ def _parsed(page: str, cleared: frozenset) -> tuple[list[_Node], list[str], froz
     mass = heads = number = 0  # characters class words aside, main headings, elements
     noisy: dict[_Node, tuple] = {}  # open elements with a word of noise
     held: list[tuple] = []
+    unclosed: list[_Node] = []
 
     def text(raw: str) -> None:
         nonlocal run, mass
@@ -152,8 +189,10 @@ def _parsed(page: str, cleared: frozenset) -> tuple[list[_Node], list[str], froz
             run = 0
         pieces.append(" ")
 
-    def close(node: _Node) -> None:
+    def close(node: _Node, own: bool = False) -> None:
         node.end = len(pieces)
+        if not own and node.number and node.tag in _SKIP:
+            unclosed.append(node)
         if node in noisy:
             n, m, h = noisy.pop(node)
             held.append((n, mass - m, heads > h))
@@ -176,8 +215,9 @@ def _parsed(page: str, cleared: frozenset) -> tuple[list[_Node], list[str], froz
                 block()
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    for node in stack[i:]:
+                    for node in stack[:i:-1]:
                         close(node)
+                    close(stack[i], True)
                     del stack[i:]
                     break
             continue
@@ -188,6 +228,13 @@ def _parsed(page: str, cleared: frozenset) -> tuple[list[_Node], list[str], froz
             continue
         if tag in _BLOCK:
             block()
+        if ended and tag in _RESUMES:
+            for i in range(1, len(stack)):
+                if stack[i].number in ended:
+                    for node in stack[i:]:
+                        close(node)
+                    del stack[i:]
+                    break
         closes = _CLOSES.get(tag, frozenset())
         if tag in _ENDS_P:
             closes = closes | {"p"}
@@ -205,17 +252,15 @@ def _parsed(page: str, cleared: frozenset) -> tuple[list[_Node], list[str], froz
         top = stack[-1]
         classes, words, hidden = _attributes(given) if given.strip() else ("", "", False)
         number += 1
-        hard = top.hard or hidden or tag in _SKIP or tag == "header" and top.home is None
-        noise = (bool(words) and tag not in ("html", "body") and tag not in _CONTENT
-                 and bool(_NOISE.search(words)))
+        hard = top.hard or hidden or tag in _SKIP and tag != "form" or (
+            tag == "header" and not top.part)
+        noise = tag == "form" or (bool(words) and tag not in ("html", "body")
+                                  and tag not in _CONTENT and bool(_NOISE.search(words)))
         skip = top.skip or hard or noise and number not in cleared
-        if tag in ("html", "body"):
-            path = tag
-        else:
-            kinds = sorted(set(_DIGITS.sub("#", classes).split()))
-            path = f"{top.path}>{'.'.join([tag, *kinds])}"
-        node = _Node(tag, path, skip, len(pieces), top.link or tag == "a", top)
-        node.hard = hard
+        kinds = () if tag in ("html", "body") else sorted(
+            set(_DIGITS.sub("#", classes.replace(">", "")).split()))
+        node = _Node(tag, ".".join([tag, *kinds]), skip, len(pieces), top.link or tag == "a", top)
+        node.hard, node.number = hard, number
         if noise and not hard:
             noisy[node] = number, mass, heads
         heads += not hard and (tag == "h1" or tag in _CONTENT)
@@ -223,45 +268,54 @@ def _parsed(page: str, cleared: frozenset) -> tuple[list[_Node], list[str], froz
         if tag in _CONTAINER and not skip:
             nodes.append(node)
     block()
-    for node in stack:
+    for node in reversed(stack):
         close(node)
     for node in reversed(nodes):
         node.up.total += node.total
     if root.total or not nodes:
         nodes.append(root)
+    kept = [n for n, m, h in held if 2 * m > mass and h or 10 * m > 9 * mass]
     return nodes, pieces, frozenset(
-        n for n, m, h in held if n not in cleared and (2 * m > mass and h or 10 * m > 9 * mass))
+        [*kept, *(n.number for n in unclosed if n.tag == "form")]), frozenset(
+        n.number for n in unclosed if n.tag != "form")
 
 
 def best_container(nodes: list[_Node]) -> _Node:
-    """Highest score, the earlier of equal ones; outside an article widened to <main>, beyond
-    sections, and to the smallest container that holds nearly all kept text outside links."""
-    best = max(nodes, key=lambda n: (n.score, -n.start, len(n.path)))
-    if best.home is not None or not best.score:
+    """Highest score, the earlier of equal ones; in an article that article, otherwise <main> or
+    the smallest container that holds all kept text outside links."""
+    best = max(nodes, key=lambda n: (n.score, -n.start))
+    if best.home is not None:
+        return best.home
+    if not best.score:
         return best
     top = best
     while top.up is not None and top.tag != "main":
         top = top.up
     if top.tag == "main":
-        best = top
-    while best.up is not None and (best.tag == "section" or best.total < NEARLY_ALL * top.total):
+        return top
+    while best.up is not None and (best.tag == "section" or best.total < top.total):
         best = best.up
-        if best.tag == "main":
-            break
     return best
 
 
 def text_of(nodes: list[_Node], pieces: list[str], paths: list[str] | None) -> str:
-    """Text of the containers at the first of ``paths`` the page has, or of its best one."""
+    """Text of the containers at the first of ``paths`` the page has, or of its best one.
+
+    Articles come with the articles beside them, whatever their classes.
+    """
     chosen: list[_Node] = []
     for path in paths or ():
-        chosen = [n for n in nodes if n.path == path and n.total > 0]
+        key = _key_of(path)
+        chosen = [n for n in nodes if n.key == key and n.total > 0 and n.path == path]
         if chosen:
             break
     if not chosen:
         chosen = [best_container(nodes)]
+    beside = {id(n.up) for n in chosen if n.tag == "article"}
+    chosen = list({id(n): n for n in [*chosen, *(
+        n for n in nodes if n.tag == "article" and id(n.up) in beside)]}.values())
     out, upto = [], -1
-    for n in sorted(chosen, key=lambda n: n.start):
+    for n in sorted(chosen, key=lambda n: (n.start, -n.end)):
         if n.start < upto:  # inside one that was taken
             continue
         out.append("".join(pieces[n.start:n.end]))
