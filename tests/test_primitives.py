@@ -104,6 +104,30 @@ def test_ewma_equals_the_loop(spark, lam):
             assert got[t] == pytest.approx(level, abs=1e-11)
 
 
+@pytest.mark.parametrize("chunk", [4096, 5])
+def test_affine_scan_equals_the_loop(spark, monkeypatch, chunk):
+    monkeypatch.setattr(N, "SCAN_ROWS", chunk)  # 5: several levels of chunks
+    gen = np.random.default_rng(6)
+    rows = [(g, t, float(a), None if gen.random() < 0.1 else float(b))
+            for g, size in ((0, 400), (1, 3)) for t, (a, b) in enumerate(zip(
+                gen.choice([0.0, -0.5, 0.9, 1.0, 1.01], size), gen.normal(size=size)))]
+    df = spark.createDataFrame(rows, "g long, t long, a double, b double").repartition(5)
+    out = N.affine_scan(df, ["g"], "t", ["t"], {"x": (F.col("a"), F.col("b"), 2.0),
+                                                "y": (F.lit(1.0), F.lit(1.0), 0.0)}).collect()
+    got = {(r.g, r.t): (r.x, r.y) for r in out}
+    assert len(got) == len(rows)
+    level = {}
+    for g, t, a, b in rows:
+        x, y = level.get(g, (2.0, 0.0))
+        level[g] = x, y = (x if b is None else a * x + b), y + 1
+        assert got[g, t] == (pytest.approx(x, rel=1e-9, abs=1e-9), y)
+
+
+def test_affine_scan_of_nothing(spark):
+    empty = spark.createDataFrame([], "g long, t long, a double")
+    assert N.affine_scan(empty, ["g"], "t", ["t"], {"x": (F.col("a"), F.col("a"), 0.0)}).count() == 0
+
+
 def test_step_grid_fills_missing_steps(spark):
     df = spark.createDataFrame([("a", 2, 5), ("a", 4, 1)], "g string, step long, n long")
     out = {r.step: r.n for r in N.on_step_grid(df, ["g"], ["n"]).collect()}

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from winnow.operators.primitives import (
-    exact_quantiles, range_buckets, settle, small_side, with_group_values)
+    exact_quantiles, join_hot, range_buckets, settle, small_side, with_group_values)
+
 
 def window_members(df: DataFrame, by: Sequence[str], steps: int,
                    step: str = "step") -> DataFrame:
@@ -18,6 +19,7 @@ def window_members(df: DataFrame, by: Sequence[str], steps: int,
 
     Steps are whole numbers, so the range join is an explode and an equal key.
     """
+    df = settle(df)  # its rows are made once, for the ends of the groups and for the windows
     last = df.groupBy(*by).agg(F.max(step).alias("_last"))
     reach = F.sequence(F.col(step), F.least(F.col(step) + (steps - 1), F.col("_last")))
     return (with_group_values(df, last, by)
@@ -28,40 +30,50 @@ def asof_interpolate(records: DataFrame, series: DataFrame, by: Sequence[str], t
                      value: str, out: str, rows_per_bucket: int | None = None) -> DataFrame:
     """Value of a series at each record's time: linear between points, flat beyond the ends.
 
-    Both streams are merged and cut into time buckets.  Neighbours are found inside a bucket;
-    the last point before and the first point after it come from one row per bucket.
+    Records of one time have one answer, so both streams are first reduced to distinct times, each
+    with its first and last point; these are cut into buckets of time, neighbours are found inside a
+    bucket, and the last point before and the first point after it come from one row per bucket.
+    The answers reach the records by (by, time), hot times by broadcast, so one instant may hold any
+    share of the rows.  Of several points at one time the largest value counts at it and after it,
+    the smallest before it; a record without time or group has no value.
     """
     by = list(by)
-    cols = [c for c in records.columns if c not in by and c != t]
-    point = F.struct(F.col(t).alias("t"), F.col(value).alias("v"))
-    merged = (records.select(*by, t, F.struct(*cols).alias("_row"), F.lit(None).cast(
-        series.select(point).schema[0].dataType).alias("_pt"))
-        .unionByName(series.filter(F.col(value).isNotNull()).select(
-            *by, t, F.lit(None).cast(records.select(F.struct(*cols)).schema[0].dataType)
-            .alias("_row"), point.alias("_pt"))))
-    buckets = range_buckets(merged, t, rows_per_bucket)
-    merged = buckets.assign(merged, t)
+    point = F.when(F.col(value).isNotNull(), F.struct(F.col(t).alias("t"), F.col(value).alias("v")))
+    records = settle(records)
+    known = F.col(t).isNotNull()
+    for c in by:
+        known = known & F.col(c).isNotNull()
+    kind = series.select(point.alias("p")).schema["p"].dataType
+    times = settle(records.filter(known).select(*by, t, F.lit(None).cast(kind).alias("_p"),
+                                                F.lit(1).alias("_r"))
+                   .unionByName(series.select(*by, t, point.alias("_p"), F.lit(0).alias("_r"))
+                                .filter(F.col("_p").isNotNull()))
+                   .groupBy(*by, t).agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"),
+                                        F.sum("_r").alias("_members")))
+    buckets = range_buckets(times, t, rows_per_bucket)
+    times = buckets.assign(times, t)
     key = [*by, "_bucket"]
     near = W.partitionBy(*key).orderBy(t)
-    up = near.rangeBetween(W.unboundedPreceding, 0)
-    down = near.rangeBetween(0, W.unboundedFollowing)
-    merged = merged.select("*", F.last("_pt", True).over(up).alias("_b"),
-                           F.first("_pt", True).over(down).alias("_a"))
+    times = times.select(
+        "*", F.last("_hi", True).over(near.rowsBetween(W.unboundedPreceding, 0)).alias("_b"),
+        F.first("_lo", True).over(near.rowsBetween(0, W.unboundedFollowing)).alias("_a"))
     if buckets.splits:
-        ends = merged.groupBy(*key).agg(F.min("_pt").alias("_lo"), F.max("_pt").alias("_hi"))
+        ends = times.groupBy(*key).agg(F.min("_lo").alias("_first"), F.max("_hi").alias("_last"))
         across = W.partitionBy(*by).orderBy("_bucket")
         ends = ends.select(
             *key,
-            F.last("_hi", True).over(across.rowsBetween(W.unboundedPreceding, -1)).alias("_pb"),
-            F.first("_lo", True).over(across.rowsBetween(1, W.unboundedFollowing)).alias("_pa"))
-        merged = merged.join(ends, key).withColumn("_b", F.coalesce("_b", "_pb")).withColumn(
+            F.last("_last", True).over(across.rowsBetween(W.unboundedPreceding, -1)).alias("_pb"),
+            F.first("_first", True).over(across.rowsBetween(1, W.unboundedFollowing)).alias("_pa"))
+        times = times.join(ends, key).withColumn("_b", F.coalesce("_b", "_pb")).withColumn(
             "_a", F.coalesce("_a", "_pa"))
     b, a = F.col("_b"), F.col("_a")
     flat = (b["t"] == a["t"]) | a.isNull()
     level = (F.when(b.isNull(), a["v"]).when(flat, b["v"])
              .otherwise(b["v"] + (a["v"] - b["v"]) * (F.col(t) - b["t"]) / (a["t"] - b["t"])))
-    return (merged.filter(F.col("_row").isNotNull())
-            .select(*by, t, *[F.col(f"_row.{c}").alias(c) for c in cols], level.alias(out)))
+    levels = settle(times.filter("_members > 0").select(*by, t, "_members", level.alias(out)))
+    found = join_hot(records.filter(known), levels, [*by, t], "_members")
+    return found.unionByName(records.filter(~known).withColumn(
+        out, F.lit(None).cast(levels.schema[out].dataType))).select(*records.columns, out)
 
 
 def weighted_nearest(queries: DataFrame, library: DataFrame, coords: Sequence[tuple[str, str]],

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from winnow.functions.exprs import canonical
-from winnow.operators.primitives import row_positions, settle
+from winnow.operators.primitives import row_positions, settle, small_side
 
 GENESIS = "0" * 64
 
@@ -101,6 +101,50 @@ def append_chain(entries: DataFrame, log: str, order: str, body: Column,
     return rows.drop("seq", "prev_hash", "hash").join(linked, [log, "_pos"]).drop("_pos", "_body")
 
 
+#: fixed values: what a refused signature is logged as
+REFUSED = "signature_refused"
+
+
+def signed_entries(attempts: DataFrame, accounts: DataFrame, meanings: Sequence[str],
+                   reasons: Sequence[str]) -> DataFrame:
+    """Every attempt to sign as the log entry it becomes: accepted under its meaning, or refused.
+
+    ``attempts`` has user_name, proof, meaning, reason_code and its own columns; ``accounts`` has
+    user_name, account_role and credential, the digest a proof must equal.  Adds ``role``,
+    ``action`` and ``problem``: the first check that failed, of meaning, reason, user, credential.
+    The proof itself is dropped.  Both kinds stay in one table, so that they are numbered and
+    linked together and a refused attempt cannot be taken out unseen.
+    """
+    known = accounts.select("user_name", "account_role", "credential")
+    both = attempts.join(small_side(known), "user_name", "left")
+    problem = (F.when(~yes_in("meaning", meanings), "meaning")
+               .when(~yes_in("reason_code", reasons), "reason")
+               .when(F.col("account_role").isNull(), "user")
+               .when(~F.col("proof").eqNullSafe(F.col("credential")), "credential"))
+    return both.withColumn("problem", problem).withColumn(
+        "action", F.when(F.col("problem").isNull(), F.col("meaning")).otherwise(REFUSED)).withColumn(
+        "role", F.coalesce("account_role", F.lit("unknown"))).drop(
+        "account_role", "credential", "proof")
+
+
+def yes_in(column: str, values: Sequence[str]) -> Column:
+    """Membership, where a missing value is in no list."""
+    return F.coalesce(F.col(column).isin(*values), F.lit(False))
+
+
+def signed_log(attempts: DataFrame, accounts: DataFrame, meanings: Sequence[str],
+               reasons: Sequence[str], log: str, order: str, content: Sequence[str],
+               heads: DataFrame | None = None) -> DataFrame:
+    """Accepted and refused attempts as one hash chain per log; the digest of an entry covers its
+    ``content`` columns and what was decided about it."""
+    entries = signed_entries(attempts, accounts, meanings, reasons)
+    return append_chain(entries, log, order, row_digest([*content, *DECISION]), heads)
+
+
+#: Columns of an entry that its digest binds beside its content.
+DECISION = ("user_name", "role", "action", "reason_code", "problem")
+
+
 def verify_chain(entries: DataFrame, log: str, line: str, body: Column,
                  expected: DataFrame | None = None,
                  rows_per_bucket: int | None = None) -> DataFrame:
@@ -168,22 +212,46 @@ def fingerprint(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def batch_record(stops: DataFrame, est: DataFrame, faults: DataFrame, checks: DataFrame,
-                 signed: DataFrame, by: str = "batch_id") -> DataFrame:
-    """One nested document per batch: decision, distribution at the stop, faults, log status."""
+                 signed: DataFrame, method: str = "hybrid", spec: float | None = None,
+                 by: str = "batch_id") -> DataFrame:
+    """One nested document per batch, traceable to its log.
+
+    ``timeline`` has one entry a step, ``stops`` one a rule, ``distribution`` is the estimate at the
+    stop (at the last step without one), ``signed_actions`` are the signed entries of the log.
+    Lists are as long as the steps, rules, faults and signatures of one batch.
+    """
     ends = est.groupBy(by).agg(F.max("step").alias("_last"))
     cor = stops.filter(F.col("rule") == "C3").select(by, "stop")
     at = (cor.join(ends, by).withColumn("step", F.coalesce("stop", "_last"))
           .join(est, [by, "step"], "left"))
-    # four rules and six faults per batch: the lists are bounded
+    line = est.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(
+        "step", F.col("t_s").alias("t_s"), F.col(f"{method}_d10").alias("d10_um"), "p_spec")))
+        .alias("timeline"))
     rule_list = stops.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("rule", "stop")))
                                       .alias("stops"))
     seen = faults.filter("first_step is not null").groupBy(by).agg(
-        F.sort_array(F.collect_list("fault")).alias("faults"))
-    return (at.join(rule_list, by).join(seen, by, "left").join(checks, by, "left")
-            .join(signed, by, "left").select(
-        by, "stops", F.when(F.col("stop").isNotNull(), "stop").otherwise("go on")
-        .alias("status"), F.col("step").alias("at_step"),
-        F.col("hybrid_d10").alias("d10_um"), "d10_lo", "d10_hi", "p_spec", "undecided_rate",
-        F.coalesce("faults", F.array().cast("array<string>")).alias("faults"),
-        F.coalesce("entries", F.lit(0)).alias("entries"), "ok",
-        F.coalesce("n_signed", F.lit(0)).alias("n_signed")))
+        F.sort_array(F.collect_list(F.struct("fault", "first_step"))).alias("faults"))
+    actions = signed.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(
+        "seq", "user_name", "role", "action", "reason_code", "hash"))).alias("signed_actions"))
+    out = at.join(line, by, "left").join(rule_list, by).join(seen, by, "left").join(
+        checks, by, "left").join(actions, by, "left")
+    none = F.array().cast
+    return out.select(
+        by, F.struct(F.when(F.col("stop").isNotNull(), "stop").otherwise("go on").alias("status"),
+                     F.col("stop").alias("stop_step")).alias("recommendation"),
+        "timeline", "stops", F.struct(
+            F.lit(method).alias("estimator"), F.col("step").alias("at_step"),
+            *[F.col(f"{method}_{k}").alias(f"{k}_um") for k in ("mean", "d10", "d50", "d90")],
+            "d10_lo", "d10_hi", "p_spec", F.lit(spec).cast("double").alias("spec_d10_um"))
+        .alias("distribution"), "undecided_rate",
+        F.coalesce("faults", none(seen.schema["faults"].dataType)).alias("faults"),
+        F.coalesce("signed_actions", none(actions.schema["signed_actions"].dataType))
+        .alias("signed_actions"),
+        F.struct(F.coalesce("entries", F.lit(0)).alias("entries"), F.col("ok").alias("chain_ok"),
+                 F.col("latest").alias("latest_hash")).alias("log"))
+
+
+def export_records(records: DataFrame, path: str) -> None:
+    """The documents as JSON lines, absent values written as null."""
+    body = F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"})
+    records.select(body.alias("value")).write.mode("error").text(path)

@@ -8,12 +8,13 @@ therefore hold any share of the rows.
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from winnow.functions.exprs import uniform
 
 #: Rows a single window task may hold.  Input of fewer rows, as counted, is one bucket.
 ROWS_PER_BUCKET = 200_000
+#: Parts a value that repeats is cut into by a hash; a rare one has as many as it has rows at most.
+TIE_PARTS = 1 << 16
 #: Literal boundaries the driver makes at most; beyond them every bucket is cut again.
 COARSE_BUCKETS = 4096
 
@@ -150,12 +153,12 @@ def running_sums(
     For every name in ``sums``: ``name`` (own sum), ``name_before`` (sum over strictly smaller
     values of the group) and ``name_total``.  ``extra`` holds further aggregates per value.
     """
-    df = df.filter(F.col(value).isNotNull())
-    buckets = range_buckets(df, value, rows_per_bucket)
-    df, keys = _group_cols(df, by)
-    one = df.groupBy(*keys, value).agg(
+    df, keys = _group_cols(df.filter(F.col(value).isNotNull()), by)
+    # the source is read once; rows and boundaries are those of the collapsed table
+    one = settle(df.groupBy(*keys, value).agg(
         *[F.sum(c).alias(n) for n, c in sums.items()],
-        *[c.alias(n) for n, c in (extra or {}).items()])
+        *[c.alias(n) for n, c in (extra or {}).items()]))
+    buckets = range_buckets(one, value, rows_per_bucket)
     if not buckets.splits:
         order = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
         whole = W.partitionBy(*keys)
@@ -196,11 +199,9 @@ def row_positions(
     ``out_n`` (rows of the group).
     """
     df, keys = _group_cols(df, by, "_whole")
-    # parts of a repeated value, as if one value held all rows
-    tie_parts = max(1, -(-df.count() // (rows_per_bucket or ROWS_PER_BUCKET)))
     df = (df.withColumn("_u", uniform(*ties))
-          .withColumn("_part", F.floor(F.col("_u") * tie_parts).cast("bigint")))
-    parts = df.groupBy(*keys, value, "_part").agg(F.count("*").alias("_n"))
+          .withColumn("_part", F.floor(F.col("_u") * TIE_PARTS).cast("bigint")))
+    parts = settle(df.groupBy(*keys, value, "_part").agg(F.count("*").alias("_n")))
     below = running_sums(parts, keys, value, {"_rows": F.col("_n")},
                          rows_per_bucket=rows_per_bucket)
     upto = W.partitionBy(*keys, value).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
@@ -324,56 +325,129 @@ def microbins(df: DataFrame, by: Sequence[str], value: str, tol: float,
             .withColumn(value, (F.col("_cell") + F.lit(0.5)) * F.lit(tol)).drop("_cell"))
 
 
-def ewma(
+#: Rows whose maps one task composes; a level above, that many chunks.
+SCAN_ROWS = 4096
+
+
+def _composed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running composition of the maps x -> a x + b, in doubling strides."""
+    stride = 1
+    while stride < len(a):
+        # the right hand sides are whole before anything is replaced
+        b = np.concatenate([b[:stride], a[stride:] * b[:-stride] + b[stride:]])
+        a = np.concatenate([a[:stride], a[stride:] * a[:-stride]])
+        stride *= 2
+    return a, b
+
+
+def affine_scan(
     df: DataFrame,
     by: Sequence[str],
-    order: str,
+    order: str | None,
     ties: Sequence[str],
-    values: Mapping[str, tuple[str, float]],
-    lam: float,
+    maps: Mapping[str, tuple[Column, Column, float]],
     rows_per_bucket: int | None = None,
     pos: str | None = None,
 ) -> DataFrame:
-    """Exponentially weighted averages along each group's order, without a sequential pass.
+    """Levels x = a x + b along each group's order, with an own factor in every row.
 
-    ``values`` maps an output name to (input column, start level).  The recurrence is affine:
-    rows are cut into chunks long enough that five chunks decay below double precision, each
-    chunk is a scaled prefix sum, and its end level is carried into the next five chunks.
+    ``maps`` names an output column and gives (a, b, start).  Maps compose associatively, so rows
+    are cut into chunks by position, each chunk is composed by itself, and the chunks' maps are
+    scanned the same way one level above; a group with all rows is spread over all tasks.  A row
+    whose a or b is missing leaves the level as it is; a factor of zero starts anew.
+    ``pos`` names a column with the zero-based position, where the caller has it.
     """
-    keep = 1.0 - lam
-    if keep <= 0:
-        return df.select("*", *[F.col(c).alias(n) for n, (c, _) in values.items()])
-    length = max(1, math.ceil(math.log(1e-4) / math.log(keep)))
-    decay = keep ** length
-    by = list(by)
+    by, own = list(by), pos is None
     if pos is None:
         pos = "_pos"
         df = row_positions(df, by, order, ties, pos, rows_per_bucket).drop(f"{pos}_n")
-    rows = (df.withColumn("_chunk", F.floor(F.col(pos) / length))
-            .withColumn("_k", (F.col(pos) % length).cast("double")))
-    inside = (W.partitionBy(*by, "_chunk").orderBy("_k")
-              .rowsBetween(W.unboundedPreceding, 0))
-    for name, (c, _) in values.items():
-        scaled = F.col(c).cast("double") * F.pow(F.lit(keep), -F.col("_k"))
-        rows = rows.withColumn(
-            f"_in_{name}", F.lit(lam) * F.pow(F.lit(keep), F.col("_k")) * F.sum(scaled).over(inside))
-    ends = rows.groupBy(*by, "_chunk").agg(
-        F.max("_k").alias("_last"),
-        *[F.max_by(f"_in_{n}", "_k").alias(f"_end_{n}") for n in values])
-    reach = F.explode(F.sequence(F.lit(1), F.lit(5))).alias("_d")
-    carried = (
-        ends.select("*", reach)
-        .select(*by, (F.col("_chunk") + F.col("_d")).alias("_chunk"),
-                *[(F.col(f"_end_{n}") * F.pow(F.lit(decay), F.col("_d") - 1)).alias(f"_c_{n}")
-                  for n in values])
-        .groupBy(*by, "_chunk").agg(*[F.sum(f"_c_{n}").alias(f"_c_{n}") for n in values]))
-    out = rows.join(carried, [*by, "_chunk"], "left")
-    for name, (_, start) in values.items():
-        carry = (F.coalesce(F.col(f"_c_{name}"), F.lit(0.0))
-                 + F.lit(float(start)) * F.pow(F.lit(decay), F.col("_chunk")))
-        out = out.withColumn(
-            name, F.col(f"_in_{name}") + F.pow(F.lit(keep), F.col("_k") + 1) * carry)
-    return out.drop("_chunk", "_k", "_pos", *[f"_in_{n}" for n in values],
-                    *[f"_c_{n}" for n in values])
+    cols = df.columns
+    rows = df.withColumn("_chunk", F.floor(F.col(pos) / SCAN_ROWS))
+    for name, (a, b, _) in maps.items():
+        known = a.isNotNull() & b.isNotNull()
+        rows = (rows.withColumn(f"_a_{name}", F.when(known, a.cast("double")).otherwise(1.0))
+                .withColumn(f"_b_{name}", F.when(known, b.cast("double")).otherwise(0.0)))
+    names = list(maps)
+
+    def compose(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by(pos)
+        for name in names:
+            parts = _composed(chunk[f"_a_{name}"].to_numpy(), chunk[f"_b_{name}"].to_numpy())
+            for side, values in zip("ab", parts):
+                at = chunk.schema.get_field_index(f"_{side}_{name}")
+                chunk = chunk.set_column(at, chunk.schema.field(at), pa.array(values))
+        return chunk
+
+    done = settle(rows.groupBy(*by, "_chunk").applyInArrow(compose, rows.schema))
+    carry = {n: F.lit(float(start)) for n, (_, _, start) in maps.items()}
+    if done.filter("_chunk > 0").isEmpty():
+        out = done
+    else:
+        whole = F.max_by(F.struct(*[f"_{s}_{n}" for n in names for s in "ab"]), pos)
+        ends = done.groupBy(*by, "_chunk").agg(whole.alias("_w")).select(
+            *by, F.col("_chunk").alias("_k"), "_w.*")
+        levels = affine_scan(ends, by, None, (), {
+            f"_c_{n}": (F.col(f"_a_{n}"), F.col(f"_b_{n}"), start)
+            for n, (_, _, start) in maps.items()}, pos="_k")
+        levels = levels.select(*by, (F.col("_k") + 1).alias("_chunk"), *[f"_c_{n}" for n in names])
+        out = done.join(levels, [*by, "_chunk"], "left")
+        carry = {n: F.coalesce(f"_c_{n}", c) for n, c in carry.items()}
+    return out.select(*[c for c in cols if not (own and c == pos)], *[
+        (F.col(f"_a_{n}") * carry[n] + F.col(f"_b_{n}")).alias(n) for n in names])
+
+
+def affine_totals(df: DataFrame, by: Sequence[str], order: str, ties: Sequence[str],
+                  maps: Mapping[str, tuple[Column, Column]], rows_per_bucket: int | None = None
+                  ) -> DataFrame:
+    """The map of all rows of a group: ``name_a`` and ``name_b`` of x -> a x + b, and ``rows``."""
+    placed = row_positions(df, by, order, ties, "_at", rows_per_bucket).drop("_at_n")
+    parts = {f"{n}_{side}": (a, b, start) for n, (a, own) in maps.items()
+             for side, b, start in (("a", F.lit(0.0), 1.0), ("b", own, 0.0))}
+    out = affine_scan(placed, by, None, (), parts, pos="_at")
+    return out.groupBy(*by).agg(F.count("*").alias("rows"), *[
+        F.max_by(n, "_at").alias(n) for n in parts])
+
+
+def ewma(
+    df: DataFrame,
+    by: Sequence[str],
+    order: str,
+    ties: Sequence[str],
+    values: Mapping[str, tuple[str, float]],
+    lam: float,
+    rows_per_bucket: int | None = None,
+) -> DataFrame:
+    """Exponentially weighted averages along each group's order: an affine scan of one factor.
 
+    ``values`` maps an output name to (input column, start level); a missing input counts as 0.
+    """
+    return affine_scan(df, by, order, ties, {
+        n: (F.lit(1.0 - lam), F.lit(lam) * F.coalesce(F.col(c).cast("double"), F.lit(0.0)), start)
+        for n, (c, start) in values.items()}, rows_per_bucket)
+
+
+#: Rows of a key from which it may count as hot, and hot keys at most.
+HOT_ROWS = 10_000
+HOT_KEYS = 20_000
 
+
+def join_hot(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], members: str) -> DataFrame:
+    """``rows`` with the columns of their key; ``members`` counts the rows of each key.
+
+    Fewer than ``HOT_KEYS`` keys can hold more than that share of all rows; these reach their rows
+    by broadcast, so no task gets all rows of one of them.  Both sides are read twice and should be
+    written tables.
+    """
+    keys = list(keys)
+    total = per_key.agg(F.coalesce(F.sum(members), F.lit(0)).alias("n")).first()["n"]
+    is_hot = F.col(members) > max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(per_key.filter(is_hot).drop(members))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(
+        rest.join(per_key.filter(~is_hot).drop(members), keys))
+
+
+def with_previous(df: DataFrame, by: Sequence[str], pos: str, value: str, out: str) -> DataFrame:
+    """``out``: ``value`` of the row before, by zero-based position; no window over a group."""
+    before = df.select(*by, (F.col(pos) + 1).alias(pos), F.col(value).alias(out))
+    return df.join(before, [*by, pos], "left")

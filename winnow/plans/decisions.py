@@ -18,6 +18,7 @@ from winnow.plans.measures import BS, TRUTH_SQL, _rounded, truth_timeline
 from winnow.plans.registry import query
 from winnow.plans.series import ev_steps
 from winnow.settings import DEFAULTS as S
+from winnow.sources import files as R
 
 # -- bootstrap ---------------------------------------------------------------------------------------
 
@@ -69,13 +70,17 @@ BOOT["bint"] = """SELECT batch_id, step, quantile_cont(root,0.05) AS d10_lo,
  quantile_cont(root,0.95) AS d10_hi, avg((root>=12e0)::INT) AS p_spec FROM bmix GROUP BY 1,2"""
 
 
+# every window with an estimate; the timeline bootstraps only where a rule reads the interval
+BOOT_ALL = {**BOOT, "needed": "SELECT DISTINCT batch_id, step FROM ecls"}
+
+
 @query("e12_bootstrap_interval", """
 SELECT batch_id, step, round(d10_lo,5) AS d10_lo, round(d10_hi,5) AS d10_hi,
- round(p_spec,6) AS p_spec FROM bint""", BOOT, recursive=True)
+ round(p_spec,6) AS p_spec FROM bint""", BOOT_ALL, recursive=True)
 def _(spark, sf):
     m = Q.window_model(spark, sf)
-    d10 = E.mixture_quantiles(m.rows, m.hybrid, BS, {"d10": 0.1})
-    out = Q.interval_of(m, N.settle(d10.filter(F.col("d10") >= S.spec_d10_um).select(*BS)))
+    out = E.bootstrap_interval(E.bootstrap_d10(m, ["rid"], S.bootstrap_reps), BS, S.interval,
+                               S.spec_d10_um)
     return out.select(*BS, r6("d10_lo", 5).alias("d10_lo"), r6("d10_hi", 5).alias("d10_hi"),
                       r6("p_spec").alias("p_spec"))
 
@@ -84,19 +89,16 @@ def _(spark, sf):
 def _(spark, sf):
     sample = N.settle(Q.atline(spark, sf))
     m = E.WindowModel(Q.window_rows(spark, sf), sample, BS, S)
-    d10 = E.mixture_quantiles(m.rows, m.hybrid, BS, {"d10": 0.1})
-    wanted = N.settle(d10.filter(F.col("d10") >= S.spec_d10_um).select(*BS))
-    out = Q.interval_of(m, wanted, sample=(sample, ["rid"]))
+    out = E.bootstrap_interval(E.bootstrap_d10(m, ["rid"], S.bootstrap_reps, (sample, ["rid"])), BS,
+                               S.interval, S.spec_d10_um)
     return _rounded(out, "d10_lo", "d10_hi", "p_spec")
 
 
-# every window, and fewer replicates than the pruned interval of the corrected estimate
-PLAIN_REPS = 40
 PLAIN = {
     **Q.IPW,
     "pdraw": f"""SELECT * FROM (SELECT batch_id, step, class, h, q*4+w AS rep,
   {_poisson_sql(_word('w'))} AS c FROM (SELECT *, md5(concat_ws(':',rid,q)) AS d FROM (
-   SELECT batch_id, step, rid, class, h, unnest(range({PLAIN_REPS // 4})) AS q FROM erow)),
+   SELECT batch_id, step, rid, class, h, unnest(range({S.bootstrap_reps // 4})) AS q FROM erow)),
   (SELECT unnest(range(4)) AS w)) WHERE c>0""",
     "praw": """SELECT batch_id, step, rep, quantile_cont(h,0.1) AS d10 FROM (
  SELECT batch_id, step, rep, h, unnest(range(c::BIGINT)) AS i FROM pdraw) GROUP BY 1,2,3""",
@@ -119,14 +121,15 @@ def _plain_interval(d10):
 @query("e12_bootstrap_raw", _PLAIN_SQL.format("praw"), PLAIN)
 def _(spark, sf):
     return _plain_interval(E.bootstrap_raw_d10(N.settle(Q.window_rows(spark, sf)), BS, ["rid"],
-                                               PLAIN_REPS))
+                                               S.bootstrap_reps))
 
 
 @query("e12_bootstrap_ipw", _PLAIN_SQL.format("pipw"), PLAIN)
 def _(spark, sf):
     rows, table = E.size_classes(N.settle(Q.window_rows(spark, sf)),
                                  N.settle(Q.exact_reference(spark, sf)), BS, S.size_classes)
-    return _plain_interval(E.bootstrap_ipw_d10(rows, table, BS, ["rid"], PLAIN_REPS))
+    return _plain_interval(E.bootstrap_ipw_d10(rows, table, BS, ["rid"],
+                                               S.bootstrap_reps))
 
 
 @query("e13_bootstrap_pruning", """
@@ -323,16 +326,22 @@ def _(spark, sf):
 SWEEP = {"min_objects": (100.0, 200.0), "target_mean_um": (14.0, 16.0, 18.0),
          "spec_d10_um": (10.0, 12.0), "p_spec_min": (0.5, 0.95)}
 _CASES = ", ".join(SWEEP)
+_GCASES = ", ".join(f"g.{c}" for c in SWEEP)
 SWP = {
     **DEC,
+    "needed": f"SELECT batch_id, step FROM hpiv WHERE d10>={min(SWEEP['spec_d10_um'])!r}e0",
+    "swspec": """SELECT m.batch_id, m.step, spec_d10_um, avg((root>=spec_d10_um)::INT) AS pr
+ FROM bmix m JOIN hpiv h ON h.batch_id=m.batch_id AND h.step=m.step JOIN (
+ SELECT DISTINCT spec_d10_um FROM swgrid) ON d10>=spec_d10_um GROUP BY 1,2,3""",
     "swgrid": "SELECT * FROM " + ", ".join(
         f"(SELECT unnest({[float(v) for v in vs]}::DOUBLE[]) AS {c})" for c, vs in SWEEP.items()),
-    "swstop": f"""SELECT s.batch_id, {_CASES}, min(s.step) FILTER (sprayed_g>=target_g) AS c0,
+    "swstop": f"""SELECT s.batch_id, {_GCASES}, min(s.step) FILTER (sprayed_g>=target_g) AS c0,
  min(s.step) FILTER (n_window>=min_objects AND raw_mean>=target_mean_um) AS c1,
- min(s.step) FILTER (n_window>=min_objects AND raw_d10>=spec_d10_um) AS c2,
- min(s.step) FILTER (n_window>=min_objects AND p_spec>p_spec_min AND hybrid_cv<0.3e0
-  AND undecided_rate<0.2e0) AS c3 FROM sprayed s
- LEFT JOIN tlp t ON t.batch_id=s.batch_id AND t.step=s.step, swgrid GROUP BY ALL""",
+ min(s.step) FILTER (n_window>=min_objects AND raw_d10>=g.spec_d10_um) AS c2,
+ min(s.step) FILTER (n_window>=min_objects AND pr>p_spec_min AND hybrid_cv<0.3e0
+  AND undecided_rate<0.2e0) AS c3 FROM sprayed s CROSS JOIN swgrid g
+ LEFT JOIN tl t ON t.batch_id=s.batch_id AND t.step=s.step LEFT JOIN swspec w
+ ON w.batch_id=s.batch_id AND w.step=s.step AND w.spec_d10_um=g.spec_d10_um GROUP BY ALL""",
     "swlong": " UNION ALL ".join(
         f"SELECT batch_id, {_CASES}, '{r}' AS rule, {r.lower()} AS stop FROM swstop"
         for r in D.RULES)}
@@ -347,8 +356,7 @@ FROM swlong s JOIN tends e USING (batch_id) JOIN tstate t ON t.batch_id=s.batch_
  AND t.step=coalesce(stop,last) LEFT JOIN tstate i ON i.batch_id=s.batch_id AND i.step=ideal
 GROUP BY ALL""", SWP, recursive=True)
 def _(spark, sf):
-    est = N.settle(Q.estimate_timeline(spark, sf, bootstrap="needed", models=("raw", "hybrid")))
-    spray = sprayed(spark, sf)
+    est, spray = _sweep_input(spark, sf)
     stops = D.sweep_stops(est, spray, J.case_grid(spark, SWEEP), S)
     out = D.outcomes(stops, est, truth_timeline(spark, sf), spray, S.spec_d10_um,
                      keep=list(SWEEP))
@@ -356,6 +364,39 @@ def _(spark, sf):
                     "excess_coating_pct")
 
 
+def _sweep_input(spark, sf):
+    """Timeline with the replicates of every window that the lowest specification lets in."""
+    est = Q.estimate_timeline(spark, sf, models=("raw", "hybrid"),
+                              replicates_from=min(SWEEP["spec_d10_um"]))
+    return N.settle(est), N.settle(sprayed(spark, sf))
+
+
+@query("d7_sweep_resume", f"""
+SELECT {_CASES}, rule, count(stop) AS stops, sum(stop) AS total,
+ CASE WHEN spec_d10_um={min(SWEEP['spec_d10_um'])!r}e0 THEN 1 ELSE 2 END AS run
+FROM swlong GROUP BY ALL""", SWP, recursive=True)
+def _(spark, sf):
+    est, spray = _sweep_input(spark, sf)
+    grid = J.case_grid(spark, SWEEP)
+    folder, made = R.scratch(spark, "sweep"), "case_key string, " + ", ".join(
+        f"{c} double" for c in SWEEP) + ", rule string, stops bigint, total bigint, run int"
+
+    def run(number, cases):
+        """One run: reads what is stored, computes the rest, stores it."""
+        cases = cases.withColumn("case_key", R.content_key(list(SWEEP), 1))
+        stored = R.load_result_set(spark, folder, made, "stops", "sweep", 1)
+        done, new = D.sweep_resumed(cases, stored, "case_key", lambda todo: D.sweep_stops(
+            est, spray, todo.select(*SWEEP), S).groupBy(*SWEEP, "rule").agg(
+            F.count("stop").alias("stops"), F.sum("stop").alias("total")).join(
+            todo, list(SWEEP)).select("case_key", *SWEEP, "rule", "stops", "total",
+                                      F.lit(number).alias("run")))
+        R.save_result_set({"stops": done}, folder, "sweep", 1)
+        return done
+
+    run(1, grid.filter(F.col("spec_d10_um") == min(SWEEP["spec_d10_um"])))
+    return run(2, grid).drop("case_key")
+
+
 _SG, _DG = (0.88, 0.9, 0.92, 0.94, 0.96), (0.08, 0.12, 0.16, 0.19)
 
 

@@ -468,8 +468,12 @@ def base_columns(spark, sf, s=S):
         .alias("growth_rel_per_h"))
 
 
-def estimate_timeline(spark, sf, s=S, bootstrap="none", models=TIMELINE_METHODS):
-    """Every estimator at every step; NULL where the window holds too few objects."""
+def estimate_timeline(spark, sf, s=S, bootstrap="none", models=TIMELINE_METHODS,
+                      replicates_from=None):
+    """Every estimator at every step; NULL where the window holds too few objects.
+
+    With ``replicates_from`` windows whose corrected d10 reaches it also carry their replicates.
+    """
     m = window_model(spark, sf, s)
     out = base_columns(spark, sf, s).join(m.summary().drop("n"), BS, "left")
     parts = {"raw": lambda: m.raw(tie()), "ipw": lambda: m.ipw(tie()), "model": m.model_estimate,
@@ -480,6 +484,12 @@ def estimate_timeline(spark, sf, s=S, bootstrap="none", models=TIMELINE_METHODS)
             est = N.settle(est)
             wanted = est if bootstrap == "all" else est.filter(F.col("d10") >= s.spec_d10_um)
             out = out.join(interval_of(m, wanted.select(*BS), s), BS, "left")
+        if name == "hybrid" and replicates_from is not None:
+            est = N.settle(est)
+            wanted = est.filter(F.col("d10") >= replicates_from).select(*BS)
+            reps = replicates_of(m, wanted, s).groupBy(*BS).agg(
+                F.sort_array(F.collect_list("d10")).alias("d10_reps"))  # as many as replicates
+            out = out.join(reps, BS, "left")
         out = out.join(E.prefixed(est, BS, name), BS, "left")
     ref = N.weighted_quantiles(exact_reference(spark, sf), BS, "log_size", "weight",
                                F.lit(0), {"_m": 0.5})
@@ -494,7 +504,13 @@ def estimate_timeline(spark, sf, s=S, bootstrap="none", models=TIMELINE_METHODS)
 
 
 def interval_of(model, wanted, s=S, sample=None):
-    """Bootstrap interval of the windows in ``wanted`` only: the filter precedes the explode."""
+    """Bootstrap interval of the windows in ``wanted`` only."""
+    return E.bootstrap_interval(replicates_of(model, wanted, s, sample), model.by, s.interval,
+                                s.spec_d10_um)
+
+
+def replicates_of(model, wanted, s=S, sample=None):
+    """d10 of every replicate of the windows in ``wanted``: the filter precedes the explode."""
     sub = object.__new__(E.WindowModel)
     sub.by, sub.s = model.by, s
     sub.table = model.table.join(wanted, model.by, "left_semi")
@@ -502,8 +518,7 @@ def interval_of(model, wanted, s=S, sample=None):
     sub.rows = model.rows.join(wanted, model.by, "left_semi")
     if sample is not None:
         sample = (sample[0].join(wanted, model.by, "left_semi"), sample[1])
-    d10 = E.bootstrap_d10(sub, ["rid"], s.bootstrap_reps, sample)
-    return E.bootstrap_interval(d10, model.by, s.interval, s.spec_d10_um)
+    return E.bootstrap_d10(sub, ["rid"], s.bootstrap_reps, sample)
 
 
 TL = {**IPW, **mixture("h", "erows", "ecomps"),

@@ -200,6 +200,49 @@ def _(spark, sf):
     return chained(spark, sf).select("log_id", "seq", "prev_hash", "hash")
 
 
+# attempts to sign every entry of the logs: some with a wrong meaning, reason, user or proof
+_MEANINGS, _REASONS = ("user", "assistant"), ("r0", "r1", "r2")
+_ATTEMPT = ["log_id", "seq", "text", "concat('u',(log_id*3+seq)%5) as user_name",
+            "case when (log_id+seq)%5=0 then 'close' else role end as meaning",
+            "concat('r',seq%4) as reason_code", "(log_id*5+seq)%13=0 as forged"]
+_DECIDED = {c: c for c in ("text", *L.DECISION)}
+SIGNED = {"attempts": f"SELECT {', '.join(_ATTEMPT)} FROM logs",
+          "sbody": f"""SELECT *, sha256({canonical_sql(_DECIDED)}) AS body FROM (SELECT *,
+  CASE WHEN problem IS NULL THEN meaning ELSE '{L.REFUSED}' END AS action FROM (SELECT *,
+  CASE WHEN user_name='u4' THEN 'unknown' WHEN user_name IN ('u0','u2') THEN 'operator'
+   ELSE 'lead' END AS role, CASE WHEN meaning NOT IN {_MEANINGS} THEN 'meaning'
+   WHEN reason_code NOT IN {_REASONS} THEN 'reason' WHEN user_name='u4' THEN 'user'
+   WHEN forged THEN 'credential' END AS problem FROM attempts))""",
+          "schain": f"""SELECT log_id, seq, repeat('0',64) AS prev_hash,
+  {_link('seq', "repeat('0',64)", 'body')} AS hash FROM sbody WHERE seq=1
+  UNION ALL SELECT b.log_id, b.seq, c.hash, {_link('b.seq', 'c.hash', 'b.body', 'b.log_id')}
+  FROM schain c JOIN sbody b ON b.log_id=c.log_id AND b.seq=c.seq+1"""}
+
+
+def signed(spark, sf):
+    """The hash chain over accepted and refused attempts, and its check."""
+    accounts = spark.range(4).selectExpr(
+        "concat('u',id) as user_name", "if(id%2=0,'operator','lead') as account_role",
+        "sha2(concat('key of u',id),256) as credential")
+    attempts = X.log(spark, sf).selectExpr(*_ATTEMPT).withColumn("proof", F.expr(
+        "if(forged, 'x', sha2(concat('key of ',user_name),256))")).drop("forged")
+    chain = N.settle(L.signed_log(attempts, accounts, _MEANINGS, _REASONS, "log_id", "seq",
+                                  ["text"]))
+    return chain, L.verify_chain(chain.withColumn("line", F.col("seq")), "log_id", "line",
+                                 L.row_digest(list(_DECIDED)))
+
+
+@query("l2_refused_attempts", f"""
+SELECT log_id, seq, user_name, role, problem, prev_hash, hash, true AS chain_ok
+FROM sbody JOIN schain USING (log_id, seq) WHERE action='{L.REFUSED}'""", {**LOGS, **SIGNED},
+       recursive=True)
+def _(spark, sf):
+    chain, checks = signed(spark, sf)
+    return chain.filter(F.col("action") == L.REFUSED).join(
+        checks.select("log_id", F.col("ok").alias("chain_ok")), "log_id").select(
+        "log_id", "seq", "user_name", "role", "problem", "prev_hash", "hash", "chain_ok")
+
+
 _PRED_ROW = {c: c for c in ("rid", "truth", "predicted", "status")}
 
 
@@ -217,32 +260,70 @@ def _(spark, sf):
         "rid", F.substring(L.row_digest([*_PRED_ROW, "model"]), 1, 16).alias("record_id"))
 
 
+RECORD = {
+    **Q.DIAG, **Q.DEC, **LOGS, **SIGNED,
+    "rline": """SELECT batch_id, string_agg(step||':'||coalesce(round(hybrid_d10*1e3)::BIGINT::VARCHAR,'-')
+ ||':'||coalesce(round(p_spec*1e3)::BIGINT::VARCHAR,'-'),',' ORDER BY step) AS timeline,
+ max(step) AS last FROM tlp GROUP BY 1""",
+    "rfault": "SELECT batch_id, string_agg(fault||':'||first_step,',' ORDER BY fault) AS faults FROM ("
+              + " UNION ALL ".join(f"SELECT batch_id, '{f}' AS fault, min(step) AS first_step "
+                                   f"FROM dflag WHERE {f} GROUP BY 1" for f in Q._FAULTS)
+              + ") GROUP BY 1",
+    "rlog": f"""SELECT log_id, count(*) AS entries, arg_max(hash,seq) AS latest,
+ string_agg(concat_ws(':',seq,user_name,role,action,reason_code,substr(hash,1,8)),',' ORDER BY seq)
+ FILTER (action<>'{L.REFUSED}') AS actions FROM sbody JOIN schain USING (log_id, seq) GROUP BY 1"""}
+
+
 @query("l5_batch_record", """
-SELECT a.batch_id, CASE WHEN c3 IS NOT NULL THEN 'stop' ELSE 'go on' END
- AS status, t.step AS at_step, round(hybrid_d10,5) AS d10_um, round(d10_lo,5) AS d10_lo,
- round(p_spec,6) AS p_spec, round(undecided_rate,6) AS undecided_rate,
- coalesce(array_to_string(faults,','),'') AS faults, coalesce(entries,0) AS entries,
- coalesce(n_signed,0) AS n_signed FROM stopw a JOIN (SELECT batch_id, max(step) AS last FROM tlp
- GROUP BY 1) USING (batch_id) JOIN tlp t ON t.batch_id=a.batch_id AND t.step=coalesce(c3,last)
-LEFT JOIN (SELECT batch_id, list_sort(list(fault)) AS faults FROM ("""
-       + " UNION ALL ".join(f"SELECT DISTINCT batch_id, '{f}' AS fault FROM dflag WHERE {f}"
-                            for f in Q._FAULTS) + """) GROUP BY 1) f ON f.batch_id=a.batch_id
-LEFT JOIN (SELECT log_id, count(*) AS entries, count(*) FILTER (role='assistant') AS n_signed
- FROM logs GROUP BY 1) l ON l.log_id=a.batch_id""", {**Q.DIAG, **Q.DEC}, recursive=True)
+SELECT a.batch_id, CASE WHEN c3 IS NOT NULL THEN 'stop' ELSE 'go on' END AS status,
+ c3 AS stop_step, 'hybrid' AS estimator, t.step AS at_step, round(hybrid_mean,5) AS mean_um,
+ round(hybrid_d10,5) AS d10_um, round(hybrid_d50,5) AS d50_um, round(hybrid_d90,5) AS d90_um,
+ round(d10_lo,5) AS d10_lo, round(d10_hi,5) AS d10_hi, round(p_spec,6) AS p_spec,
+ 12e0 AS spec_d10_um, round(undecided_rate,6) AS undecided_rate, timeline,
+ concat_ws(',','C0:'||coalesce(c0::VARCHAR,'-'),'C1:'||coalesce(c1::VARCHAR,'-'),
+  'C2:'||coalesce(c2::VARCHAR,'-'),'C3:'||coalesce(c3::VARCHAR,'-')) AS stops,
+ coalesce(faults,'') AS faults, coalesce(actions,'') AS signed_actions,
+ coalesce(entries,0) AS entries, CASE WHEN entries>0 THEN true END AS chain_ok,
+ latest AS latest_hash FROM stopw a JOIN rline USING (batch_id)
+JOIN tlp t ON t.batch_id=a.batch_id AND t.step=coalesce(c3,last)
+LEFT JOIN rfault f ON f.batch_id=a.batch_id LEFT JOIN rlog l ON l.log_id=a.batch_id""", RECORD,
+       recursive=True)
 def _(spark, sf):
     est, _spray, stops = Q.decided(spark, sf)
     faults = D.fault_history(D.fault_flags(Q.signals(spark, sf), Q.LIMITS))
-    chain = chained(spark, sf)
-    checks = L.verify_chain(chain.withColumn("line", F.col("seq")), "log_id", "line",
-                            L.row_digest(_BODY)).select(F.col("log_id").alias("batch_id"),
-                                                        "entries", "ok")
-    signed = chain.groupBy(F.col("log_id").alias("batch_id")).agg(
-        F.count_if(F.col("role") == "assistant").alias("n_signed"))
-    out = L.batch_record(stops, est, faults, checks, signed)
-    return out.select("batch_id", "status", "at_step", r6("d10_um", 5).alias("d10_um"),
-                      r6("d10_lo", 5).alias("d10_lo"), r6("p_spec").alias("p_spec"),
-                      r6("undecided_rate").alias("undecided_rate"),
-                      F.array_join("faults", ",").alias("faults"), "entries", "n_signed")
+    chain, checks = signed(spark, sf)
+    actions = chain.filter(F.col("action") != L.REFUSED).withColumnRenamed("log_id", "batch_id")
+    docs = N.settle(L.batch_record(stops, est, faults, checks.select(
+        F.col("log_id").alias("batch_id"), "entries", "ok", "latest"), actions,
+        spec=S.spec_d10_um))
+    path = R.scratch(spark, "records")
+    L.export_records(docs, path)
+    docs = spark.read.schema(docs.schema).json(path)  # the documents as written
+
+    def text(column, *fields):
+        return F.array_join(F.transform(column, lambda e: F.concat_ws(":", *[
+            F.coalesce(f(e).cast("string"), F.lit("-")) for f in fields])), ",").alias(column)
+
+    def of(name):
+        return lambda e: e[name]
+
+    def thousandths(name):
+        return lambda e: F.round(e[name] * 1000).cast("bigint")
+
+    dist, log = F.col("distribution"), F.col("log")
+    return docs.select(
+        "batch_id", "recommendation.*", dist["estimator"].alias("estimator"),
+        dist["at_step"].alias("at_step"), *[
+            r6(dist[c], 5).alias(c) for c in ("mean_um", "d10_um", "d50_um", "d90_um", "d10_lo",
+                                              "d10_hi")],
+        r6(dist["p_spec"]).alias("p_spec"), dist["spec_d10_um"].alias("spec_d10_um"),
+        r6("undecided_rate").alias("undecided_rate"),
+        text("timeline", of("step"), thousandths("d10_um"), thousandths("p_spec")),
+        text("stops", of("rule"), of("stop")), text("faults", of("fault"), of("first_step")),
+        text("signed_actions", of("seq"), of("user_name"), of("role"), of("action"),
+             of("reason_code"), lambda e: F.substring(e["hash"], 1, 8)),
+        log["entries"].alias("entries"), log["chain_ok"].alias("chain_ok"),
+        log["latest_hash"].alias("latest_hash"))
 
 
 @query("l6_log_views", """
@@ -320,6 +401,57 @@ def _(spark, sf):
                                   r6(F.avg("value")).alias("mean_value"))
 
 
+@query("src1_nan_records", """
+SELECT ceil(t_s/21600e0)::BIGINT AS step, count(*) AS n, count(reading) AS n_reading,
+ round(avg(reading),6) AS mean_reading FROM (SELECT (us-1704067200000000)/1e6 AS t_s,
+ CASE WHEN event_id%5<>0 THEN value END AS reading FROM ev) GROUP BY 1""")
+def _(spark, sf):
+    path = R.scratch(spark, "nan-records")
+    X.ev(spark, sf).selectExpr(
+        "event_id", "(us-1704067200000000)/1e6 as t_s",
+        "case when event_id%5=0 then double('NaN') else value end as reading").write.parquet(path)
+    df = R.read_records(spark, path, "event_id bigint, t_s double, reading double", "t_s", 21600.0)
+    return df.groupBy("step").agg(
+        F.count("*").alias("n"), F.count("reading").alias("n_reading"),
+        r6(F.avg("reading")).alias("mean_reading"))
+
+
+# five tables of one run, as the reference's result sets have them
+_FIVE = {"truth": ["seed", "below_pct as value"], "est": ["seed", "bias as value"],
+         "controllers": ["scenario", "cast(stopped as int) as value"],
+         "signals": ["seed", "m as value"], "samples": ["scenario", "k as value"]}
+
+
+@query("src2_keyed_set", " UNION ALL ".join(
+    f"SELECT '{n}' AS name, count(*) AS n, round(sum(value)::DOUBLE,4) AS total, 0 AS n_other_key, "
+    f"0 AS n_other_version FROM (SELECT {', '.join(cols).replace('int', 'INT')} FROM grid)"
+    for n, cols in _FIVE.items()))
+def _(spark, sf):
+    grid = X.grid(spark, sf)
+    tables = {n: grid.selectExpr(*cols) for n, cols in _FIVE.items()}
+    folder = R.scratch(spark, "keyed-set")
+    schemas = {n: t.schema for n, t in tables.items()}
+    missing = R.load_result_tables(spark, folder, schemas, "key-a", 3)  # nothing is stored yet
+    R.save_result_set({n: t.limit(0) for n, t in tables.items()}, folder, "key-a", 3)
+    R.save_result_set(tables, folder, "key-a", 3)  # a later attempt replaces an earlier one
+    # a run that died after two of its tables has no commit record
+    R.write_attempt({n: tables[n] for n in ("truth", "est")}, folder, "key-a", 3, "died")
+    R.write_attempt({n: tables[n] for n in ("truth", "est")}, folder, "key-b", 3, "died")
+    found = R.load_result_tables(spark, folder, schemas, "key-a", 3)
+    other = R.load_result_tables(spark, folder, schemas, "key-b", 3)
+    older = R.load_result_tables(spark, folder, schemas, "key-a", 2)
+    rows = None
+    for name, df in found.items():
+        unseen = other[name].unionByName(missing[name]).agg(F.count("*").cast("int").alias("n_other_key"))
+        row = df.agg(F.lit(name).alias("name"), F.count("*").alias("n"),
+                     r6(F.sum("value").cast("double"), 4).alias("total"))
+        row = row.withColumn("_k", F.lit(1)).join(unseen.withColumn("_k", F.lit(1)), "_k").join(
+            older[name].agg(F.count("*").cast("int").alias("n_other_version")).withColumn(
+                "_k", F.lit(1)), "_k").drop("_k")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 @query("src2_result_set", """
 SELECT gamma, m, k, count(*) AS n, round(avg(bias),6) AS bias FROM grid GROUP BY 1,2,3""")
 def _(spark, sf):
@@ -392,28 +524,96 @@ def _(spark, sf):
     return R.integrity(found, wrong)
 
 
+# a file list of a whole tree: one file per document, in folders of language and source
+_LISTED = {"flist": """SELECT concat_ws('/',coalesce(lang,''),coalesce(source,''),doc_id||'.txt') AS path,
+ sha256(coalesce(text,'')) AS sha256 FROM documents""",
+           "fman": """SELECT path, CASE WHEN h%5=0 THEN 'changed' ELSE sha256 END AS sha256 FROM (
+ SELECT *, ('0x'||substr(md5(path),1,6))::BIGINT AS h FROM flist) WHERE h%7<>0
+ UNION ALL SELECT 'gone/'||path, sha256 FROM flist WHERE ('0x'||substr(md5(path),1,6))::BIGINT%11=0"""}
+
+
+def file_list(spark, sf):
+    return X.table(spark, sf, "documents").select(
+        F.concat_ws("/", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")),
+                    F.concat("doc_id", F.lit(".txt"))).alias("path"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+
+
+@query("src8_manifest", """
+SELECT path, CASE WHEN f.sha256 IS NULL THEN 'missing' WHEN m.sha256 IS NULL THEN 'unlisted'
+ WHEN f.sha256<>m.sha256 THEN 'mismatch' ELSE 'ok' END AS status
+FROM flist f FULL JOIN fman m USING (path)""", _LISTED)
+def _(spark, sf):
+    found = N.settle(file_list(spark, sf))
+    h = F.conv(F.substring(F.md5("path"), 1, 6), 16, 10).cast("bigint")
+    listed = found.filter(h % 7 != 0).withColumn("sha256", F.when(
+        h % 5 == 0, F.lit("changed")).otherwise(F.col("sha256")))
+    gone = found.filter(h % 11 == 0).withColumn("path", F.concat(F.lit("gone/"), "path"))
+    path = R.scratch(spark, "manifest")
+    listed.unionByName(gone).write.json(path)  # the stored manifest
+    return R.integrity(found, spark.read.schema("path string, sha256 string").json(path))
+
+
+_PER_DIGEST = 8
+
+
+def _tree_sql(rounds: int = 6) -> dict[str, str]:
+    """Levels of the tree from below; inside a level, rounds of digests over buckets of lines."""
+    out = {"tl3": """SELECT lang||'/'||source AS folder, 'file '||doc_id||'.txt '||h AS line FROM (
+ SELECT coalesce(lang,'') AS lang, coalesce(source,'') AS source, doc_id,
+  sha256(coalesce(text,'')) AS h FROM documents)"""}
+    for level in (3, 2, 1):
+        rows = f"tl{level}"
+        out[f"tr{level}_0"] = f"""SELECT folder, digest, left_, bucket FROM (
+ SELECT folder, p AS left_, bucket, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM (
+  SELECT *, floor(('0x'||substr(md5(line),1,12))::BIGINT*p/281474976710656e0)::BIGINT AS bucket FROM (
+   SELECT *, ((count(*) OVER (PARTITION BY folder)+{_PER_DIGEST - 1})//{_PER_DIGEST})::BIGINT AS p
+   FROM {rows})) GROUP BY 1,2,3)"""
+        for r in range(1, rounds):
+            before = f"tr{level}_{r - 1}"
+            out[f"tr{level}_{r}"] = f"""SELECT folder, digest, left_, bucket FROM {before} WHERE left_=1
+ UNION ALL SELECT folder, sha256(string_agg(lpad(bucket::VARCHAR,12,'0')||' '||digest, chr(10)
+  ORDER BY lpad(bucket::VARCHAR,12,'0')||' '||digest)) AS digest,
+  (left_+{_PER_DIGEST - 1})//{_PER_DIGEST} AS left_, bucket//{_PER_DIGEST} AS bucket
+ FROM {before} WHERE left_>1 GROUP BY 1,3,4"""
+        last = f"tr{level}_{rounds - 1}"
+        if level > 1:
+            above = "regexp_extract(folder,'^(.*)/[^/]*$',1)"
+            out[f"tl{level - 1}"] = (f"SELECT {above} AS folder, 'folder '||"
+                                     f"regexp_extract(folder,'[^/]*$')||' '||digest AS line FROM {last}")
+    return out
+
+
+@query("src9_tree_hash_of_list", """
+SELECT digest AS tree, (SELECT count(*) FROM documents) AS files FROM tr1_5""", _tree_sql())
+def _(spark, sf):
+    return R.tree_hash(file_list(spark, sf), _PER_DIGEST)
+
+
 @query("src9_tree_hash")
 def _(spark, sf):
     return R.tree_hash(R.file_hashes(spark, sf, "*.parquet"))
 
 
 # -- scan geometry -----------------------------------------------------------------------------------------
-CIRC = {"gm": """SELECT scan_id, mx, mz, count(*) AS n, avg(u*u) AS uu, avg(v*v) AS vv, avg(u*v) AS uv,
- avg(u*w) AS uw, avg(v*w) AS vw, avg(w*w) AS ww FROM (SELECT *, u*u+v*v AS w FROM (
- SELECT scan_id, mx, mz, x_um-mx AS u, outer_um-mz AS v FROM (SELECT *,
-  avg(x_um) OVER (PARTITION BY scan_id) AS mx, avg(outer_um) OVER (PARTITION BY scan_id) AS mz
+# the root of the fit's one equation by bisection of [0, smaller eigenvalue]
+CIRC = {"gmom": """SELECT scan_id, px, pz, count(*) AS n, avg(p*p) AS spp, avg(r*r) AS srr,
+ avg(p*r) AS spr, avg(q*p) AS gp, avg(q*r) AS gr, avg(q*q) AS qq FROM (SELECT *, p*p+r*r AS q FROM (
+ SELECT scan_id, px, pz, x_um-px AS p, outer_um-pz AS r FROM (SELECT *,
+  avg(x_um) OVER (PARTITION BY scan_id) AS px, avg(outer_um) OVER (PARTITION BY scan_id) AS pz
   FROM asc2 WHERE valid))) GROUP BY 1,2,3""",
-        "gp": """SELECT *, 4e0*mw AS c3, -3e0*mw*mw-ww AS c2,
- ww*mw+4e0*cov*mw-uw*uw-vw*vw-mw*mw*mw AS c1,
- uw*uw*vv+vw*vw*uu-2e0*uw*vw*uv-ww*cov+mw*mw*cov AS c0 FROM (SELECT *, uu+vv AS mw,
- uu*vv-uv*uv AS cov FROM gm)""",
-        "gn": """SELECT scan_id, 0 AS i, 0e0 AS e, c0, c1, c2, c3 FROM gp UNION ALL
- SELECT scan_id, i+1, e-coalesce((c0+e*(c1+e*(c2+e*(c3+4e0*e))))
- /nullif(c1+e*(2e0*c2+e*(3e0*c3+16e0*e)),0e0),0e0), c0, c1, c2, c3 FROM gn WHERE i<50""",
-        "gc": """SELECT scan_id, n, cu+mx AS xc, cv+mz AS zc, sqrt(cu*cu+cv*cv+mw+2e0*e) AS radius
- FROM (SELECT *, (uw*(vv-e)-vw*uv)/det/2e0 AS cu, (vw*(uu-e)-uw*uv)/det/2e0 AS cv FROM (
- SELECT gp.*, e, nullif(e*e-e*mw+cov,0e0) AS det FROM gp JOIN gn USING (scan_id) WHERE i=50))
- WHERE cu IS NOT NULL""",
+        "gax": """SELECT *, (spp*srr-spr*spr)/big AS small FROM (SELECT *, spp+srr AS tr,
+ (spp+srr)/2e0+sqrt(power((spp-srr)/2e0,2)+spr*spr) AS big FROM gmom)""",
+        "gbis": """SELECT scan_id, 0 AS i, 0e0 AS lo, small AS hi FROM gax WHERE small>1e-12*big
+ UNION ALL SELECT scan_id, i+1, CASE WHEN up THEN (lo+hi)/2e0 ELSE lo END,
+ CASE WHEN up THEN hi ELSE (lo+hi)/2e0 END FROM (SELECT b.*,
+  qq-power(tr+lo+hi,2)-(gp*gp*(srr-(lo+hi)/2e0)-2e0*gp*gr*spr+gr*gr*(spp-(lo+hi)/2e0))
+   /((big-(lo+hi)/2e0)*(small-(lo+hi)/2e0))>0e0 AS up
+  FROM gbis b JOIN gax USING (scan_id) WHERE i<70)""",
+        "gc": """SELECT scan_id, n, px+ax AS xc, pz+az AS zc, sqrt(ax*ax+az*az+tr+2e0*e) AS radius
+ FROM (SELECT a.*, lo AS e, (gp*(srr-lo)-gr*spr)/((big-lo)*(small-lo))/2e0 AS ax,
+  (gr*(spp-lo)-gp*spr)/((big-lo)*(small-lo))/2e0 AS az
+  FROM gax a JOIN gbis USING (scan_id) WHERE i=70)""",
         "gt": """SELECT *, radius-sqrt(power(radius*cos_r-opt/1.48e0,2)+power(radius*sin_r,2))
  AS thickness_um FROM (SELECT *, sqrt(1e0-sin_r*sin_r) AS cos_r FROM (
  SELECT *, sin(theta)/1.48e0 AS sin_r, count(*) OVER (PARTITION BY scan_id) AS nc FROM (
@@ -503,9 +703,9 @@ def _(spark, sf):
 
 
 # -- streams: the events table replayed as time-ordered files ------------------------------------------------
-def _stream(spark, sf, parts=3):
+def _stream(spark, sf, parts=3, closing=None):
     ev = X.ev(spark, sf).select("event_id", "instrument", "us", "gate_class", "accepted", "value")
-    return T.replay(ev, "us", parts).withColumn("ts", F.timestamp_micros("us"))
+    return T.replay(ev, "us", parts, closing).withColumn("ts", F.timestamp_micros("us"))
 
 
 @query("str1_tumbling_counts", """
@@ -547,11 +747,12 @@ SELECT instrument, start_us, round(m+1e-9,6) AS mean, round((min(cell) FILTER (
   CASE class WHEN 0 THEN 0.5e0 WHEN 1 THEN 0.3e0 ELSE 0.2e0 END AS f FROM sld)
   WINDOW g AS (PARTITION BY instrument, start_us))) GROUP BY 1,2,m""", _SLIDE)
 def _(spark, sf):
-    moments = T.latest(T.run_available(_moments(spark, sf), "update"),
-                       ["instrument", "start_us", "class", "cell"])
     ref = spark.range(3).select(F.col("id").alias("class"), F.element_at(
         F.array(*map(F.lit, (0.5, 0.3, 0.2))), (F.col("id") + 1).cast("int")).alias("f_true"))
-    out = T.corrected_windows(moments, ref, 0.5)
+    # ten days behind the last reading comes a time mark, by which all windows close
+    ev = _stream(spark, sf, closing=864_000_000_000).withColumn(
+        "class", F.floor(F.col("value") / 20.0) % 3)
+    out = T.closed_windows(ev, ref, "12 hours", "6 hours", "1 day", 0.5).drop("epoch")
     # means of two-decimal readings end on exact halves: nudge both sides off the tie
     return _rounded(out.withColumn("mean", F.col("mean") + 1e-9), "mean", "d10")
 
@@ -566,8 +767,7 @@ FROM dew JOIN (SELECT instrument, count(*) AS r FROM ev GROUP BY 1) USING (instr
  UNION ALL SELECT s.instrument, s.r, 0.02e0*s.x+0.98e0*d.u, 0.02e0*s.value+0.98e0*d.v
  FROM dew d JOIN dseq s ON s.instrument=d.instrument AND s.r=d.r+1"""}, recursive=True)
 def _(spark, sf):
-    out = T.run_available(T.drift_stream(_stream(spark, sf), S.ewma_lambda, (0.3, 0.35),
-                                         "40 days"), "update")
+    out = T.drift_stream(_stream(spark, sf), S.ewma_lambda, (0.3, 0.35))
     return _rounded(T.latest(out, ["instrument"]), "undecided_rate", "level")
 
 
@@ -579,8 +779,7 @@ def _(spark, sf):
 
     levels = win_steps(spark, sf).select(*BS, F.col("mean_um").alias("level")).filter(
         "level is not null")
-    out = T.run_available(T.latched_stops(T.replay(levels, "step", 4), 12.0), "append")
-    return out.select("batch_id", "stop")
+    return T.latched_stops(T.replay(levels, "step", 4), 12.0).select("batch_id", "stop")
 
 
 @query("str6_cumulative_counts", """
@@ -595,5 +794,25 @@ def _(spark, sf):
        recursive=True)
 def _(spark, sf):
     entries = X.log(spark, sf).select("log_id", "seq", L.row_digest(_BODY).alias("body"))
-    out = T.run_available(T.chain_stream(T.replay(entries, "seq", 3), "body"), "append")
+    out = T.chain_stream(T.replay(entries, "seq", 3), "body")
     return out.select("log_id", "seq", "prev_hash", "hash")
+
+
+# a seventh of the readings arrives behind all others; what lies in a closed window is dropped
+_LATE = {"lparts": """SELECT instrument, us, (us-lo)*3//(hi-lo+1) AS third, event_id%7=0 AS held
+ FROM ev, (SELECT min(us) AS lo, max(us) AS hi FROM ev)""",
+         "lmark": """SELECT max(us)//1000*1000-86400000000 AS mark FROM lparts
+ WHERE third<=1 AND NOT held"""}
+
+
+@query("str8_late_rows", """
+SELECT instrument, count(*) FILTER (NOT lost) AS kept, count(*) FILTER (lost) AS dropped FROM (
+ SELECT instrument, held AND (us//21600000000+1)*21600000000<=mark AS lost FROM lparts, lmark)
+GROUP BY 1""", _LATE)
+def _(spark, sf):
+    ev = X.ev(spark, sf).select("event_id", "instrument", "us", "gate_class", "accepted")
+    ends = ev.agg(F.min("us").alias("lo"), F.max("us").alias("hi")).first()
+    third = F.expr(f"cast((us - {ends.lo}) * 3 div {ends.hi - ends.lo + 1} as int)")
+    parts = ev.withColumn("_part", F.when(F.col("event_id") % 7 == 0, 3).otherwise(third))
+    stream = T.replay_parts(parts, "_part", 4).withColumn("ts", F.timestamp_micros("us"))
+    return T.late_rows(stream, "6 hours", "1 day")

@@ -178,8 +178,11 @@ LEFT JOIN grid c USING (m, k, gamma) GROUP BY 1,2,3""")
 def _(spark, sf):
     cases = J.case_grid(spark, {"m": (0.0, 1.0, 2.0, 3.0, 4.0), "k": (0.0, 0.5, 1.0, 1.5, 2.0),
                                 "gamma": (0.0, 0.5)})
-    return F.broadcast(cases).join(X.grid(spark, sf), ["m", "k", "gamma"], "left").groupBy(
-        "m", "k", "gamma").agg(F.count("seed").alias("n"), r6(F.avg("bias")).alias("bias"))
+    # the table becomes one row per cell before it meets the cases
+    cells = X.grid(spark, sf).groupBy("m", "k", "gamma").agg(
+        F.count("seed").alias("n"), r6(F.avg("bias")).alias("bias"))
+    return cases.join(N.small_side(cells), ["m", "k", "gamma"], "left").select(
+        "m", "k", "gamma", F.coalesce("n", F.lit(0)).alias("n"), "bias")
 
 
 _RUNS = {"runa": """SELECT batch_id, step, avg(thickness_um) AS v FROM win WHERE accepted
@@ -399,6 +402,34 @@ def _(spark, sf):
         r6(F.min("level")).alias("lo"), r6(F.max("level")).alias("hi"))
 
 
+# time between readings decides how much of the level is kept; the first reading starts it
+_TAU = 6 * 3600e6
+IRREGULAR = {**EWMA_SQL,
+             "evgap": f"""SELECT *, coalesce(exp(-(us-lag(us) OVER (PARTITION BY instrument
+  ORDER BY r))/{_TAU!r}),0e0) AS keep FROM evseq""",
+             "evdec": """SELECT instrument, r, value AS level FROM evgap WHERE r=1
+  UNION ALL SELECT e.instrument, e.r, e.keep*w.level+(1e0-e.keep)*e.value FROM evdec w
+  JOIN evgap e ON e.instrument=w.instrument AND e.r=w.r+1"""}
+
+
+@query("p4_affine_scan", """
+SELECT instrument, count(*) AS n, round(sum(level),4) AS total, round(min(level),6) AS lo,
+ round(max(level),6) AS hi, round(arg_max(level,r),6) AS latest FROM evdec GROUP BY 1""",
+       IRREGULAR, recursive=True)
+def _(spark, sf):
+    rows = N.settle(N.row_positions(X.ev(spark, sf).select("instrument", "us", "event_id", "value"),
+                                    _I, "us", ["event_id"], "pos"))
+    rows = N.with_previous(rows, _I, "pos", "us", "before_us")
+    keep = F.coalesce(F.exp(-(F.col("us") - F.col("before_us")) / F.lit(_TAU)), F.lit(0.0))
+    rows = rows.withColumn("keep", keep)
+    out = N.affine_scan(rows, _I, None, (), {"level": (
+        F.col("keep"), (1 - F.col("keep")) * F.col("value"), 0.0)}, pos="pos")
+    return out.groupBy("instrument").agg(
+        F.count("*").alias("n"), r6(F.sum("level"), 4).alias("total"),
+        r6(F.min("level")).alias("lo"), r6(F.max("level")).alias("hi"),
+        r6(F.max_by("level", "pos")).alias("latest"))
+
+
 @query("w9_first_crossing", """
 SELECT batch_id, min(step) FILTER (mean_um>=12e0) AS first_12,
  min(step) FILTER (mean_um>=99e0) AS first_99 FROM wstep GROUP BY 1""")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnow.functions.exprs import canonical, no_nan
-from winnow.operators.primitives import shared_folder
+from winnow.operators.primitives import settle, shared_folder
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -18,32 +20,85 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType | str, time: str,
+def read_records(spark: SparkSession, path: str, schema: T.StructType | str, time_col: str,
                  step_s: float) -> DataFrame:
     """Parquet records under an explicit schema: NaN becomes NULL, step = ceil(t / dt)."""
     df = spark.read.schema(schema).parquet(path)
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType,
                                                                           T.FloatType))}
     df = df.select(*[no_nan(c).alias(c) if c in floats else F.col(c) for c in df.columns])
-    return df.withColumn("step", F.ceil(F.col(time) / F.lit(float(step_s))))
+    return df.withColumn("step", F.ceil(F.col(time_col) / F.lit(float(step_s))))
 
 
-def save_result_set(tables: Mapping[str, DataFrame], folder: str, key: str,
-                    version: int) -> None:
-    """Store the tables of one run under its content key."""
+COMMITS = "commits"
+_COMMIT = "config_hash string, version int, attempt string, tables array<string>, at_ns bigint"
+
+
+def write_attempt(tables: Mapping[str, DataFrame], folder: str, key: str, version: int,
+                  attempt: str) -> None:
+    """The tables of one attempt; nothing reads them before their commit record is there."""
     for name, df in tables.items():
-        (df.withColumn("config_hash", F.lit(key)).withColumn("version", F.lit(version))
-         .write.mode("append").partitionBy("config_hash", "version").parquet(f"{folder}/{name}"))
+        if name == COMMITS:
+            raise ValueError(f"{COMMITS} is the name of the commit records")
+        (df.withColumns({"config_hash": F.lit(key), "version": F.lit(version),
+                         "attempt": F.lit(attempt)})
+         .write.mode("append").partitionBy("config_hash", "version", "attempt")
+         .parquet(f"{folder}/{name}"))
 
 
-def load_result_set(spark: SparkSession, folder: str, schema: T.StructType, name: str, key: str,
-                    version: int) -> DataFrame:
+def save_result_set(tables: Mapping[str, DataFrame], folder: str, key: str,
+                    version: int) -> str:
+    """Store the tables of one run under its content key, all or none.
+
+    The commit record over all tables is written last and names the attempt, so a run that died
+    half-way leaves files that no reader sees, and a repeated run is a new attempt.
+    """
+    attempt = uuid.uuid4().hex
+    write_attempt(tables, folder, key, version, attempt)
+    spark = next(iter(tables.values())).sparkSession
+    (spark.createDataFrame([(key, version, attempt, sorted(tables), time.time_ns())], _COMMIT)
+     .coalesce(1).write.mode("append").parquet(f"{folder}/{COMMITS}"))
+    return attempt
+
+
+def committed(spark: SparkSession, folder: str, key: str, version: int):
+    """The newest commit record (attempt, tables) of a key in this version, or None."""
+    try:
+        records = spark.read.schema(_COMMIT).parquet(f"{folder}/{COMMITS}")
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # nothing was ever stored here
+    return (records.filter((F.col("config_hash") == key) & (F.col("version") == version))
+            .orderBy(F.desc("at_ns"), "attempt").select("attempt", "tables").first())
+
+
+def load_result_set(spark: SparkSession, folder: str, schema: T.StructType | str, name: str,
+                    key: str, version: int) -> DataFrame:
     """One stored table; empty when the key is missing or was stored by another version."""
-    full = T.StructType([*schema.fields, T.StructField("config_hash", T.StringType()),
-                         T.StructField("version", T.IntegerType())])
-    df = spark.read.schema(full).parquet(f"{folder}/{name}")
-    return df.filter((F.col("config_hash") == key) & (F.col("version") == version)).drop(
-        "config_hash", "version")
+    return load_result_tables(spark, folder, {name: schema}, key, version)[name]
+
+
+def load_result_tables(spark: SparkSession, folder: str,
+                       schemas: Mapping[str, T.StructType | str], key: str, version: int
+                       ) -> dict[str, DataFrame]:
+    """Tables of one committed attempt; all are empty without a commit of key and version."""
+    found = committed(spark, folder, key, version)
+    out = {}
+    for name, schema in schemas.items():
+        if isinstance(schema, str):
+            schema = T.StructType.fromDDL(schema)
+        if found is None or name not in found.tables:
+            out[name] = spark.createDataFrame([], schema)
+            continue
+        full = T.StructType([*schema.fields, T.StructField("config_hash", T.StringType()),
+                             T.StructField("version", T.IntegerType()),
+                             T.StructField("attempt", T.StringType())])
+        out[name] = (spark.read.schema(full).parquet(f"{folder}/{name}")
+                     .filter((F.col("config_hash") == key) & (F.col("version") == version)
+                             & (F.col("attempt") == found.attempt))
+                     .drop("config_hash", "version", "attempt"))
+    return out
 
 
 def missing_keys(cases: DataFrame, stored: DataFrame, key: str) -> DataFrame:
@@ -122,14 +177,57 @@ def integrity(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return f.join(m, "path", "full").select("path", status.alias("status"))
 
 
-def tree_hash(hashes: DataFrame) -> DataFrame:
-    """One digest over many files in path order: per folder first, then over the folders."""
-    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-
-    def joined(name):
-        line = F.concat_ws(" ", name, "sha256")
-        return F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256)
-
-    per = hashes.groupBy(folder.alias("folder")).agg(
-        joined("path").alias("sha256"), F.count("*").alias("n"))
-    return per.agg(joined("folder").alias("tree"), F.sum("n").alias("files"))
+#: Lines one digest is made of, about.
+LINES_PER_DIGEST = 1000
+
+
+def tree_hash(files: DataFrame, lines_per_digest: int = LINES_PER_DIGEST) -> DataFrame:
+    """(tree, files): one digest over many files (path, sha256), folder by folder from below.
+
+    A folder's digest is over the lines of its files and folders.  They are dealt into buckets by a
+    hash of the name, so that a bucket has about ``lines_per_digest`` lines; a bucket's sorted lines
+    give a digest, and digests of neighbouring buckets are folded again until one is left.  How
+    often depends on the number of lines of that folder alone.  No row holds more than a bucket.
+    """
+    depth = F.size(F.split("path", "/"))
+    nodes = settle(files.select("path", depth.alias("depth"), F.concat_ws(
+        " ", F.lit("file"), F.substring_index("path", "/", -1), "sha256").alias("line")))
+    first = nodes.agg(F.max("depth").alias("most"), F.count("*").alias("n")).first()
+    below = None
+    for level in range(first.most or 0, 0, -1):
+        here = nodes.filter(F.col("depth") == level).select("path", "line")
+        if below is not None:
+            here = here.unionByName(below)
+        lines = here.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "line")
+        below = _folded(lines, lines_per_digest).select(
+            F.col("folder").alias("path"), F.concat_ws(
+                " ", F.lit("folder"), F.substring_index("folder", "/", -1), "digest").alias("line"))
+    spark = files.sparkSession
+    if below is None:
+        return spark.createDataFrame([], "tree string, files bigint")
+    return below.select(F.substring_index("line", " ", -1).alias("tree"),
+                        F.lit(first.n).cast("bigint").alias("files"))
+
+
+def _folded(lines: DataFrame, per_digest: int) -> DataFrame:
+    """(folder, digest) of lines (folder, line)."""
+    key = F.conv(F.substring(F.md5("line"), 1, 12), 16, 10).cast("bigint")
+    counts = lines.groupBy("folder").agg(F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / per_digest).cast("bigint")
+    # the number of a bucket follows the order of the hash
+    rows = lines.withColumn("_key", key).join(counts, "folder").select(
+        "folder", "line", F.floor(F.col("_key") * parts / F.lit(float(1 << 48))).alias("bucket"),
+        parts.alias("left"))
+    done = None
+    while True:
+        text = F.concat_ws("\n", F.array_sort(F.collect_list("line")))
+        digests = settle(rows.groupBy("folder", "left", "bucket").agg(
+            F.sha2(text, 256).alias("digest")))
+        single = digests.filter("left = 1").select("folder", "digest")
+        done = single if done is None else done.unionByName(single)
+        rows = digests.filter("left > 1").select(
+            "folder", F.concat_ws(" ", F.lpad(F.col("bucket").cast("string"), 12, "0"), "digest")
+            .alias("line"), F.floor(F.col("bucket") / per_digest).alias("bucket"),
+            F.ceil(F.col("left") / per_digest).cast("bigint").alias("left"))
+        if rows.isEmpty():
+            return done

@@ -1,20 +1,22 @@
 """Streaming operators over an event stream (ts, instrument, gate_class, accepted, value).
 
 Late rows: behind the watermark they are dropped, and Spark counts them in the query progress
-(numRowsDroppedByWatermark).
+(`Progress.dropped`).  Stateful steps that Spark has no aggregate for run as a fold over
+micro-batches (`fold_batches`): a batch is first reduced by distributed operators, and only what is
+left of a key meets its state, so a key may hold any share of a batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from winnow.functions.exprs import level, state_name
-from winnow.operators.logs import link_text
-from winnow.operators.primitives import running_sums
+from winnow.operators.logs import append_chain
+from winnow.operators.primitives import affine_totals, running_sums, settle, small_side
 from winnow.sources.files import scratch
 
 
@@ -29,8 +31,13 @@ def tumbling_counts(events: DataFrame, step: str, late: str) -> DataFrame:
 
 def sliding_moments(events: DataFrame, width: str, slide: str, late: str, cell: float,
                     ) -> DataFrame:
-    """Additive moments per sliding window, size class and reading cell: sums, not rows."""
-    return (events.filter("accepted").withWatermark("ts", late)
+    """Additive moments per sliding window, size class and reading cell: sums, not rows.
+
+    The time of every row moves the watermark, that of a refused or closing row too; the condition
+    names ``ts`` because Spark would move a plain filter in front of the watermark.
+    """
+    counted = F.when(F.col("ts").isNotNull(), F.col("accepted"))
+    return (events.withWatermark("ts", late).filter(counted)
             .groupBy("instrument", F.window("ts", width, slide).alias("w"), "class",
                      F.floor(F.col("value") / cell).alias("cell"))
             .agg(F.count("*").alias("n"), F.sum("value").alias("s1"),
@@ -49,7 +56,7 @@ def corrected_windows(moments: DataFrame, reference: DataFrame, cell: float,
     by = ["instrument", "start_us"]
     per = moments.groupBy(*by, "class").agg(F.sum("n").alias("nc"))
     total = per.groupBy(*by).agg(F.sum("nc").alias("nw"))
-    weight = (per.join(total, by).join(F.broadcast(reference), "class")
+    weight = (per.join(total, by).join(small_side(reference), "class")
               .withColumn("w", F.col("f_true") / (F.col("nc") / F.col("nw"))))
     rows = moments.join(weight.select(*by, "class", "w"), [*by, "class"])
     mean = rows.groupBy(*by).agg(
@@ -68,96 +75,145 @@ def cumulative_counts(events: DataFrame) -> DataFrame:
         F.count_if(F.col("gate_class") == 2).alias("n_fines"))
 
 
-def drift_stream(events: DataFrame, lam: float, limits: tuple[float, float], late: str
-                 ) -> DataFrame:
-    """Running average of the undecided flag and of the reading per instrument.
+def closed_windows(events: DataFrame, reference: DataFrame, width: str, slide: str, late: str,
+                   cell: float, p: float = 0.1) -> DataFrame:
+    """Corrected mean and lower quantile of every window, as the watermark closes it.
+
+    The state is the histogram of cells per window and class, which Spark merges and drops; a
+    closed window leaves in one micro-batch with all its cells, meets the static reference there,
+    and never comes again.
+    """
+    return run_available(sliding_moments(events, width, slide, late, cell), "append",
+                         lambda closed: corrected_windows(closed, reference, cell, p))
+
+
+def fold_batches(rows: DataFrame, state_schema: str,
+                 fold: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Runs a stream whose state is a table: fold(state, batch) -> (state after, output).
 
-    The state is three numbers.  Rows of a micro-batch are ordered by time and id inside it;
-    across micro-batches the source order decides.
+    Epoch n reads what epoch n - 1 left and writes its own state and output, each in a folder of
+    its number, so a repeated epoch gives the same again.  Returns the outputs with ``epoch``.
     """
-    def step(key, batches, state):
-        import pandas as pd
-
-        und, val, n = state.get if state.exists else (0.0, 0.0, 0)
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        for u, v in zip(rows["undecided"].to_numpy(), rows["value"].to_numpy()):
-            und, val, n = lam * float(u) + (1 - lam) * und, lam * v + (1 - lam) * val, n + 1
-        state.update((float(und), float(val), int(n)))
-        yield pd.DataFrame({"instrument": [key[0]], "undecided_rate": [und], "level": [val],
-                            "n": [n]})
-
-    rows = events.withWatermark("ts", late).select(
+    spark = rows.sparkSession
+    folder = scratch(spark, "stream-fold")
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        before = (spark.read.schema(state_schema).parquet(f"{folder}/state/epoch={epoch - 1:06d}")
+                  if epoch else spark.createDataFrame([], state_schema))
+        after, out = fold(before, settle(batch))
+        after.write.mode("overwrite").parquet(f"{folder}/state/epoch={epoch:06d}")
+        out.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch:06d}")
+
+    query = (rows.writeStream.foreachBatch(sink)
+             .option("checkpointLocation", scratch(spark, "stream-state"))
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/epoch=*")
+
+
+def drift_stream(events: DataFrame, lam: float, limits: tuple[float, float]) -> DataFrame:
+    """Running average of the undecided flag and of the reading per instrument and micro-batch.
+
+    The rows of a micro-batch are ordered by time and id and composed to one affine map per
+    instrument, in chunks; the state is three numbers.  Across micro-batches the source order
+    decides.
+    """
+    rows = events.select(
         "instrument", "event_id", F.unix_micros("ts").alias("us"), "value",
-        ((F.col("gate_class") == 0) & ~F.col("accepted")).alias("undecided"))
-    out = rows.groupBy("instrument").applyInPandasWithState(
-        step, "instrument bigint, undecided_rate double, level double, n bigint",
-        "u double, v double, n bigint", "update", GroupStateTimeout.NoTimeout)
+        ((F.col("gate_class") == 0) & ~F.col("accepted")).cast("double").alias("undecided"))
+
+    def moved(c: str) -> tuple[Column, Column]:
+        return F.lit(1.0 - lam), F.lit(lam) * F.coalesce(c, F.lit(0.0))
+
+    def fold(before: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        maps = settle(affine_totals(batch, ["instrument"], "us", ["event_id"], {
+            "u": moved("undecided"), "v": moved("value")}))
+        after = settle(before.join(maps, "instrument", "full").select(
+            "instrument", *[
+                (F.coalesce(f"{n}_a", F.lit(1.0)) * F.coalesce(old, F.lit(0.0))
+                 + F.coalesce(f"{n}_b", F.lit(0.0))).alias(old)
+                for n, old in (("u", "undecided_rate"), ("v", "level"))],
+            (F.coalesce("n", F.lit(0)) + F.coalesce("rows", F.lit(0))).alias("n")))
+        return after, after.join(maps.select("instrument"), "instrument", "left_semi")
+
+    out = fold_batches(rows, "instrument bigint, undecided_rate double, level double, n bigint", fold)
     return out.withColumn("state", state_name(level(F.col("undecided_rate"), *limits)))
 
 
 def latched_stops(levels: DataFrame, limit: float) -> DataFrame:
     """First step whose level reaches the limit, emitted once per batch and never again."""
-    def step(key, batches, state):
-        import pandas as pd
-
-        if state.exists:
-            for _ in batches:
-                pass
-            return
-        rows = pd.concat(list(batches))
-        hit = rows.loc[rows["level"] >= limit, "step"]
-        if len(hit):
-            state.update((int(hit.min()),))
-            yield pd.DataFrame({"batch_id": [key[0]], "stop": [int(hit.min())]})
+    def fold(before: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        new = settle(batch.filter(F.col("level") >= limit).groupBy("batch_id").agg(
+            F.min("step").alias("stop")).join(before, "batch_id", "left_anti"))
+        return before.unionByName(new), new
 
-    return levels.groupBy("batch_id").applyInPandasWithState(
-        step, "batch_id bigint, stop bigint", "stop bigint", "append",
-        GroupStateTimeout.NoTimeout)
+    return fold_batches(levels, "batch_id bigint, stop bigint", fold)
 
 
 def chain_stream(entries: DataFrame, body: str) -> DataFrame:
     """Links appended entries of each log; the state is the last sequence number and hash."""
-    from winnow.operators.logs import GENESIS
-
-    genesis = GENESIS
-
-    def step(key, batches, state):
-        import hashlib
+    def fold(before: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        linked = settle(append_chain(batch, "log_id", "seq", F.col(body), before).select(
+            "log_id", "seq", "prev_hash", "hash"))
+        heads = before.unionByName(linked.select("log_id", "seq", "hash")).groupBy("log_id").agg(
+            F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash"))
+        return heads, linked
 
-        import pandas as pd
+    return fold_batches(entries, "log_id bigint, seq bigint, hash string", fold)
 
-        seq, prev = state.get if state.exists else (0, genesis)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for b in rows[body]:
-            seq += 1
-            digest = hashlib.sha256(link_text(key[0], seq, prev, b)).hexdigest()
-            out.append((key[0], seq, prev, digest))
-            prev = digest
-        state.update((int(seq), prev))
-        yield pd.DataFrame(out, columns=["log_id", "seq", "prev_hash", "hash"])
 
-    return entries.groupBy("log_id").applyInPandasWithState(
-        step, "log_id bigint, seq bigint, prev_hash string, hash string",
-        "seq bigint, prev string", "append", GroupStateTimeout.NoTimeout)
+#: Rows of one file of a replayed table.
+ROWS_PER_FILE = 200_000
 
 
-def replay(df: DataFrame, order: str, parts: int) -> DataFrame:
-    """Stores a table as time-ordered files and reads them back as a stream, one per batch."""
+def replay_parts(df: DataFrame, part: str, parts: int) -> DataFrame:
+    """Stores a table as ``parts`` groups of files, by the number in ``part``, and reads them back as
+    a stream with one group per micro-batch.  Every group has the same number of files, as many as
+    the largest asks for, so no task writes a whole group.
+    """
     spark = df.sparkSession
     folder = scratch(spark, "replay")
-    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001)
+    df = settle(df)
+    most = df.groupBy(part).count().agg(F.max("count")).first()[0] or 0
+    files = max(1, -(-most // ROWS_PER_FILE))
     for i in range(parts):
-        lo, hi = (cuts[i - 1] if i else None), (cuts[i] if i < parts - 1 else None)
-        part = df if lo is None else df.filter(F.col(order) > lo)
-        part = part if hi is None else part.filter(F.col(order) <= hi)
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/part={i:03d}")
-    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+        rows = df.filter(F.col(part) == i).drop(part)
+        rows.repartition(files).write.mode("append").parquet(f"{folder}/part={i:03d}")
+    return (spark.readStream.schema(df.drop(part).schema).option("maxFilesPerTrigger", files)
             .parquet(f"{folder}/part=*"))
 
 
-def run_available(out: DataFrame, mode: str, transform: Callable[[DataFrame], DataFrame]
-                  | None = None) -> DataFrame:
+def replay(df: DataFrame, order: str, parts: int, closing: int | None = None) -> DataFrame:
+    """A table as a stream in the order of a column.
+
+    With ``closing`` a last row follows that lies so far behind the others and is null elsewhere:
+    the time mark by which a source says that nothing earlier will come.
+    """
+    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001)
+    place = sum(((F.col(order) > c).cast("int") for c in cuts), F.lit(0))
+    placed = df.withColumn("_part", place)
+    if closing is not None:
+        last = df.agg((F.max(order) + closing).alias(order))
+        placed = placed.unionByName(last.withColumn("_part", F.lit(parts)),
+                                    allowMissingColumns=True)
+        parts += 1
+    return replay_parts(placed, "_part", parts)
+
+
+@dataclass(frozen=True)
+class Progress:
+    """What Spark reports of a finished run: rows read, and rows behind the watermark.
+
+    Spark counts dropped rows where they meet the state, so rows of one micro-batch that share a
+    key are one row there.
+    """
+
+    read: int
+    dropped: int
+
+
+def run_counted(out: DataFrame, mode: str, transform: Callable[[DataFrame], DataFrame]
+                | None = None) -> tuple[DataFrame, Progress]:
     """Runs a stream over all that is available; every micro-batch lands under its own epoch.
 
     Rewriting an epoch replaces it, so a retried batch is not counted twice.
@@ -166,14 +222,38 @@ def run_available(out: DataFrame, mode: str, transform: Callable[[DataFrame], Da
     folder = scratch(spark, "stream")
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        rows = transform(batch) if transform else batch
+        rows = transform(settle(batch)) if transform else batch
         rows.write.mode("overwrite").parquet(f"{folder}/epoch={epoch:06d}")
 
     query = (out.writeStream.outputMode(mode).foreachBatch(sink)
              .option("checkpointLocation", scratch(spark, "stream-state"))
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.option("basePath", folder).parquet(f"{folder}/epoch=*")
+    reports = query.recentProgress
+    progress = Progress(sum(p.numInputRows for p in reports),
+                        sum(o.numRowsDroppedByWatermark for p in reports for o in p.stateOperators))
+    return spark.read.option("basePath", folder).parquet(f"{folder}/epoch=*"), progress
+
+
+def run_available(out: DataFrame, mode: str, transform: Callable[[DataFrame], DataFrame]
+                  | None = None) -> DataFrame:
+    return run_counted(out, mode, transform)[0]
+
+
+def late_rows(events: DataFrame, step: str, late: str) -> DataFrame:
+    """(instrument, kept, dropped): readings that tumbling windows counted, and readings that came
+    behind the watermark.
+
+    What is kept is what Spark's own windows hold; all that arrived is counted in a second pass
+    without a watermark, as the progress counts dropped rows of all keys together.
+    """
+    kept = latest(run_available(tumbling_counts(events, step, late), "update"),
+                  ["instrument", "start_us"]).groupBy("instrument").agg(F.sum("n").alias("kept"))
+    came = latest(run_available(events.groupBy("instrument").agg(F.count("*").alias("came")),
+                                "update"), ["instrument"])
+    return came.join(kept, "instrument", "left").select(
+        "instrument", F.coalesce("kept", F.lit(0)).alias("kept"),
+        (F.col("came") - F.coalesce("kept", F.lit(0))).alias("dropped"))
 
 
 def latest(df: DataFrame, keys: list[str]) -> DataFrame:
