@@ -32,7 +32,7 @@ def test_base_spans_against_brute_force():
 def test_a_long_run_is_read_once():
     run = "token " + "ab" * 100_000
     assert X.candidate_tokens(run) == [(0, 5), (6, len(run))]
-    assert X.candidate_tokens("xtoken_apikey-y z") == [(0, 15)]
+    assert X.candidate_tokens("xtoken_apikey-y z") == [(0, 15), (16, 17)]
 
 
 def field_of(texts):
@@ -91,6 +91,59 @@ def test_without_positive_marks_nothing_is_added():
     assert X.fit_field(Counter()).viterbi((("a",),)) == (0,)
 
 
+def prose(n, seed):
+    r = random.Random(seed)
+    words = "the a of in and river table light people house green walk year 2019 12 small".split()
+    return [" ".join(r.choice(words) for _ in range(r.randint(20, 60))) + "." for _ in range(n)]
+
+
+def trained(kinds, patterns=True):
+    return X.fit_field(Counter(p for t in prose(250, 1) for c in X.training_chains(t, kinds, patterns)
+                               for p in X.fit_pieces(*c)))
+
+
+def test_made_secrets_stand_where_they_are_said_to():
+    for i, t in enumerate(["", "one", *prose(30, 5)]):
+        made, marks = X.with_made_secrets(t, i)
+        assert len(marks) == 2 and all(re.fullmatch("[A-Za-z0-9]+", made[a:b]) for a, b in marks)
+        left = [w for w in made.split() if w in t.split()]
+        assert len(left) >= len(t.split())
+
+
+def test_values_no_pattern_knows():
+    field = trained(X.VALUE_KINDS)
+    for text, value in (('client_key = "Zx9Qw8Er7Ty6Ui5Op4As3Df2"', "Zx9Qw8Er7Ty6Ui5Op4As3Df2"),
+                        ("passphrase: correcthorse", "correcthorse"),
+                        ("authorization: bearer abcdefghijklmnop", "abcdefghijklmnop")):
+        assert [text[a:b] for a, k, b in X.spans_of(text, field) if k == 3] == [value]
+    for text in ("the password is required", "bearer of good news", "in 2019 there were 250 people"):
+        assert X.spans_of(text, field) == []
+
+
+def test_a_kind_kept_from_training_is_found():
+    for kind in X.VALUE_KINDS:
+        field = trained(tuple(k for k in X.VALUE_KINDS if k != kind), patterns=False)
+        hit = total = wrong = 0
+        for i, t in enumerate(prose(80, 9)):
+            made, marks = X.with_made_secrets(t, 500 + i, (kind,))
+            found = [span for tokens, feats in X.chains(made, X.candidate_tokens(made))
+                     for span, state in zip(tokens, field.viterbi(feats)) if state]
+            hit += sum(any(a < y and x < b for x, y in found) for a, b in marks)
+            wrong += sum(not any(a < y and x < b for a, b in marks) for x, y in found)
+            total += len(marks)
+        assert hit >= 0.7 * total and wrong <= 0.1 * total, (kind, hit, wrong, total)
+
+
+def test_fit_is_the_same_in_any_partitioning(spark):
+    rows = [(None if i % 3 else i, t) for i, t in enumerate(prose(60, 3))]
+    fields = []
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+        fields.append(X.fit_on(docs, rows=50, pieces=60))
+    assert fields[0].index == fields[1].index
+    assert np.allclose(fields[0].weights, fields[1].weights)
+
+
 def test_messy_rows(messy, empty):
     rows = messy.drop("spans")
     field = X.fit_on(rows)

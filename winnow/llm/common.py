@@ -47,12 +47,15 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
 def bounded_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:
     """About ``bound`` rows picked by a hash of their key, never more than ``bound``.
 
-    Only for fitting a model: the bound is a parameter of the caller.
+    Only for fitting a model: the bound is a parameter of the caller.  Where the hash lets in more,
+    the rows of the smallest hashes stay, so the sample is the same in any partitioning.
     """
     n = df.count()
     share = min(1.0, bound / max(1, n))
     u = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return df.filter(u < F.lit(share)).limit(bound)
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    return (df.withColumn("_u", u).filter(F.col("_u") < F.lit(share))
+            .orderBy("_u", tie).limit(bound).drop("_u"))
 
 
 def tagged_rows(df: DataFrame) -> DataFrame:

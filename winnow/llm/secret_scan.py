@@ -1,22 +1,29 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field over tokens.
 
-Candidate tokens are the ones with a digit, with twenty or more characters, or with a secret
-word in them; candidates close to each other form a chain.  Each token is described by its
-shape, its length, the words and signs around it, the candidate before it, and two features of
-the file.  The field has the states outside, begin and inside, is fitted by forward-backward on
-a bounded sample (``FIT_ROWS`` documents) whose begin and inside marks come from the patterns,
-and is decoded by Viterbi.  Features are categories, so equal chains are decoded once per worker.
+Candidate tokens are the ones with a digit, with twenty or more characters, with a secret word in
+them, and whatever stands behind a secret word; candidates close to each other form a chain.  Each
+token is described by its shape and length, the signs around it, the word before and the word
+after it, the candidate before it, and two features of the file.  The field has the states outside,
+begin and inside, is fitted by forward-backward and decoded by Viterbi.
+
+It is fitted on a bounded sample (``FIT_ROWS`` documents, ``FIT_PIECES`` pieces of chains with and as
+many without a secret).  Marks come from the patterns and from secrets that are made up and set
+between the words of the sampled documents: many key words, signs and value shapes, and beside them
+sentences that only speak of passwords, which stay outside.  So the field also marks values that no
+pattern knows.
 
 A pattern match is always a span; a decoded secret that overlaps none is added with kind crf.
 
 Defined results: null and empty texts have no spans; whole texts are read, positions count code
-points; repeated rows give repeated results; without a pattern match in the sample the field
-marks nothing; other columns are ignored.
+points; repeated rows give repeated results; without any mark in the sample the field marks
+nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -25,11 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winnow.llm.common import bounded_sample, map_slices, table
+from winnow.llm.common import bounded_sample, map_slices, settle, table
 from winnow.llm.registry import query
 
-#: Most documents the field is fitted on.
+#: Most documents the field is fitted on, and pieces of their chains with, and without a secret.
 FIT_ROWS = 4000
+FIT_PIECES = 6000
 #: Tokens after which a chain is cut for fitting; decoding always takes whole chains.
 FIT_TOKENS = 64
 #: Characters between two candidates of one chain at most.
@@ -44,16 +52,27 @@ _HEX = re.compile(r"[0-9a-f]+")
 
 _SIGNS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _MORE = ("bearer", "authorization", "credential", "private_key", "passphrase")
+_ENDS = ("_key", "-key", "_pwd", "_auth", "_pass")
 _WORD = "[A-Za-z0-9+/_.-]"
 _CANDIDATE = re.compile(rf"(?<!{_WORD})(?:{_WORD}*?[0-9]{_WORD}*|{_WORD}{{20,}})", re.A)
 # from the start of a run only: a long run without a sign is then read once, not once a position
-_NAMED = re.compile(rf"(?<!{_WORD}){_WORD}*?(?:{'|'.join((*_SIGNS, *_MORE))}){_WORD}*", re.A | re.I)
+_NAMED = re.compile(rf"(?<!{_WORD}){_WORD}*?(?:{'|'.join((*_SIGNS, *_MORE, *_ENDS))}){_WORD}*",
+                    re.A | re.I)
+#: What a secret word names: the next token, behind signs and quotes.
+_VALUE = re.compile(rf"""["']?\s{{0,3}}(?:[:=]|=>|:=)?\s{{0,3}}["']?({_WORD}+)""", re.A)
+_BEFORE = re.compile(r"([^\W\d_]+)[\W\d_]*\Z")
+_AFTER = re.compile(r"[\W\d_]*([^\W\d_]+)")
+#: Words are features by their hash, so the number of weights is bounded.
+WORD_HASHES = 1024
+#: Characters looked at for the words around a token.
+_REACH = 24
 _SET_BY = re.compile(r"""["']?\s*[:=]\s*["']?\s*\Z""")
 _SHAPES = (
     ("number", re.compile(r"[0-9.+/-]+\Z", re.A)), ("hex", re.compile(r"[0-9a-f]{12,}\Z", re.A)),
     ("upper", re.compile(r"[A-Z0-9]{12,}\Z", re.A)),
     ("mixed", re.compile(r"(?=.*[0-9])(?=.*[A-Za-z]).{12,}\Z", re.A | re.S)),
-    ("letters", re.compile(r"[A-Za-z]{20,}\Z", re.A)))
+    ("letters", re.compile(r"[A-Za-z]{20,}\Z", re.A)),
+    ("lower", re.compile(r"[a-z]{6,}\Z", re.A)), ("word", re.compile(r"[A-Za-z]+\Z", re.A)))
 
 
 def base_spans(text: str, candidates: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -80,15 +99,43 @@ def base_spans(text: str, candidates: list[tuple[int, int]]) -> list[tuple[int,
 def candidate_tokens(text: str) -> list[tuple[int, int]]:
     found = [m.span() for m in _CANDIDATE.finditer(text)]
     low = text.lower()
-    if any(s in low for s in (*_SIGNS, *_MORE)):
-        found = sorted({*found, *(m.span() for m in _NAMED.finditer(text))})
+    if any(s in low for s in (*_SIGNS, *_MORE, *_ENDS)):
+        spans = set(found)
+        for m in _NAMED.finditer(text):
+            spans.add(m.span())
+            value = _VALUE.match(text, m.end())
+            if value:
+                spans.add(value.span(1))
+        found = _apart(sorted(spans, key=lambda s: (s[0], -s[1])))
     return found
 
 
+def _apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of spans that overlap the one that begins first, then the longer one."""
+    out, upto = [], -1
+    for a, b in spans:
+        if a >= upto:
+            out.append((a, b))
+            upto = b
+    return out
+
+
+def _word(found: re.Match | None, side: str) -> str:
+    if found is None:
+        return f"{side}-none"
+    return f"{side}{zlib.crc32(found[1].lower().encode()) % WORD_HASHES}"
+
+
 def _shape(token: str) -> str:
     return next((name for name, p in _SHAPES if p.match(token)), "short")
 
 
+def _family(token: str) -> str:
+    """Coarser than the shape, so that a shape never seen in a secret is not taken for a word."""
+    digit, letter = any(c.isdigit() for c in token), any(c.isalpha() for c in token)
+    return "f-both" if digit and letter else "f-digits" if digit else "f-letters"
+
+
 def chains(text: str, candidates: list[tuple[int, int]]
            ) -> list[tuple[list[tuple[int, int]], tuple[tuple[str, ...], ...]]]:
     """Candidates close to each other, with the features of each."""
@@ -109,14 +156,15 @@ def chains(text: str, candidates: list[tuple[int, int]]
         quoted = before[-1:] in ('"', "'") and text[b:b + 1] == before[-1:]
         size = b - a
         feats.append((
-            "key" if key else _shape(token),
+            "key" if key else _shape(token), "f-key" if key else _family(token),
             "len" + str(0 if size < 8 else 1 if size < 16 else 2 if size < 24 else 3
                         if size < 36 else 4),
             "set" if _SET_BY.search(before) else "said",
             "after-key" if last_key else "after-none",
             "quoted" if quoted else "bare",
             "next-set" if text[b:b + 3].lstrip(" \"'")[:1] in ("=", ":") else "next-none",
-            named, dense))
+            named, dense, _word(_BEFORE.search(text, max(0, a - _REACH), a), "w"),
+            _word(_AFTER.match(text, b, b + _REACH), "v")))
         spans.append((a, b))
         last_end, last_key = b, key
     out.append((spans, tuple(feats)))
@@ -210,21 +258,95 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
 
 
-def marked_chains(text: str) -> list[tuple[tuple, tuple[int, ...]]]:
-    """Chains of a text with the states its pattern matches give."""
+def marked_chains(text: str, marks: list[tuple[int, int]] | None = None
+                  ) -> list[tuple[tuple, tuple[int, ...]]]:
+    """Chains of a text with their states; marked are (start, end) and by default what the
+    patterns match."""
     candidates = candidate_tokens(text)
-    spans = base_spans(text, candidates)
+    if marks is None:
+        marks = [(a, b) for a, _, b in base_spans(text, candidates)]
     out = []
     for tokens, feats in chains(text, candidates):
         states, last = [], None
         for (a, b), fs in zip(tokens, feats):
-            hit = next((s for s in spans if s[0] < b and a < s[2] and fs[0] != "key"), None)
+            hit = next((s for s in marks if s[0] < b and a < s[1] and fs[0] != "key"), None)
             states.append(0 if hit is None else 2 if hit is last else 1)
             last = hit
         out.append((feats, tuple(states)))
     return out
 
 
+# what made-up secrets are composed of
+_MADE_KEYS = ("password", "passwd", "secret", "token", "api_key", "client_key", "passphrase",
+              "private_key", "access_token", "db_pwd", "signing_key", "credential", "user_pass")
+_MADE_SET = (" = ", "=", ": ", ":", " := ", '": "')
+_MADE_SAID = ("authorization: bearer {}", "Authorization: Bearer {}", "bearer {}",
+              "use the passphrase {}", "the password is {}", "log in with token {}")
+_HARMLESS = ("the password is required", "a token of thanks", "secret to success", "token count: 12",
+             "forgot your password?", "an open secret among 30 people", "the api_key was removed",
+             "credential checks in 2019", "passphrase too short", "key figures: 100 and 250",
+             "password: required", "secret: none", "bearer of good news", "order 4711 of 12.05.2020")
+
+
+def made_value(r: random.Random, kinds: tuple[str, ...]) -> str:
+    kind = r.choice(kinds)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    if kind == "hex":
+        return "".join(r.choice("0123456789abcdef") for _ in range(r.choice((24, 32, 40, 64))))
+    if kind == "upper":
+        return "".join(r.choice(letters.upper() + "0123456789") for _ in range(r.randint(16, 32)))
+    if kind == "words":
+        return "".join(r.choice(("correct", "horse", "maple", "river", "stone", "falcon", "winter"))
+                       for _ in range(r.randint(2, 3)))
+    if kind == "lower":
+        return "".join(r.choice(letters) for _ in range(r.randint(8, 24)))
+    return "".join(r.choice(letters + letters.upper() + "0123456789") for _ in range(
+        r.randint(8, 40)))
+
+
+VALUE_KINDS = ("hex", "upper", "words", "lower", "mixed")
+
+
+def with_made_secrets(text: str, seed: int, kinds: tuple[str, ...] = VALUE_KINDS
+                      ) -> tuple[str, list[tuple[int, int]]]:
+    """The text with two made-up secrets and two harmless sentences between its words, and where
+    the values of the secrets stand."""
+    r = random.Random(seed)
+    gaps = [m.start() for m in re.finditer(r"\s", text)] or [len(text)]
+    put = []
+    for _ in range(2):
+        value = made_value(r, kinds)
+        if r.random() < 0.6:
+            sign, quote = r.choice(_MADE_SET), r.choice(("", "", '"', "'"))
+            quote = "" if '"' in sign else quote
+            head = f"{r.choice(_MADE_KEYS)}{sign}{quote}"
+            tail = '"' if '"' in sign else quote
+        else:
+            head, tail = r.choice(_MADE_SAID).split("{}")
+        put.append((r.choice(gaps), head, value, tail))
+    put += [(r.choice(gaps), r.choice(_HARMLESS), "", "") for _ in range(2)]
+    out, marks, at, size = [], [], 0, 0
+    for gap, head, value, tail in sorted(put):
+        piece = text[at:gap] + " " + head
+        out += [piece, value, tail]
+        size += len(piece)
+        if value:
+            marks.append((size, size + len(value)))
+        size += len(value) + len(tail)
+        at = gap
+    return "".join([*out, text[at:]]), marks
+
+
+def training_chains(text: str, kinds: tuple[str, ...] = VALUE_KINDS, patterns: bool = True
+                    ) -> list[tuple[tuple, tuple[int, ...]]]:
+    """Marked chains of a text as it is, and of the text with made-up secrets."""
+    made, marks = with_made_secrets(text, zlib.crc32(text.encode()), kinds)
+    own = base_spans(text, candidate_tokens(text)) if patterns else []
+    all_ = [*marks, *((a, b) for a, _, b in base_spans(made, candidate_tokens(made)))]
+    return [*marked_chains(text, [(a, b) for a, _, b in own]),
+            *marked_chains(made, all_ if patterns else marks)]
+
+
 def fit_pieces(feats: tuple, states: tuple[int, ...], most: int = FIT_TOKENS
                ) -> list[tuple[tuple, tuple[int, ...]]]:
     """A marked chain cut after ``most`` tokens, never inside a secret."""
@@ -236,13 +358,15 @@ def fit_pieces(feats: tuple, states: tuple[int, ...], most: int = FIT_TOKENS
     return [*out, (feats[at:], states[at:])]
 
 
-def fit_on(docs: DataFrame, rows: int = FIT_ROWS) -> ChainField:
-    """Field from at most ``rows`` documents; equal pieces of chains are counted before they
-    travel, and a piece has a bounded length, so the fit does not grow with a long text."""
+def fit_on(docs: DataFrame, rows: int = FIT_ROWS, pieces: int = FIT_PIECES,
+           kinds: tuple[str, ...] = VALUE_KINDS, patterns: bool = True) -> ChainField:
+    """Field from at most ``rows`` documents and ``pieces`` distinct pieces of chains with a secret,
+    and as many without; pieces are counted before they travel and have a bounded length, so the
+    fit does not grow with a long text."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen = Counter(p for t in batch.column(0).to_pylist() for c in marked_chains(t or "")
-                       for p in fit_pieces(*c))
+        seen = Counter(p for t in batch.column(0).to_pylist()
+                       for c in training_chains(t or "", kinds, patterns) for p in fit_pieces(*c))
         keys = list(seen)
         return pa.RecordBatch.from_arrays(
             [pa.array(["\n".join(" ".join(x) for x in f) for f, _ in keys], pa.string()),
@@ -250,8 +374,12 @@ def fit_on(docs: DataFrame, rows: int = FIT_ROWS) -> ChainField:
              pa.array([seen[k] for k in keys], pa.int64())], names=["feats", "states", "n"])
 
     picked = bounded_sample(docs.select("doc_id", "text"), F.col("doc_id"), rows)
-    got = (map_slices(picked.select("text"), work, "feats string, states string, n bigint")
-           .groupBy("feats", "states").agg(F.sum("n").alias("n")).toArrow().to_pylist())
+    counted = settle(map_slices(picked.select("text"), work, "feats string, states string, n bigint")
+                     .groupBy("feats", "states").agg(F.sum("n").alias("n")))
+    got = []
+    for marked in (True, False):
+        part = counted.filter(F.col("states").contains("1") == F.lit(marked))
+        got += part.orderBy(F.xxhash64("feats"), "feats", "states").limit(pieces).collect()
     return fit_field(Counter({
         (tuple(tuple(x.split(" ")) for x in r["feats"].split("\n")),
          tuple(map(int, r["states"]))): r["n"]
