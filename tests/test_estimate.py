@@ -112,3 +112,63 @@ def test_plain_bootstraps_against_brute_force(spark):
         w = part.c * part.f_true / part.groupby("class").c.transform("sum")
         cum = w.cumsum().to_numpy()
         assert ipw[rep] == part.h.to_numpy()[np.argmax(cum >= 0.1 * cum[-1] - 1e-12)]
+
+
+def test_binomial_draws_invert_the_exact_distribution():
+    import math
+
+    gen = np.random.default_rng(5)
+    for n, p in ((0, 0.3), (1, 0.5), (7, 0.2), (40, 0.93), (150, 0.5), (3000, 0.4), (5, 0.0), (5, 1.0)):
+        u = np.sort(gen.random(300))
+        got = E.binomial_draws(np.full(300, n), np.full(300, p), u)
+        if p in (0.0, 1.0):
+            assert (got == int(n * p)).all()
+            continue
+        small = min(p, 1 - p)
+        cdf, total = [], 0.0
+        for k in range(n + 1):
+            total += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+                              + k * math.log(small) + (n - k) * math.log1p(-small))
+            cdf.append(total)
+        for x, g in zip(u, got):
+            v = 1 - x if p > 0.5 else x
+            k = next((k for k, c in enumerate(cdf) if c > v), n)
+            assert abs((n - k if p > 0.5 else k) - g) <= (0 if n < 1000 else 1)
+
+
+def test_multinomial_shares_of_a_certificate(spark):
+    shares = [0.4, 0.0, 0.35, 0.2, 0.05]
+    table = spark.createDataFrame([(b, k, f) for b in (1, 2) for k, f in enumerate(shares)],
+                                  "batch_id long, class long, f_true double")
+    rows = E.multinomial_shares(table, ["batch_id"], 150, 400).collect()
+    again = E.multinomial_shares(table.repartition(3), ["batch_id"], 150, 400).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    by = {}
+    for r in rows:
+        assert abs(r._f * 150 - round(r._f * 150)) < 1e-9
+        by.setdefault((r.batch_id, r.rep), {})[r["class"]] = r._f
+    assert len(by) == 800 and all(abs(sum(v.values()) - 1) < 1e-9 for v in by.values())
+    for k, f in enumerate(shares):
+        values = np.array([v[k] for v in by.values()])
+        assert abs(values.mean() - f) < 5 * math.sqrt(max(f * (1 - f), 1e-12) / 150 / 800) + 1e-12
+        assert abs(values.var() - f * (1 - f) / 150) < 0.2 * f * (1 - f) / 150 + 1e-12
+    # the shares of two classes pull against each other
+    a, b = (np.array([v[k] for v in by.values()]) for k in (0, 2))
+    assert abs(np.cov(a, b)[0, 1] + 0.4 * 0.35 / 150) < 0.3 * 0.4 * 0.35 / 150
+
+
+def test_undecided_curve_is_flat_at_its_fit(spark):
+    from winnow.operators import aggregates as A
+
+    gen = np.random.default_rng(4)
+    x = gen.random((800, 2))
+    y = gen.random(800) < 1 / (1 + np.exp(-(-1 + 2 * x[:, 0] - x[:, 1])))
+    df = spark.createDataFrame([(float(a), float(b), bool(t)) for (a, b), t in zip(x, y)],
+                               "a double, b double, y boolean")
+    row = A.undecided_curve(df, {"a": F.col("a"), "b": F.col("b")}, F.col("y")).first()
+    w = np.array([row.intercept, row.a, row.b])
+    z = np.column_stack([np.ones(800), x])
+    grad = z.T @ (1 / (1 + np.exp(-z @ w)) - y) + np.array([0, w[1], w[2]]) / 100
+    assert np.abs(grad).max() < 1e-2
+    one = A.undecided_curve(df.filter("y"), {"a": F.col("a")}, F.col("y")).first()
+    assert one.a == 0.0 and one.intercept > 9

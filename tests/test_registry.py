@@ -26,7 +26,9 @@ def test_correction_is_closer_than_the_raw_sample(spark):
     "prj2_event_label", "bin5_merge_bins", "a2_weighted_quantile_global", "a13_worst_cell",
     "a29_ks_distance", "j6_unfinished_cases", "w8_ewma", "w10_smoothed_crossing", "t6_even_frames",
     "d8_threshold_grid", "l2_chain_append", "src7_json_export", "g1_circle_fit",
-    "str1_tumbling_counts", "str7_chain_stream"])
+    "str1_tumbling_counts", "str7_chain_stream", "p4_affine_scan", "j2_asof_interpolate",
+    "j8_case_grid", "src2_keyed_set", "src9_tree_hash_of_list", "l2_refused_attempts",
+    "str8_late_rows", "a32_undecided_curve", "e5_trend_fit", "m3_drift_state"])
 def test_query_equals_its_sql_twin(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:

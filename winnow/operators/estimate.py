@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -507,14 +509,76 @@ def resampled_shares(model: WindowModel, sample: DataFrame, keys: Sequence[str],
                                                 (F.col("_c") / F.col("_t")).alias("_f"))
 
 
+def binomial_draws(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Exact binomial counts by inversion: the first count whose distribution exceeds u.
+
+    The smaller of p and 1 - p is drawn, so the sum starts where there is mass; terms run in
+    logarithms, so large n do not underflow.
+    """
+    n, flip = n.astype(np.int64), p > 0.5
+    q = np.where(flip, 1.0 - p, p)
+    u = np.where(flip, 1.0 - u, u)
+    with np.errstate(divide="ignore"):
+        log_odds, term = np.log(q) - np.log1p(-q), n * np.log1p(-q)
+    out, total = np.zeros(len(n), np.int64), np.exp(term)
+    open_ = (total <= u) & (n > 0) & (q > 0)
+    while open_.any():
+        k = out[open_]
+        term[open_] += np.log((n[open_] - k) / (k + 1.0)) + log_odds[open_]
+        out[open_] += 1
+        total[open_] += np.exp(term[open_])
+        open_ &= (total <= u) & (out < n)
+    return np.where(flip, n - out, out)
+
+
+def multinomial_shares(table: DataFrame, by: Sequence[str], n_effective: int, reps: int
+                       ) -> DataFrame:
+    """Class shares of a reference that is known by its shares and its size alone, such as a
+    certificate or a histogram: (by, rep, class, _f), ``reps`` times ``n_effective`` objects dealt out.
+
+    A class takes a binomial share of what the classes before it have left.
+    """
+    by = list(by)
+    arrays = table.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("class", "f_true")))
+                                    .alias("_cells"))  # as many as size classes
+    rows = arrays.select(*by, "_cells", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    rows = rows.repartition(*by, "rep").withColumn("_u", F.transform("_cells", lambda c: uniform(
+        F.lit("mn"), *by, "rep", c["class"])))
+
+    def deal(shares: pd.Series, us: pd.Series) -> pd.Series:
+        out = np.empty(len(shares), object)
+        lengths = shares.map(len).to_numpy()
+        for size in np.unique(lengths):
+            at = np.flatnonzero(lengths == size)
+            f, u = np.stack(shares.iloc[at].tolist()), np.stack(us.iloc[at].tolist())
+            left, rest = np.full(len(at), n_effective, np.int64), f.sum(axis=1)
+            counts = np.zeros_like(f)
+            for k in range(size):
+                p = np.divide(f[:, k], rest, out=np.zeros(len(at)), where=rest > 0)
+                last = np.full(len(at), k == size - 1)
+                counts[:, k] = np.where(last | (p >= 1.0), left, binomial_draws(
+                    left, np.clip(p, 0.0, 1.0), u[:, k]))
+                left = left - counts[:, k].astype(np.int64)
+                rest = rest - f[:, k]
+            for i, row in zip(at, counts / n_effective):
+                out[i] = row
+        return pd.Series(out)
+
+    dealt = F.pandas_udf(deal, "array<double>")(F.transform("_cells", lambda c: c["f_true"]), F.col("_u"))
+    return rows.select(*by, "rep", F.explode(F.arrays_zip(
+        F.transform("_cells", lambda c: c["class"]).alias("class"), dealt.alias("_f"))).alias("_c")
+                       ).select(*by, "rep", F.col("_c.class").alias("class"), F.col("_c._f").alias("_f"))
+
+
 def bootstrap_d10(model: WindowModel, keys: Sequence[str], reps: int,
                   sample: tuple[DataFrame, Sequence[str]] | None = None,
-                  rows_per_bucket: int | None = None) -> DataFrame:
+                  rows_per_bucket: int | None = None,
+                  n_effective: int | None = None) -> DataFrame:
     """Hybrid d10 of every replicate of every window in ``model``.
 
     Readings keep the class and the shrinkage of the full window, as counts change only the
     class sums, the fit and the weights.  ``sample`` (rows, keys) is a finite reference, whose
-    class shares are resampled too.
+    class shares are resampled too; ``n_effective`` is the size of one known by its shares only.
     """
     by, s = model.by, model.s
     rep = [*by, "rep"]
@@ -527,8 +591,9 @@ def bootstrap_d10(model: WindowModel, keys: Sequence[str], reps: int,
     fixed = model.table.select(*by, "class", "lo", "width", "f_true", "x_ref", "x_obs")
     full = (seen.join(fixed, by).join(sums, [*rep, "class"], "left")
             .fillna(0.0, subset=["n", "s1", "s2"]))
-    if sample is not None:
-        shares = resampled_shares(model, sample[0], sample[1], reps)
+    if sample is not None or n_effective is not None:
+        shares = (multinomial_shares(model.table, by, n_effective, reps) if sample is None
+                  else resampled_shares(model, sample[0], sample[1], reps))
         full = full.drop("f_true").join(shares, [*rep, "class"], "left").withColumn(
             "f_true", F.coalesce("_f", F.lit(0.0))).drop("_f")
     fit = settle(fit_trend(class_arrays(full, rep), s.sigma_um, s.size_noise_um))

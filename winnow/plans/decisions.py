@@ -94,6 +94,19 @@ def _(spark, sf):
     return _rounded(out, "d10_lo", "d10_hi", "p_spec")
 
 
+#: Objects a certificate stands for.
+CERTIFIED = 150
+
+
+@query("e12_bootstrap_certificate")
+def _(spark, sf):
+    rows = N.settle(Q.window_rows(spark, sf))
+    m = E.WindowModel(rows, N.settle(Q.certificate(spark, sf, rows)), BS, S)
+    out = E.bootstrap_interval(E.bootstrap_d10(m, ["rid"], S.bootstrap_reps, n_effective=CERTIFIED),
+                               BS, S.interval, S.spec_d10_um)
+    return _rounded(out, "d10_lo", "d10_hi", "p_spec")
+
+
 PLAIN = {
     **Q.IPW,
     "pdraw": f"""SELECT * FROM (SELECT batch_id, step, class, h, q*4+w AS rep,

@@ -207,7 +207,13 @@ SELECT batch_id, step, count(*) AS n, round(sum(weight*s),6) AS mean_log_size,
  FROM ownefit f JOIN (SELECT batch_id, step, avg(h) AS mean_um FROM er GROUP BY 1,2)
  USING (batch_id, step) JOIN cores USING (batch_id)) GROUP BY 1,2""", _OWN)
 def _(spark, sf):
-    rows = N.settle(window_rows(spark, sf))
+    return certificate(spark, sf, N.settle(window_rows(spark, sf))).groupBy(*BS).agg(
+        F.count("*").alias("n"), r6(F.sum(F.col("weight") * F.col("log_size")))
+        .alias("mean_log_size"), r6(F.max("log_size")).alias("max_log_size"))
+
+
+def certificate(spark, sf, rows):
+    """Reference of every window from the certified cores and the window's own trend."""
     own = rows.select(*BS, F.col("x").alias("log_size"), F.lit(1.0).alias("weight"))
     _, table = E.size_classes(rows, own, BS, S.size_classes)
     mean = rows.groupBy(*BS).agg(F.avg("h").alias("mean_um"))
@@ -216,9 +222,7 @@ def _(spark, sf):
     cores = E.reference_from_population(X.bed(spark, sf).filter("true_class=0"), ["batch_id"],
                                         "core_um", (300.0, 1010.0, 200))
     cores = cores.withColumnRenamed("log_size", "log_core")
-    return E.reference_from_cores(cores, fit, BS, ["batch_id"]).groupBy(*BS).agg(
-        F.count("*").alias("n"), r6(F.sum(F.col("weight") * F.col("log_size")))
-        .alias("mean_log_size"), r6(F.max("log_size")).alias("max_log_size"))
+    return E.reference_from_cores(cores, fit, BS, ["batch_id"])
 
 
 @query("e4_size_classes", """
@@ -434,6 +438,11 @@ FROM sltrue t JOIN slraw r USING (batch_id) JOIN slq q USING (batch_id) JOIN (
  coalesce(sum(f_true) FILTER (n=0),0e0) AS uncovered FROM slewt GROUP BY 1) USING (batch_id)""",
        _SL)
 def _(spark, sf):
+    with X.made_once(sf):
+        return _slice(spark, sf)
+
+
+def _slice(spark, sf):
     by = ["batch_id"]
     bed = X.bed(spark, sf).filter("true_class=0")
     rows = X.win(spark, sf).filter("accepted").select(
@@ -474,6 +483,11 @@ def estimate_timeline(spark, sf, s=S, bootstrap="none", models=TIMELINE_METHODS,
 
     With ``replicates_from`` windows whose corrected d10 reaches it also carry their replicates.
     """
+    with X.made_once(sf):
+        return _timeline(spark, sf, s, bootstrap, models, replicates_from)
+
+
+def _timeline(spark, sf, s, bootstrap, models, replicates_from):
     m = window_model(spark, sf, s)
     out = base_columns(spark, sf, s).join(m.summary().drop("n"), BS, "left")
     parts = {"raw": lambda: m.raw(tie()), "ipw": lambda: m.ipw(tie()), "model": m.model_estimate,

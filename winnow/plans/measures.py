@@ -478,7 +478,45 @@ def _(spark, sf):
     return _rounded(cal_table(spark, sf), "bias", "spread")
 
 
-@query("a32_undecided_curve")
+_CURVE = ("fouling", "pigment", "snr_per_10db")
+_STEPS = 40
+
+
+def _curve_sql() -> dict[str, str]:
+    """Newton steps of the penalised logistic fit, four unknowns, solved by Cholesky written out."""
+    x = ["1e0", "fouling", "pigment", "snr_per_10db"]
+    b = [f"b{i}" for i in range(4)]
+    p = f"(1e0/(1e0+exp(-({'+'.join(f'{w}*{v}' for w, v in zip(b, x))}))))"
+    grad = [f"sum(({p}-y)*{x[i]})" + (f"+any_value(b{i})/100e0" if i else "") for i in range(4)]
+    hess = {(i, j): f"sum({p}*(1e0-{p})*{x[i]}*{x[j]})" + ("+1e0/100e0" if i == j and i else "")
+            for i in range(4) for j in range(i + 1)}
+    sums = ", ".join([*[f"any_value(b{i}) AS b{i}" for i in range(4)],
+                      *[f"{g} AS g{i}" for i, g in enumerate(grad)],
+                      *[f"{h} AS h{i}{j}" for (i, j), h in hess.items()]])
+    inner = f"SELECT i, {sums} FROM anewton, aund WHERE i<{_STEPS} GROUP BY i"
+    for j in range(4):
+        cols = []
+        for i in range(j, 4):
+            s = "".join(f"-l{i}{k}*l{j}{k}" for k in range(j))
+            cols.append(f"sqrt(h{j}{j}{s}) AS l{j}{j}" if i == j
+                        else f"(h{i}{j}{s})/sqrt(h{j}{j}"
+                        + "".join(f"-l{j}{k}*l{j}{k}" for k in range(j)) + f") AS l{i}{j}")
+        inner = f"SELECT *, {', '.join(cols)} FROM ({inner})"
+    for i in range(4):
+        s = "".join(f"-l{i}{k}*y{k}" for k in range(i))
+        inner = f"SELECT *, (g{i}{s})/l{i}{i} AS y{i} FROM ({inner})"
+    for i in reversed(range(4)):
+        s = "".join(f"-l{k}{i}*d{k}" for k in range(i + 1, 4))
+        inner = f"SELECT *, (y{i}{s})/l{i}{i} AS d{i} FROM ({inner})"
+    return {"aund": """SELECT fouling, pigment, snr_db/10e0 AS snr_per_10db,
+ (status<>'measured')::INT AS y FROM pred WHERE status<>'gated'""",
+            "anewton": "SELECT 0 AS i, 0e0 AS b0, 0e0 AS b1, 0e0 AS b2, 0e0 AS b3 UNION ALL SELECT i+1, "
+                       + ", ".join(f"b{i}-d{i}" for i in range(4)) + f" FROM ({inner})"}
+
+
+@query("a32_undecided_curve", "SELECT round(b0,3) AS intercept, "
+       + ", ".join(f"round(b{i + 1},3) AS {c}" for i, c in enumerate(_CURVE))
+       + f" FROM anewton WHERE i={_STEPS}", _curve_sql(), recursive=True)
 def _(spark, sf):
     df = X.pred(spark, sf).filter("status <> 'gated'")
     out = A.undecided_curve(df, {"fouling": F.col("fouling"), "pigment": F.col("pigment"),
