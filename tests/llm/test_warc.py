@@ -33,6 +33,20 @@ def test_records_are_linked_and_digests_hold(spark):
     assert X.derive(X.responses(frame(spark).limit(0))).count() == 0
 
 
+def test_plain_text_of_broken_pages():
+    for page, text in {
+            "a<script>var x = 1; <p>b</p>": "a", "a<p title=\"a>b\">c</p>": "a c",
+            "a<!-- b <p>c": "a", "x<b>y</b>z<br>w": "xyz w", "<style>p{}</STYLE >q": "q",
+            "a < b &lt;i&gt; c": "a < b <i> c", "<?xml v?>t<a href='x>y'>u</a>": "tu"}.items():
+        assert X.plain_text(page) == text
+    import time
+
+    start = time.time()
+    assert X.plain_text("<script>" * 50_000) == ""
+    assert X.plain_text("<p " * 50_000) != ""
+    assert time.time() - start < 5
+
+
 def test_files_round_trip(spark, tmp_path):
     records = X.derive(X.responses(frame(spark)))
     X.warc_text(records).write.option("lineSep", "\r\n\r\n").text(str(tmp_path / "w"))

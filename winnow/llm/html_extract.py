@@ -69,11 +69,11 @@ _CONTENT = frozenset("article main".split())
 _PARTS = frozenset("article main section".split())
 #: A skipped element that is never closed ends where one of these begins.
 _RESUMES = frozenset("article main section h1 h2 h3 p blockquote pre table".split())
-_TOKEN = re.compile(
+TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)/?>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
-_OPEN_COMMENT = re.compile(r"<!--.*\Z", re.S)
+OPEN_COMMENT = re.compile(r"<!--.*\Z", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?",
                    re.I)
 _DIGITS = re.compile(r"\d+")
@@ -200,13 +200,13 @@ def _parsed(page: str, cleared: frozenset, ended: frozenset
     last = page.rfind(">")
     while at < end:
         # no tag ends behind the last sign; only a comment can still begin there
-        hit = _TOKEN.search(page, at) if at <= last else _OPEN_COMMENT.search(page, at)
+        hit = TOKEN.search(page, at) if at <= last else OPEN_COMMENT.search(page, at)
         if hit is None:
             text(page[at:])
             break
         text(page[at:hit.start()])
         at = hit.end()
-        tag = hit.re is _TOKEN and (hit[2] or hit[5])
+        tag = hit.re is TOKEN and (hit[2] or hit[5])
         if not tag:
             continue
         tag = tag.lower()

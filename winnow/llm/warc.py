@@ -9,7 +9,7 @@ conversion.  One narrow pass: nothing is shuffled.
 writer, `read_warc` reads files back.
 
 Defined results: a null page is an empty payload, a null URI is empty; an empty payload gives an
-empty conversion; repeated rows give records of equal identifiers; other columns are ignored.
+empty conversion; an unclosed script or comment ends with the page; repeated rows give records of equal identifiers; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnow.llm.common import map_slices, table
+from winnow.llm.html_extract import OPEN_COMMENT, TOKEN
 from winnow.llm.registry import query
 
 DATE = "2024-01-01T00:00:00Z"
@@ -32,15 +33,29 @@ HTTP_HEAD = ("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8")
 # fixed values: HTML element names
 _INLINE = "a|abbr|b|cite|code|em|font|i|mark|q|s|small|span|strong|sub|sup|u"
 _RAW = "script|style|title|noscript|template"
-_SKIPPED = re.compile(rf"<!--.*?-->|<({_RAW})\b[^>]*>.*?</\1\s*>", re.S | re.I)
-_INLINE_TAG = re.compile(rf"</?(?:{_INLINE})\b[^>]*>", re.I)
-_TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
+_INLINE_NAMES, _RAW_NAMES = frozenset(_INLINE.split("|")), frozenset(_RAW.split("|"))
 
 
 def plain_text(page: str) -> str:
-    """All visible text of a page in order, with single spaces."""
-    page = _TAG.sub(" ", _INLINE_TAG.sub("", _SKIPPED.sub(" ", page)))
-    return " ".join(html.unescape(page).split())
+    """All visible text of a page in order, with single spaces; one pass over the page.
+
+    An element with raw text that is never closed ends with the page.
+    """
+    out, at, last = [], 0, page.rfind(">")
+    while at < len(page):
+        hit = (TOKEN if at <= last else OPEN_COMMENT).search(page, at)
+        if hit is None:
+            out.append(page[at:])
+            break
+        out.append(page[at:hit.start()])
+        at = hit.end()
+        tag = ((hit[2] or hit[5] or "") if hit.re is TOKEN else "").lower()
+        if tag in _RAW_NAMES and not (hit[1] or hit[4]):
+            done = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            at = done.end() if done else len(page)
+        if tag not in _INLINE_NAMES:
+            out.append(" ")
+    return " ".join(html.unescape("".join(out)).split())
 
 
 def _urn(*parts: Column | str) -> Column:
