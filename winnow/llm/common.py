@@ -72,15 +72,17 @@ def tagged_rows(df: DataFrame) -> DataFrame:
         return settle(df.select("*", F.monotonically_increasing_id().alias("_row")))
 
 
-def join_by_group(rows: DataFrame, groups: DataFrame, key: str | list[str], members: str
-                  ) -> DataFrame:
+def join_by_group(rows: DataFrame, groups: DataFrame, key: str | list[str], members: str,
+                  total: int | None = None) -> DataFrame:
     """``rows`` with the columns of their group, whose ``members`` are its rows in ``rows``.
 
     A group of more than 1/``HOT_GROUPS`` of all rows is hot; there are fewer than ``HOT_GROUPS``
     of these, so they reach their rows by broadcast and no task gets all rows of one of them.
-    Both sides are read twice, so they should be written tables.
+    Both sides are read twice, so they should be written tables.  ``total`` is the number of
+    ``rows``, where the caller knows it.
     """
-    total = groups.agg(F.coalesce(F.sum(members), F.lit(0)).alias("n")).first()["n"]
+    if total is None:
+        total = groups.agg(F.coalesce(F.sum(members), F.lit(0)).alias("n")).first()["n"]
     is_hot = F.col(members) > max(HOT_ROWS, total // HOT_GROUPS)
     hot = F.broadcast(groups.filter(is_hot).drop(members))
     keys = [key] if isinstance(key, str) else key

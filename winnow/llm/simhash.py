@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm.common import map_slices, settle, table, tagged_rows
+from winnow.llm.common import join_by_group, map_slices, settle, table, tagged_rows
 from winnow.llm.registry import query
 
 #: A bucket of more fingerprints than this is cut a second time.
@@ -200,7 +200,8 @@ def linked_stars(fps: DataFrame, radius: int = 2) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of every connected set that has an edge.
 
-    Large-star and small-star rounds; every round is a written table.
+    Large-star and small-star rounds; every round is a written table.  A node with a large share of
+    all edges has its least neighbour broadcast to them.
     """
     e = settle(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m"))
                .filter("v <> m").distinct())
@@ -208,15 +209,18 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first())
 
+    def with_least(rows: DataFrame, total: int) -> DataFrame:
+        """Edges with the least neighbour of their ``v``; a hub's edges are not sent to one task."""
+        least = settle(rows.groupBy("v").agg(F.min("m").alias("least"), F.count("*").alias("n")))
+        return join_by_group(rows, least, "v", "n", total)
+
     before = mark(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("m").alias("v"), F.col("v").alias("m")))
-        least = both.groupBy("v").agg(F.min("m").alias("least"))
-        large = (both.join(least, "v").filter(F.col("m") > F.col("v"))
-                 .select(F.col("m").alias("v"), F.least("v", "least").alias("m"))
-                 .filter("v <> m").distinct())
-        low = large.groupBy("v").agg(F.min("m").alias("least"))
-        small = (large.join(low, "v").select(
+        large = settle(with_least(both, 2 * before[0]).filter(F.col("m") > F.col("v"))
+                       .select(F.col("m").alias("v"), F.least("v", "least").alias("m"))
+                       .filter("v <> m").distinct())
+        small = (with_least(large, before[0]).select(
             F.explode(F.array(F.struct("v", F.col("least").alias("m")),
                               F.struct(F.col("m").alias("v"), F.col("least").alias("m"))))
             .alias("x")).select("x.v", "x.m").filter("v <> m").distinct())
