@@ -286,3 +286,11 @@ def test_integrity_states(spark, tmp_path):
         "path", "sha256").union(spark.createDataFrame([("d.bin", "1")], "path string, s string"))
     got = {r.path: r.status for r in R.integrity(found, listed).collect()}
     assert got == {"a.bin": "ok", "b.bin": "mismatch", "c.bin": "unlisted", "d.bin": "missing"}
+
+
+def test_f_quantile_against_the_jvm_library(spark):
+    fd = spark.sparkContext._jvm.org.apache.commons.math3.distribution.FDistribution
+    for d1, d2 in ((7, 43), (1, 5), (3, 400), (64, 200), (12, 3)):
+        for q in (0.05, 0.5, 0.99, 0.999):
+            assert M.f_quantile(d1, d2, q) == pytest.approx(
+                fd(float(d1), float(d2)).inverseCumulativeProbability(q), rel=1e-7)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -27,6 +28,35 @@ class Baseline:
     t2_limit: float
 
 
+def beta_share(x: float, a: float, b: float, terms: int = 300) -> float:
+    """Regularised incomplete beta function: its continued fraction, evaluated from the far end.
+
+    The fraction converges fast below the mean; above it the other tail is taken.
+    """
+    if x <= 0.0 or x >= 1.0:
+        return float(x >= 1.0)
+    if x * (a + b + 2) > a + 1:
+        return 1.0 - beta_share(1.0 - x, b, a, terms)
+    tail = 1.0
+    for k in range(terms, 0, -1):
+        m = k // 2
+        step = (m * (b - m) / ((a + k - 1) * (a + k)) if k % 2 == 0
+                else -(a + m) * (a + b + m) / ((a + k - 1) * (a + k)))
+        tail = 1.0 + step * x / tail
+    front = a * math.log(x) + b * math.log1p(-x) - math.log(a) + (
+        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b))
+    return math.exp(front) / tail
+
+
+def f_quantile(d1: float, d2: float, share: float) -> float:
+    """Quantile of the F distribution, by bisection of its beta variable."""
+    low, high = 0.0, 1.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if beta_share(mid, d1 / 2, d2 / 2) < share else (low, mid)
+    return d2 / d1 * low / (1.0 - low)
+
+
 def fit_baseline(df: DataFrame, features: Sequence[str], s: Settings) -> Baseline:
     """Mean, covariance and T-squared limit from one aggregate over the clean scans."""
     p = len(features)
@@ -39,10 +69,7 @@ def fit_baseline(df: DataFrame, features: Sequence[str], s: Settings) -> Baselin
         for j, b in enumerate(features[i:], start=i):
             cov[i, j] = cov[j, i] = row[f"cov_{a}_{b}"]
     ridge = cov + np.eye(p) * (1e-9 * np.trace(cov) / p)
-    jvm = df.sparkSession.sparkContext._jvm
-    f = jvm.org.apache.commons.math3.distribution.FDistribution(float(p), float(n - p))
-    limit = p * (n + 1) * (n - 1) / (n * (n - p)) * f.inverseCumulativeProbability(
-        s.t2_confidence)
+    limit = p * (n + 1) * (n - 1) / (n * (n - p)) * f_quantile(p, n - p, s.t2_confidence)
     return Baseline(tuple(features), n, tuple(float(row[f"mean_{c}"]) for c in features),
                     tuple(map(tuple, cov.tolist())),
                     tuple(map(tuple, np.linalg.inv(ridge).tolist())), float(limit))
