@@ -84,3 +84,37 @@ def test_exact_threshold_counts_as_similar():
     a = np.arange(9, dtype=np.uint64)
     assert list(C.links([a[:8], a[:8], a])) and list(C.links([a[:4], np.arange(5, dtype=np.uint64)]))
     assert not list(C.links([a[:3], a[:4]]))
+
+
+def test_chains_in_one_bucket_and_a_bucket_of_unlike_sets(spark, monkeypatch):
+    # every set in one bucket: links must be found whatever the smallest member is like
+    monkeypatch.setattr(C, "CHUNK_ROWS", 4)
+    monkeypatch.setattr(C, "bands", lambda found: [1, 2] if len(found) else [])
+    rnd = random.Random(11)
+    rows = []
+    for g in range(6):
+        words = [f"g{g}w{i}" for i in range(100)]
+        for v in range(7):  # each version is alike to its neighbours only
+            words = words[:14 * v] + [f"g{g}v{v}n{i}" for i in range(5)] + words[14 * v + 5:]
+            rows.append((len(rows), " ".join(words)))
+    rows += [(900 + i, " ".join(f"u{i}x{rnd.randrange(500)}" for _ in range(30))) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted(r.doc_id for r in C.kept_rows(docs).collect())
+    assert got == brute(rows) and 9 < len(got) < len(rows)
+
+
+def test_joined_members_are_not_compared_again():
+    a = [np.arange(i, 100 + i, dtype=np.uint64) for i in range(4)]
+    assert len(list(C.links(a))) == 3 and len(list(C.links(a, None, [1, 1, 2, 2]))) == 1
+    assert not list(C.links(a, None, [1, 1, 1, 1]))
+    assert not list(C.links(a, [0, 0, 0, 0], [1, 2, 3, 4]))
+
+
+def test_empty_table_and_clashing_names(spark):
+    schema = "doc_id bigint, text string, fp string, key int, hub string, n int"
+    assert C.kept_rows(spark.createDataFrame([], schema)).count() == 0
+    words = " ".join(f"w{i}" for i in range(50))
+    rows = [(2, words, "f", 1, "h", 3), (1, words + " ", "f", 1, "h", 3), (3, "else", None, None, None, 1)]
+    got = C.kept_rows(spark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", "fp", "key", "hub", "n"]
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3]
