@@ -1,11 +1,12 @@
 """Exact nearest neighbours by a block matrix join with int8 tiles.
 
-Vectors are scaled to unit length and rounded to int8 with one scale each; the length of what
-rounding took away is kept.  Queries and candidates become blocks; a tile is one pair of blocks.
-The product of the int8 matrices gives all cosines of a tile with an error bound (Cauchy-Schwarz
-on the rounded parts), a pair survives when its upper bound reaches the fifth lower bound seen,
-and only survivors are computed in double precision from the original vectors.  Each task keeps
-a heap per query over its tiles; the heaps of all tasks are merged per query.
+Vectors are scaled to unit length and rounded to int8 with one scale each, once, when they are packed
+into blocks of queries and of candidates; the length of what rounding took away is kept.  Only
+these codes meet: a tile is one pair of blocks, and the product of its int8 matrices gives all
+cosines with an error bound (Cauchy-Schwarz on the rounded parts).  A pair survives when its upper
+bound reaches the k-th lower bound its query has seen, first over the tiles of a task, then over all
+tasks.  Survivors fetch the original vectors and are computed in double precision, and heaps
+keep the best of each query.
 
 Every row is a candidate of its own, and a query's own rows are those of its id.  Of equal vectors in
 one block only the first rows by id can ever be in an answer (k of an id, and ids until k rows are
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from winnow.llm.common import settle, table
 from winnow.llm.registry import query
@@ -40,44 +42,60 @@ BLOCKS_PER_TASK = 8
 #: Room for the rounding of the double arithmetic of bounds.
 SLACK = 1e-9
 
-_BLOCK = "dim int, n int, uid bigint, ids binary, vectors binary"
+_BLOCK = ("dim int, n int, uid bigint, ids binary, hashes binary, codes binary, scale binary, "
+          "near binary, lost binary")
+_ARRAYS = ("ids", "hashes", "codes", "scale", "near", "lost")
 
 
 def _blocks(df: DataFrame, rows: int, twins: int | None = None) -> DataFrame:
-    """Rows (vec_id, embedding) packed into blocks of one vector length."""
+    """Rows (vec_id, embedding) packed into blocks of rounded vectors of one length.
 
-    def pack(dim: int, ids: list[int], vectors: list[np.ndarray]) -> pa.RecordBatch:
+    A row is named by its id and a hash of its vector, by which survivors find it again.
+    """
+
+    def pack(dim: int, ids: list[int], hashes: list[int], vectors: list[np.ndarray]
+             ) -> pa.RecordBatch:
         if twins is not None:
             keep = _first_twins(ids, vectors, twins)
-            ids, vectors = [ids[i] for i in keep], [vectors[i] for i in keep]
-        raw = np.array(ids, np.int64).tobytes()
-        uid = int.from_bytes(hashlib.sha1(raw).digest()[:7], "big")
+            ids, hashes, vectors = ([x[i] for i in keep] for x in (ids, hashes, vectors))
+        raw = np.array(ids, np.int64)
+        uid = int.from_bytes(hashlib.sha1(raw.tobytes()).digest()[:7], "big")
+        arrays = (raw, np.array(hashes, np.int64), *_rounded(np.stack(vectors)))
         return pa.RecordBatch.from_arrays(
             [pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()),
-             pa.array([uid], pa.int64()), pa.array([raw], pa.binary()),
-             pa.array([np.stack(vectors).tobytes()], pa.binary())],
-            names=["dim", "n", "uid", "ids", "vectors"])
+             pa.array([uid], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)],
+            names=["dim", "n", "uid", *_ARRAYS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, tuple[list, list, list]] = {}
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for i, x in zip(ids, batch.column(1)):
+            ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, h, x in zip(ids, hashes, batch.column(2)):
                 if i is None or not x.is_valid or not len(x.values) or x.values.null_count:
                     continue
                 v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 norm = _dot(v[None, :], v[None, :])[0]
                 if not np.isfinite(norm) or norm <= 0.0:
                     continue
-                got = held.setdefault(len(v), ([], []))
-                got[0].append(i)
-                got[1].append(v)
+                got = held.setdefault(len(v), ([], [], []))
+                for part, value in zip(got, (i, h, v)):
+                    part.append(value)
                 if len(got[0]) == rows:
                     yield pack(len(v), *held.pop(len(v)))
         for dim, got in held.items():
             yield pack(dim, *got)
 
-    return df.select("vec_id", "embedding").mapInArrow(run, _BLOCK)
+    return df.select("vec_id", F.xxhash64("embedding"), "embedding").mapInArrow(run, _BLOCK)
+
+
+def _rounded(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Codes of unit vectors, their scales, and the lengths the error bounds need."""
+    unit = x / np.sqrt(_dot(x, x))[:, None]
+    scale = np.abs(unit).max(axis=1) / 127.0
+    codes = np.rint(unit / scale[:, None]).astype(np.int8)
+    near = codes * scale[:, None]
+    return (codes, scale, np.sqrt((near ** 2).sum(axis=1)),
+            np.sqrt(((unit - near) ** 2).sum(axis=1)))
 
 
 def _first_twins(ids: list[int], vectors: list[np.ndarray], k: int) -> list[int]:
@@ -106,94 +124,117 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-class _Rounded:
-    """A block of unit vectors as int8, with the lengths its error bounds need."""
+class _Block:
+    """The arrays of one packed block."""
 
-    def __init__(self, ids: bytes, vectors: bytes, dim: int):
-        self.ids = np.frombuffer(ids, np.int64)
-        self.x = np.frombuffer(vectors, np.float64).reshape(-1, dim)
-        self.norm = np.sqrt(_dot(self.x, self.x))
-        unit = self.x / self.norm[:, None]
-        self.scale = np.abs(unit).max(axis=1) / 127.0
-        self.q = np.rint(unit / self.scale[:, None]).astype(np.int8)
-        near = self.q * self.scale[:, None]
-        self.near = np.sqrt((near ** 2).sum(axis=1))
-        self.lost = np.sqrt(((unit - near) ** 2).sum(axis=1))
+    def __init__(self, dim: int, *raw: bytes):
+        kinds = (np.int64, np.int64, np.int8, np.float64, np.float64, np.float64)
+        self.ids, self.hashes, codes, self.scale, self.near, self.lost = (
+            np.frombuffer(r, k) for r, k in zip(raw, kinds))
+        self.codes = codes.reshape(-1, dim)
 
 
-def _tile(q: _Rounded, c: _Rounded, k: int, floor: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """Survivors (query row, candidate row, exact cosine); ``floor`` holds proven k-th scores."""
-    kind = np.float32 if q.q.shape[1] <= 1000 else np.float64  # sums of products stay exact
-    product = q.q.astype(kind) @ c.q.astype(kind).T
+def _bounds(q: _Block, c: _Block) -> tuple[np.ndarray, np.ndarray]:
+    """(lower, upper) bounds of all cosines of a tile; a query's own rows are minus infinity."""
+    kind = np.float32 if q.codes.shape[1] <= 1000 else np.float64  # sums of products stay exact
+    product = q.codes.astype(kind) @ c.codes.astype(kind).T
     about = product.astype(np.float64) * q.scale[:, None] * c.scale[None, :]
     error = (q.near[:, None] * c.lost[None, :] + q.lost[:, None] * (c.near + c.lost)[None, :]
              + SLACK)
-    own = q.ids[:, None] == c.ids[None, :]
-    about[own] = -np.inf
-    low = about - error
-    if low.shape[1] >= k:
-        low = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
-        floor = np.maximum(floor, low)
-    rows, cols = np.nonzero((about + error >= floor[:, None]) & ~own)
-    for at in range(0, len(rows), 65536):
-        r, s = rows[at:at + 65536], cols[at:at + 65536]
-        exact = _dot(q.x[r], c.x[s]) / (q.norm[r] * c.norm[s])
-        yield from zip(r.tolist(), s.tolist(), exact.tolist())
+    about[q.ids[:, None] == c.ids[None, :]] = -np.inf
+    return about - error, about + error
+
+
+_PAIR = ("qb bigint, qi int, query_id bigint, q_hash bigint, vec_id bigint, v_hash bigint, "
+         "low double, high double")
+
+
+def _survivors(tiles: DataFrame, k: int) -> DataFrame:
+    """``_PAIR`` of what the tiles (qb, part, dim, q arrays, c arrays), sorted by block, leave."""
+    names = [c.split()[0] for c in _PAIR.split(", ")]
+    kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.float64(), pa.float64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block, best, held = None, None, None, []
+
+        def kept() -> list[tuple[np.ndarray, ...]]:
+            """What still reaches the k-th lower bound of its query."""
+            if not held:
+                return []
+            rows, ids, hashes, low, high = (np.concatenate(x) for x in zip(*held))
+            stays = high >= best[rows, 0]
+            return [tuple(x[stays] for x in (rows, ids, hashes, low, high))]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for rows, ids, hashes, low, high in kept():
+                columns = (np.full(len(rows), at[0]), rows, block.ids[rows], block.hashes[rows], ids,
+                           hashes, low, high)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(columns, kinds)], names=names)
+
+        for batch in batches:
+            for n in range(batch.num_rows):
+                qb, part, dim, *raw = (col[n].as_py() for col in batch.columns)
+                if (qb, part) != at:
+                    if block is not None:
+                        yield from out()
+                    at, block, held = (qb, part), _Block(dim, *raw[:6]), []
+                    best = np.full((len(block.ids), k), -np.inf)  # k best lower bounds, rising
+                cand = _Block(dim, *raw[6:])
+                low, high = _bounds(block, cand)
+                top = low if low.shape[1] <= k else np.partition(low, low.shape[1] - k, axis=1)[:, -k:]
+                best = np.sort(np.concatenate([best, top], axis=1), axis=1)[:, -k:]
+                rows, cols = np.nonzero((high >= best[:, :1]) & (high > -np.inf))
+                held.append((rows, cand.ids[cols], cand.hashes[cols], low[rows, cols],
+                             high[rows, cols]))
+                if sum(len(h[0]) for h in held) > 1_000_000:
+                    held = kept()
+        if block is not None:
+            yield from out()
+
+    found = tiles.mapInArrow(run, _PAIR)
+    # the same over all tasks: few rows a query are left
+    row = W.partitionBy("qb", "qi")
+    place = F.row_number().over(row.orderBy(F.desc("low")))
+    return (found.withColumn("_n", place)
+            .withColumn("_floor", F.max(F.when(F.col("_n") == k, F.col("low"))).over(row))
+            .filter(F.col("_floor").isNull() | (F.col("high") >= F.col("_floor"))))
+
+
+def _inner(a: str, b: str) -> Column:
+    """Inner product in double precision, added in order, so equal rows give equal sums anywhere."""
+    product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest cosines of every query row."""
-    asked = vectors.filter(F.coalesce(is_query, F.lit(False)))
+    asked = vectors.filter(F.coalesce(is_query, F.lit(False))).select("vec_id", "embedding")
     n_query = max(1, -(-asked.count() // QUERY_ROWS))
-    q = settle(_blocks(asked.select("vec_id", "embedding").repartition(n_query), QUERY_ROWS))
+    q = settle(_blocks(asked.repartition(n_query), QUERY_ROWS))
     c = settle(_blocks(vectors, BLOCK_ROWS, twins=k))
     groups = max(1, -(-c.count() // BLOCKS_PER_TASK))
     left = q.select(F.col("dim").alias("qd"), F.col("uid").alias("qb"),
-                    F.col("ids").alias("qi"), F.col("vectors").alias("qv"),
+                    *[F.col(x).alias(f"q_{x}") for x in _ARRAYS],
                     F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
     # eight bytes a query block: 16 MB for a billion queries; candidates stay where they are
     names = F.broadcast(q.groupBy("dim").agg(F.collect_set("uid").alias("all_q")))
     right = c.join(names, "dim").select(
-        "dim", "ids", "vectors", F.pmod("uid", F.lit(groups)).cast("int").alias("part"),
+        "dim", *_ARRAYS, F.pmod("uid", F.lit(groups)).cast("int").alias("part"),
         F.explode("all_q").alias("qb"))
     tiles = (left.join(right, ["qb", "part"]).filter("qd = dim")
-             .select("qb", "part", "dim", "qi", "qv", "ids", "vectors")
+             .select("qb", "part", "dim", *[f"q_{x}" for x in _ARRAYS], *_ARRAYS)
              .sortWithinPartitions("qb", "part"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, block, heaps = None, None, []
-
-        def out() -> pa.RecordBatch:
-            of_id: dict[int, list] = {}
-            for i, h in zip(block.ids.tolist(), heaps):
-                of_id.setdefault(i, []).extend(h)
-            rows = [(i, -n, s) for i, h in of_id.items() for s, n in heapq.nlargest(k, h)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[j] for r in rows], t) for j, t in
-                 enumerate((pa.int64(), pa.int64(), pa.float64()))],
-                names=["query_id", "vec_id", "score"])
-
-        for batch in batches:
-            for n in range(batch.num_rows):
-                qb, part, dim, qi, qv, ids, vecs = (col[n].as_py() for col in batch.columns)
-                if (qb, part) != at:
-                    if block is not None:
-                        yield out()
-                    at, block = (qb, part), _Rounded(qi, qv, dim)
-                    heaps = [[] for _ in block.ids]
-                cand = _Rounded(ids, vecs, dim)
-                floor = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps])
-                for r, s, x in _tile(block, cand, k, floor):
-                    entry = (x, -int(cand.ids[s]))
-                    h = heaps[r]
-                    if len(h) < k:
-                        heapq.heappush(h, entry)
-                    elif entry > h[0]:
-                        heapq.heapreplace(h, entry)
-        if block is not None:
-            yield out()
+    def originals(df: DataFrame, ident: str, mark: str, out: str) -> DataFrame:
+        return df.select(F.col("vec_id").alias(ident), F.xxhash64("embedding").alias(mark),
+                         F.col("embedding").alias(out)).dropDuplicates([ident, mark])
 
-    partial = tiles.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    exact = (_survivors(tiles, k).select("query_id", "q_hash", "vec_id", "v_hash")
+             .join(originals(asked, "query_id", "q_hash", "a"), ["query_id", "q_hash"])
+             .join(originals(vectors, "vec_id", "v_hash", "b"), ["vec_id", "v_hash"]))
+    partial = exact.select("query_id", "vec_id", (_inner("a", "b") / (
+        F.sqrt(_inner("a", "a")) * F.sqrt(_inner("b", "b")))).alias("score"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def best(i: int, found: list) -> list:
