@@ -85,13 +85,29 @@ def _(spark, sf):
                       r6("p_spec").alias("p_spec"))
 
 
-@query("e12_bootstrap_at_line")
+# the same with an at-line sample as reference, whose rows are resampled too
+BOOT_REF = {
+    **BOOT_ALL, **Q.ATL, **Q.chain(ref="atl"),
+    "bshare": f"""SELECT *, c/sum(c) OVER (PARTITION BY batch_id, step, rep) AS f FROM (
+ SELECT batch_id, step, q*4+w AS rep, class, sum({_poisson_sql(_word('w'))}) AS c FROM (
+  SELECT *, md5(concat_ws(':','ref',rid,q)) AS d FROM (SELECT batch_id, step, rid,
+   least(greatest(floor((log_size-lo)/width),0),29)::BIGINT AS class, unnest(range(50)) AS q
+   FROM atl JOIN espan USING (batch_id, step))), (SELECT unnest(range(4)) AS w) GROUP BY ALL)""",
+    "bfull": BOOT["bfull"].replace("f_true", "coalesce(r.f,0e0) AS f_true")
+    + """ LEFT JOIN bshare r ON r.batch_id=k.batch_id AND r.step=k.step AND r.rep=k.rep
+  AND r.class=e.class"""}
+
+
+@query("e12_bootstrap_at_line", """
+SELECT batch_id, step, round(d10_lo,5) AS d10_lo, round(d10_hi,5) AS d10_hi,
+ round(p_spec,6) AS p_spec FROM bint""", BOOT_REF, recursive=True)
 def _(spark, sf):
     sample = N.settle(Q.atline(spark, sf))
     m = E.WindowModel(Q.window_rows(spark, sf), sample, BS, S)
     out = E.bootstrap_interval(E.bootstrap_d10(m, ["rid"], S.bootstrap_reps, (sample, ["rid"])), BS,
                                S.interval, S.spec_d10_um)
-    return _rounded(out, "d10_lo", "d10_hi", "p_spec")
+    return out.select(*BS, r6("d10_lo", 5).alias("d10_lo"), r6("d10_hi", 5).alias("d10_hi"),
+                      r6("p_spec").alias("p_spec"))
 
 
 #: Objects a certificate stands for.
