@@ -70,3 +70,55 @@ def test_messy_rows(spark, messy, empty):
     assert Q.score(empty.drop("score"), Q.fit_on(rows, labels)).count() == 0
     with pytest.raises(ValueError):
         Q.score(messy, Q.fit_on(rows, labels))
+
+
+def plain_score(model, bag):
+    """The forward pass written out number by number."""
+    import math
+
+    w1, b1, v, u, a, w2, b2 = model.weights
+    hidden, weights = [], []
+    for row in bag:
+        x = [(float(c) - m) / s for c, m, s in zip(row, model.mean, model.scale)]
+        h = [math.tanh(sum(c * w1[i][k] for i, c in enumerate(x)) + b1[k]) for k in range(len(b1))]
+        gates = [math.tanh(sum(c * v[i][g] for i, c in enumerate(h)))
+                 / (1 + math.exp(-sum(c * u[i][g] for i, c in enumerate(h)))) for g in range(len(a))]
+        hidden.append(h)
+        weights.append(math.exp(sum(g * c for g, c in zip(gates, a))))
+    total = sum(weights)
+    z = [sum(w / total * h[k] for w, h in zip(weights, hidden)) for k in range(len(b1))]
+    return 1 / (1 + math.exp(-(sum(c * w for c, w in zip(z, w2)) + b2[0])))
+
+
+def test_query_scores_equal_a_plain_forward_pass(spark, sf):
+    from winnow.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = Q.fit_on(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = QUERIES["op10_quality"](spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = plain_score(model, Q.passages(texts[r.doc_id]))
+        assert abs(r.score - want) < 1e-9 and r.predicted == int(r.score >= 0.7)
+
+
+def test_passage_shares_by_counting():
+    text = "Ab 12, c|d!\n" * 60 + "é Zz"
+    bag = Q.passages(text)
+    words = text.split()
+    groups = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n",
+              b".,;:", b"!?", b"|", b"#$%&*", b"'\"()-"]
+    # the first passage ends where its 129th word begins
+    at, seen = 0, 0
+    for i, c in enumerate(text):
+        if not c.isspace() and (i == 0 or text[i - 1].isspace()):
+            seen += 1
+            if seen == Q.PASSAGE_WORDS + 1:
+                at = i
+                break
+    head = text[:at].encode()
+    shares = [sum(b in g for b in head) / len(head) for g in groups]
+    assert np.allclose(bag[0][:len(groups)], shares)
+    first = words[:Q.PASSAGE_WORDS]
+    assert np.isclose(bag[0][Q._N_CLASS], len(set(first)) / len(first))

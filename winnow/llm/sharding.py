@@ -182,7 +182,7 @@ def sharded_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, files: int = 8) -> None:
-    """Parquet folders ``_shard=0`` and so on, each of at most ``files`` files for every task wave."""
+    """Parquet folders ``_shard=0`` and so on, of about ``files`` files each."""
     deal = F.pmod(F.xxhash64(*[c for c in docs.columns]), F.lit(files))
     (sharded_rows(docs, shards).repartition("_shard", deal)
      .write.partitionBy("_shard").parquet(path))
