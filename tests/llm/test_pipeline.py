@@ -9,7 +9,7 @@ from winnow.llm import exact_dedup, queries, quality, sentencepiece_bpe
 
 def test_every_operator_has_one_query():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and len(P.STAGES) == 5
 
 
