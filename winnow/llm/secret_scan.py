@@ -37,7 +37,7 @@ from winnow.llm.registry import query
 
 #: Most documents the field is fitted on, and pieces of their chains with, and without a secret.
 FIT_ROWS = 4000
-FIT_PIECES = 6000
+FIT_PIECES = 2500
 #: Tokens after which a chain is cut for fitting; decoding always takes whole chains.
 FIT_TOKENS = 64
 #: Characters between two candidates of one chain at most.
@@ -60,8 +60,7 @@ _NAMED = re.compile(rf"(?<!{_WORD}){_WORD}*?(?:{'|'.join((*_SIGNS, *_MORE, *_END
                     re.A | re.I)
 #: What a secret word names: the next token, behind signs and quotes.
 _VALUE = re.compile(rf"""["']?\s{{0,3}}(?:[:=]|=>|:=)?\s{{0,3}}["']?({_WORD}+)""", re.A)
-_BEFORE = re.compile(r"([^\W\d_]+)[\W\d_]*\Z")
-_AFTER = re.compile(r"[\W\d_]*([^\W\d_]+)")
+_LETTERS = re.compile(r"[^\W\d_]+")
 #: Words are features by their hash, so the number of weights is bounded.
 WORD_HASHES = 1024
 #: Characters looked at for the words around a token.
@@ -120,10 +119,10 @@ def _apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _word(found: re.Match | None, side: str) -> str:
-    if found is None:
+def _word(words: list[str], at: int, side: str) -> str:
+    if not words:
         return f"{side}-none"
-    return f"{side}{zlib.crc32(found[1].lower().encode()) % WORD_HASHES}"
+    return f"{side}{zlib.crc32(words[at].lower().encode()) % WORD_HASHES}"
 
 
 def _shape(token: str) -> str:
@@ -163,8 +162,8 @@ def chains(text: str, candidates: list[tuple[int, int]]
             "after-key" if last_key else "after-none",
             "quoted" if quoted else "bare",
             "next-set" if text[b:b + 3].lstrip(" \"'")[:1] in ("=", ":") else "next-none",
-            named, dense, _word(_BEFORE.search(text, max(0, a - _REACH), a), "w"),
-            _word(_AFTER.match(text, b, b + _REACH), "v")))
+            named, dense, _word(_LETTERS.findall(text, max(0, a - _REACH), a), -1, "w"),
+            _word(_LETTERS.findall(text, b, b + _REACH), 0, "v")))
         spans.append((a, b))
         last_end, last_key = b, key
     out.append((spans, tuple(feats)))
@@ -238,8 +237,9 @@ def fit_field(samples: Counter, steps: int = 150, rate: float = 0.1,
             p = np.exp(fwd + bwd - z[:, None, None])
             p[np.arange(len(ys))[:, None], np.arange(length), ys] -= 1.0
             p *= (n / total)[:, None, None]
-            for k in range(feats.shape[2]):
-                np.add.at(gw, feats[:, :, k], p)
+            for y in range(3):
+                gw[:, y] += np.bincount(feats.ravel(), np.broadcast_to(
+                    p[:, :, None, y], feats.shape).ravel(), len(gw))
             for i in range(1, length):
                 pair = np.exp(fwd[:, i - 1][:, :, None] + m
                               + (e[:, i] + bwd[:, i] - z[:, None])[:, None, :])
