@@ -197,11 +197,12 @@ def linked_stars(fps: DataFrame, radius: int = 2) -> DataFrame:
             .mapInArrow(run, "a bigint, b bigint"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, split_hubs: bool = True) -> DataFrame:
     """(node, root): the smallest node of every connected set that has an edge.
 
     Large-star and small-star rounds; every round is a written table.  A node with a large share of
-    all edges has its least neighbour broadcast to them.
+    all edges has its least neighbour broadcast to them; without ``split_hubs`` a node meets its
+    edges in one task, with fewer and smaller jobs.
     """
     e = settle(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m"))
                .filter("v <> m").distinct())
@@ -211,15 +212,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     def with_least(rows: DataFrame, total: int) -> DataFrame:
         """Edges with the least neighbour of their ``v``; a hub's edges are not sent to one task."""
-        least = settle(rows.groupBy("v").agg(F.min("m").alias("least"), F.count("*").alias("n")))
+        least = rows.groupBy("v").agg(F.min("m").alias("least"), F.count("*").alias("n"))
+        if not split_hubs:
+            return rows.join(least.drop("n"), "v")
+        least = settle(least)
         return join_by_group(rows, least, "v", "n", total)
 
     before = mark(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("m").alias("v"), F.col("v").alias("m")))
-        large = settle(with_least(both, 2 * before[0]).filter(F.col("m") > F.col("v"))
-                       .select(F.col("m").alias("v"), F.least("v", "least").alias("m"))
-                       .filter("v <> m").distinct())
+        large = (with_least(both, 2 * before[0]).filter(F.col("m") > F.col("v"))
+                 .select(F.col("m").alias("v"), F.least("v", "least").alias("m"))
+                 .filter("v <> m").distinct())
+        if split_hubs:
+            large = settle(large)
         small = (with_least(large, before[0]).select(
             F.explode(F.array(F.struct("v", F.col("least").alias("m")),
                               F.struct(F.col("m").alias("v"), F.col("least").alias("m"))))
@@ -236,7 +242,7 @@ def near_dedup(rows: DataFrame, radius: int = 2) -> DataFrame:
     """(fp, root, component_id) of every fingerprint in ``rows`` (doc_id, fp); ids may repeat, so
     only ``root``, the smallest fingerprint, tells components apart."""
     classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(linked_stars(classes.select("fp"), radius))
+    roots = components(linked_stars(classes.select("fp"), radius), split_hubs=False)
     placed = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
